@@ -6,9 +6,27 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from provenant.llm import mixing, packing, simhash
-from provenant.llm.common import table
+from provenant.llm import gru_lm, html_template, iblt, mixing, mpeg, packing, simhash, toxicity, url_tree, warc
+from provenant.llm.common import table, written
+
+
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_tree.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op3_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg.features(mpeg.stored(table(spark, sf_dir, "documents"))).drop("seek_offsets")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = toxicity.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.drop("text").withColumnRenamed("tox_rejected", "rejected")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +37,33 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(written(warc.archives(table(spark, sf_dir, "pages")), "warc"), with_payload=False)
+    return found.where("kind = 'record'").select(
+        F.expr(warc.page_of("record_id")).alias("page_id"),
+        "payload_bytes",
+        F.col("payload_sha1").alias("payload_digest"),
+        "record_type",
+        F.expr(warc.page_of("refers_to")).alias("refers_to"),
+    )
+
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), t AS (
+  SELECT payload_digest AS digest, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY 1
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < top THEN top END AS refers_to
+FROM p LEFT JOIN t ON payload_digest = digest AND payload_bytes >= 1000
+"""
+
+
+def op8_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -55,9 +100,20 @@ SELECT doc_id, size, source_size, target,
 FROM e
 """
 
+def op10_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.compare(table(spark, sf_dir, "documents")).drop("added", "removed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
+    "op2_urls": op2_urls,
+    "op3_mpeg": op3_mpeg,
+    "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
+    "op7_warc": op7_warc,
+    "op8_gru": op8_gru,
     "op9_mixing": op9_mixing,
+    "op10_iblt": op10_iblt,
 }
-ORACLES: dict[str, str] = {"op9_mixing": OP9_SQL}
+ORACLES: dict[str, str] = {"op7_warc": OP7_SQL, "op9_mixing": OP9_SQL}
