@@ -43,3 +43,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/provenant-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, written so that it stays; and that column's name, which no other column has."""
+    name = "row_" + "_" * max((len(c) for c in docs.columns), default=0)
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name

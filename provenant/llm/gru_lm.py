@@ -105,6 +105,18 @@ class Vocabulary:
         self.class_of = np.concatenate([self.word_class, HEAD_CLASSES + np.arange(TAILS)])
         self.log_tail = np.log10(self.tail_total + self.tail_distinct + 1.0)
 
+    @property
+    def state(self) -> dict:
+        """Plain values that can be sent to workers without this class."""
+        return {k: v for k, v in vars(self).items() if k != "rank"}
+
+    @classmethod
+    def of(cls, state: dict) -> Vocabulary:
+        made = cls.__new__(cls)
+        vars(made).update(state)
+        made.rank = dict(zip(made.words, range(len(made.words)), strict=True))
+        return made
+
     def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ranks (-1: not held) and symbols of words."""
         get = self.rank.get
@@ -265,10 +277,10 @@ class Model:
 
 def windows(texts: DataFrame, words: Vocabulary) -> DataFrame:
     """Column text -> symbols (binary: 2 * WINDOW + 1 of 16 bits), round: the windows of the gradient steps."""
-    shared = texts.sparkSession.sparkContext.broadcast(words)  # bounded by HELD_WORDS
+    shared = texts.sparkSession.sparkContext.broadcast(words.state)  # bounded by HELD_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = Vocabulary.of(shared.value)
         for batch in batches:
             out, rounds = [], []
             for text in batch.column(0).to_pylist():
@@ -301,12 +313,12 @@ def train(found: DataFrame, words: Vocabulary) -> dict[str, np.ndarray]:
     weights = Model(words).weights
     sizes = {r["round"]: r["n"] for r in found.groupBy("round").agg(F.count(F.lit(1)).alias("n")).collect()}  # ROUNDS rows
     for number in sorted(sizes):
-        shared = context.broadcast((words, weights))
+        shared = context.broadcast((words.state, weights))
         rate = RATE / (1 + number)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, start = shared.value
-            model = Model(own, {k: v.copy() for k, v in start.items()})
+            model = Model(Vocabulary.of(own), {k: v.copy() for k, v in start.items()})
             squares = {k: np.full_like(v, 1e-6) for k, v in model.weights.items()}
             seen, held = 0, []
             for batch in batches:
@@ -386,10 +398,11 @@ def score(docs: DataFrame) -> DataFrame:
     counted = written(counts(training), "counts")
     words = vocabulary(counted)
     weights = train(written(windows(training, words), "windows"), words)
-    shared = docs.sparkSession.sparkContext.broadcast((words, weights))  # bounded by HELD_WORDS and the model
+    shared = docs.sparkSession.sparkContext.broadcast((words.state, weights))  # bounded by HELD_WORDS and the model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, learned = shared.value
+        state, learned = shared.value
+        own = Vocabulary.of(state)
         model = Model(own, learned)
         ids: list = []
         sequences: list[np.ndarray] = []

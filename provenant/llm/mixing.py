@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenant.llm.common import WORD, checkpoint, text_of
+from provenant.llm.common import WORD, checkpoint, numbered, text_of
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -45,8 +45,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """Per row of docs: doc_id, text_hash, size (words), source_size, target (its source's), taken (words, repeats counted).
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, carry: Sequence[str] = ()) -> DataFrame:
+    """Per row of docs: the columns to carry, doc_id, text_hash, size (words), source_size, target (its source's), taken (words, repeats counted).
 
     Each source is read in the order of md5(seed|doc_id): whole epochs first, then up to the budget's last word, so one
     document of a source may be cut. Rows with a null doc_id share one key; ties go by doc_id, size and the text's hash, and rows
@@ -54,6 +54,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     no rows; other columns are not read.
     """
     rows = docs.select(
+        *carry,
         F.col("doc_id"),
         _source_key().alias("source_key"),
         F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
@@ -74,7 +75,24 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         .withColumn("epochs", epochs)
         .withColumn("left", budget - F.col("epochs") * F.col("source_size") - F.col("start"))
         .select(
-            "doc_id", "text_hash", "size", "source_size", "target",
+            *carry, "doc_id", "text_hash", "size", "source_size", "target",
             (F.col("epochs") * F.col("size") + F.least(F.greatest("left", F.lit(0)), F.col("size"))).cast("long").alias("taken"),
         )
     )
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each whole epoch of a document, and one cut to the words that its
+    source's budget has left. Documents that the mix takes nothing of are left out; n_chars, if there is one, follows a cut text.
+    """
+    rows, row = numbered(docs)
+    taken = mix(rows, weights, share, most, seed, carry=[row]).where("taken > 0").select(F.col(row).alias(f"{row}_"), F.struct("size", "taken").alias(f"{row}_mix"))
+    size, whole = F.col(f"{row}_mix.size"), F.floor(F.col(f"{row}_mix.taken") / F.col(f"{row}_mix.size")).cast("int")
+    rest = (F.col(f"{row}_mix.taken") - whole * size).cast("int")
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest), " ")
+    copies = F.concat(F.array_repeat(F.col("text"), whole), F.when(rest > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
+    out = rows.join(taken, F.col(row) == F.col(f"{row}_")).withColumn(f"{row}_copy", F.explode(copies)).withColumn("text", F.col(f"{row}_copy"))
+    if "n_chars" in docs.columns:
+        kept = F.when((rest > 0) & (F.length("text") != F.col("n_chars")), F.length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", kept.cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

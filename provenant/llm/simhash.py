@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenant.llm.common import checkpoint, text_of
+from provenant.llm.common import checkpoint, numbered, text_of, written
 from provenant.llm.graph import components
 
 RADIUS = 2
@@ -27,6 +27,11 @@ WIDTHS = (22, 21, 21)
 BUCKET = 1000
 SEED = 42
 
+#: Similar documents: min-wise samples a band has, and bands. At a similarity of 0.8 a pair misses all bands once in 4,000.
+SAMPLES, BANDS = 4, 16
+#: A band's value that more documents share is not compared pair by pair but with so many hubs of it.
+CROWD, HUBS = 32, 4
+
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
     """XXH64 (seed 42) of each shingle of A-Z-lowered words, repeats included; fewer words: of all of them; none: empty."""
@@ -122,3 +127,122 @@ def near_duplicates(docs: DataFrame, words: int = 3, bucket: int = BUCKET) -> Da
     ids = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = tied.select("fp", "root").join(ids, "root").select(F.col("fp").alias("kind"), "component_id")
     return rows.join(labels, F.col("fp") == F.col("kind")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    random = np.random.default_rng(5)
+    draw = random.integers(0, 1 << 63, (2, SAMPLES * BANDS), dtype=np.int64).astype(np.uint64)
+    return draw[0] << np.uint64(1) | np.uint64(1), draw[1]
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A value for each band: the hash of its min-wise samples of the shingles."""
+    by, plus = _multipliers()
+    least = np.full(SAMPLES * BANDS, np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 4096):
+        mixed = hashes[i : i + 4096, None] * by
+        mixed ^= mixed >> np.uint64(29)
+        mixed += plus
+        least = np.minimum(least, (mixed * by).min(0))
+    size = 8 * SAMPLES
+    raw = least.astype("<u8").tobytes()
+    return [xxhash.xxh64_intdigest(raw[k : k + size], k) - (1 << 63) for k in range(0, len(raw), size)]
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets of shingle hashes; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def _signatures(rows: DataFrame, row: str, words: int) -> DataFrame:
+    """row, doc_id, kind (of equal words), fp, bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, fps, values = [], [], []
+            for text in batch.column(2).to_pylist():
+                kinds.append(xxhash.xxh3_128_hexdigest(b" ".join(text.encode().lower().split())))
+                hashes = shingle_hashes(text, words)
+                fps.append(simhash(hashes))
+                values.append(bands(hashes) if len(hashes) else [])
+            columns = [pa.array(kinds), pa.array(fps, pa.int64()), pa.array(values, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["row", "doc_id", "kind", "fp", "bands"])
+
+    return rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "row long, doc_id long, kind string, fp long, bands array<long>")
+
+
+def _candidates(firsts: DataFrame, crowd: int, hubs: int, bucket: int) -> DataFrame:
+    """row, fp, bands of different texts -> a < b: pairs that share a band, or whose fingerprints are within two bits.
+
+    Of a band's value that a crowd shares, every member meets the hubs: those whose bands are shared most, the nearest to
+    what the crowd has in common. Members alike for another reason share rarer values too, and meet there.
+    """
+    same = firsts.select("row", F.posexplode(F.concat(F.array("fp"), "bands")).alias("band", "value"))
+    shared = same.groupBy("band", "value").agg(F.count(F.lit(1)).alias("sharing")).where("sharing > 1")
+    rows = checkpoint(same.join(shared, ["band", "value"]))
+    few = rows.where(F.col("sharing") <= crowd).drop("sharing")
+    pairs = few.alias("a").join(few.alias("b"), [F.col("a.band") == F.col("b.band"), F.col("a.value") == F.col("b.value"), F.col("a.row") < F.col("b.row")]).select(F.col("a.row").alias("a"), F.col("b.row").alias("b"))
+    many = rows.where(F.col("sharing") > crowd)
+    degree = many.groupBy("row").agg(F.sum("sharing").alias("degree"))
+    rank = F.row_number().over(Window.partitionBy("band", "value").orderBy(F.desc("degree"), "row"))
+    hub = many.join(degree, "row").withColumn("place", rank).where(F.col("place") <= hubs).select("band", "value", F.col("row").alias("hub"))
+    stars = many.join(hub, ["band", "value"]).where("row <> hub").select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b"))
+    near = hamming_links(firsts.select("fp").distinct(), bucket)
+    one = firsts.groupBy("fp").agg(F.min("row").alias("row"))
+    near = near.join(one.select(F.col("fp").alias("a"), F.col("row").alias("x")), "a").join(one.select(F.col("fp").alias("b"), F.col("row").alias("y")), "b")
+    return pairs.union(stars).union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, row: str, words: int, similarity: float) -> DataFrame:
+    """The pairs whose texts' sets of shingles have at least this Jaccard similarity."""
+    texts = rows.select(F.col(row).alias("row"), text_of().alias("text"))
+    one = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
+    both = one.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[int, np.ndarray] = {}
+            keep = []
+
+            def hashes(key: int, text: str) -> np.ndarray:
+                if key not in held:
+                    if len(held) > 200:
+                        held.clear()
+                    held[key] = np.unique(shingle_hashes(text, words))
+                return held[key]
+
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keep.append(jaccard(hashes(a, x), hashes(b, y)) >= similarity)
+            kept = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
+
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: int = CROWD, hubs: int = HUBS, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame, str]:
+    """Groups of documents whose sets of word shingles are alike: (row, group, first), the numbered docs, their row column.
+
+    Texts with equal A-Z-lowered words are one kind (all wordless ones are). Kinds that meet in a fingerprint within two bits, or in
+    a band of min-wise samples, are linked if their Jaccard similarity, computed on the whole texts, is at least `similarity`;
+    a group is what links reach. first marks one row of each group: of its smallest doc_id (nulls last). An
+    empty table gives no rows.
+    """
+    rows, row = numbered(docs)
+    signs = written(_signatures(rows, row, words), "signatures")
+    kinds = checkpoint(signs.groupBy("kind").agg(F.min("row").alias("least")))
+    firsts = signs.join(kinds, F.col("row") == F.col("least"), "left_semi").select("row", "fp", "bands")
+    links = _verified(checkpoint(_candidates(firsts, crowd, hubs, bucket)), rows, row, words, similarity)
+    roots = components(links).withColumnRenamed("root", "reached")
+    tied = signs.select("row", "doc_id", "kind").join(kinds, "kind").join(roots, F.col("least") == F.col("node"), "left")
+    tied = tied.select("row", "doc_id", F.coalesce("reached", "least").alias("group"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = tied.groupBy("group").agg(F.min(order)["row"].alias("first_row"))
+    return tied.join(first, "group").select("row", "group", (F.col("row") == F.col("first_row")).alias("first")), rows, row
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of similar_groups, with the columns of docs."""
+    groups, rows, row = similar_groups(docs, words, similarity)
+    kept = groups.where("first").select(F.col("row").alias(f"{row}_"))
+    return rows.join(kept, F.col(row) == F.col(f"{row}_"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
