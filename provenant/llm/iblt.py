@@ -2,8 +2,9 @@
 
 A sketch has cells of (count, XOR of digests, XOR of checks); each digest falls into one cell of each of three
 subtables. The difference of two versions' sketches holds only the digests that differ, and peeling takes out one that is
-alone in a cell after the other. If some remain, the sketches are made again, larger: digests are dealt to blocks, each a
-sketch of its own, and the number of blocks doubles from try to try. Everything is built from SQL functions.
+alone in a cell after the other. If some remain, larger sketches are made: digests are dealt to blocks, each a sketch of
+its own, and a block that still can't be emptied is made again as two, with other cells, until it can. Everything is
+built from SQL functions.
 """
 
 from __future__ import annotations
@@ -13,18 +14,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenant.llm.common import checkpoint, text_of
+from provenant.llm.common import checkpoint, text_of, written
 
 #: Lines longer than this are cut at the white space that follows so many code units.
-PARAGRAPH = 120
+PARAGRAPH = 160
 TABLES = 3
-#: Cells of a subtable: as a power of two, of the stored fingerprint and of the larger sketches' blocks.
-STORED_BITS, BLOCK_BITS = 2, 3
-#: Digests that a block of the first larger sketch gets on average if all differ; each further try has twice the blocks.
-BLOCK_LOAD = 12
-TRIES = 4
-ROUNDS = 24
+#: Cells of a subtable, as a power of two.
+BITS = 2
+#: Digests of both versions that a block of the larger sketch gets on average.
+BLOCK_LOAD = 5
+#: How often a block is split; beyond that its digests are compared directly.
+SPLITS = 3
+#: Most rounds of peeling; an unfinished block counts as failed.
+ROUNDS = 8
 CHECK_BITS = 0xFFFFFFFF
+#: First of the digest's bits that choose the block; those before choose cells, others in each try. The last choose halves.
+BLOCK_BIT = TABLES * BITS * (SPLITS + 1)
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -46,21 +51,26 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.xxhash64(x)))
 
 
-def _cell_of(digest: Column, table: Column, bits: int, level: int) -> Column:
-    """The cell, of the whole block, that a digest has in a subtable; each try takes other bits of it."""
-    field = F.call_function("shiftrightunsigned", digest, (table * bits + TABLES * BLOCK_BITS * level).cast("int"))
-    return field.bitwiseAND(F.lit((1 << bits) - 1)).cast("int") + table * (1 << bits)
+def _bits(digest: Column, first: int, count: int) -> Column:
+    return F.shiftrightunsigned(digest, first).bitwiseAND(F.lit((1 << count) - 1))
 
 
-def cells(members: Column, bits: int, level: int = 0) -> Column:
-    """One block's cells for an array of digests."""
+def _first(table: int, level: int) -> int:
+    """The first of the bits that choose a digest's cell in a subtable; each try takes others."""
+    return BITS * (table + TABLES * level)
 
-    def cell(place: Column) -> Column:
-        table = F.call_function("shiftright", place, F.lit(bits))
-        own = F.filter(members, lambda x: _cell_of(x, table, bits, level) == place)
-        return _let(own, lambda hit: F.struct(F.size(hit).alias("n"), _xor(hit).alias("k"), _xor(F.transform(hit, _check)).alias("c")))
 
-    return F.transform(F.sequence(F.lit(0), F.lit((TABLES << bits) - 1)), cell)
+def cells(members: Column, level: int = 0) -> Column:
+    """One block's cells for an array of digests: the subtables' cells one after the other."""
+
+    def subtable(table: int) -> Column:
+        def cell(place: Column) -> Column:
+            own = F.filter(members, lambda x: _bits(x, _first(table, level), BITS) == place)
+            return _let(own, lambda hit: F.struct(F.size(hit).alias("n"), _xor(hit).alias("k"), _xor(F.transform(hit, _check)).alias("c")))
+
+        return F.transform(F.array(*[F.lit(i).cast("long") for i in range(1 << BITS)]), cell)
+
+    return F.concat(*[subtable(t) for t in range(TABLES)])
 
 
 def subtract(left: Column, right: Column) -> Column:
@@ -70,32 +80,39 @@ def subtract(left: Column, right: Column) -> Column:
 _NONE = "array<struct<k:bigint,n:int>>"
 
 
-def peel(difference: Column, bits: int, level: int = 0) -> Column:
-    """struct(cells, found): what peeling leaves in the cells, and the digests taken out with their side (1 or -1)."""
+def peel(difference: Column, level: int = 0) -> Column:
+    """struct(cells, found, over): what peeling leaves in the cells, and the digests taken out with their side (1 or -1)."""
+
+    def touches(digest: Column, place: Column) -> Column:
+        return F.when(place < 1 << BITS, _bits(digest, _first(0, level), BITS) == place).when(place < 2 << BITS, _bits(digest, _first(1, level), BITS) == place - (1 << BITS)).otherwise(_bits(digest, _first(2, level), BITS) == place - (2 << BITS))
 
     def without(cell: Column, place: Column, alone: Column) -> Column:
-        table = F.call_function("shiftright", place, F.lit(bits))
-        hit = F.filter(alone, lambda p: _cell_of(p["k"], table, bits, level) == place)
-        return F.when(F.size(hit) == 0, cell).otherwise(
-            F.struct(
-                (cell["n"] - F.aggregate(hit, F.lit(0), lambda a, p: a + p["n"])).alias("n"),
-                cell["k"].bitwiseXOR(_xor(F.transform(hit, lambda p: p["k"]))).alias("k"),
-                cell["c"].bitwiseXOR(_xor(F.transform(hit, lambda p: _check(p["k"])))).alias("c"),
-            )
+        return _let(
+            F.filter(alone, lambda p: touches(p["k"], place)),
+            lambda hit: F.when(F.size(hit) == 0, cell).otherwise(
+                F.struct(
+                    (cell["n"] - F.aggregate(hit, F.lit(0), lambda a, p: a + p["n"])).alias("n"),
+                    cell["k"].bitwiseXOR(_xor(F.transform(hit, lambda p: p["k"]))).alias("k"),
+                    cell["c"].bitwiseXOR(_xor(F.transform(hit, lambda p: _check(p["k"])))).alias("c"),
+                )
+            ),
         )
 
     def one_round(state: Column, _: Column) -> Column:
         single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["k"])))
         found = F.array_distinct(F.transform(single, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"))))
-        return _let(
+        peeled = _let(
             found,
-            lambda alone: F.when(F.size(alone) == 0, state).otherwise(
-                F.struct(F.transform(state["cells"], lambda c, i: without(c, i, alone)).alias("cells"), F.concat(state["found"], alone).alias("found"))
+            lambda alone: F.struct(
+                F.when(F.size(alone) == 0, state["cells"]).otherwise(F.transform(state["cells"], lambda c, i: without(c, i, alone))).alias("cells"),
+                F.concat(state["found"], alone).alias("found"),
+                (F.size(alone) == 0).alias("over"),
             ),
         )
+        return F.when(state["over"], state).otherwise(peeled)
 
-    start = F.struct(difference.alias("cells"), F.array().cast(_NONE).alias("found"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round)
+    start = F.struct(difference.alias("cells"), F.array().cast(_NONE).alias("found"), F.lit(False).alias("over"))
+    return F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), start, one_round)
 
 
 def _emptied(state: Column) -> Column:
@@ -103,31 +120,44 @@ def _emptied(state: Column) -> Column:
     return F.when(F.forall(state["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0)), state["found"])
 
 
-def _larger(left: Column, right: Column, level: int) -> Column:
-    """The differing digests by sketches in blocks, or null if one of them can't be emptied."""
-    blocks = F.greatest(F.lit(1), F.ceil((F.size(left) + F.size(right)) * (1 << level - 1) / BLOCK_LOAD)).cast("int")
+def _plainly(left: Column, right: Column) -> Column:
+    return F.concat(
+        F.transform(F.array_except(left, right), lambda x: F.struct(x.alias("k"), F.lit(1).alias("n"))),
+        F.transform(F.array_except(right, left), lambda x: F.struct(x.alias("k"), F.lit(-1).alias("n"))),
+    )
 
-    def block(number: Column) -> Column:
-        def own(members: Column) -> Column:
-            return F.filter(members, lambda x: F.pmod(F.shiftrightunsigned(x, 45), blocks) == number)
 
-        return _let(peel(subtract(cells(own(left), BLOCK_BITS, level), cells(own(right), BLOCK_BITS, level)), BLOCK_BITS, level), _emptied)
+def _block(left: Column, right: Column, level: int) -> Column:
+    """A block's differing digests: by its sketch, else by those of its halves."""
+    if level > SPLITS:
+        return _plainly(left, right)
 
-    emptied = F.transform(F.sequence(F.lit(0), blocks - 1), block)
-    return _let(emptied, lambda parts: F.when(F.forall(parts, lambda x: x.isNotNull()), F.flatten(parts)))
+    def half(number: Column) -> Column:
+        one, other = (F.filter(x, lambda d: _bits(d, 63 - level, 1) == number) for x in (left, right))
+        return _let(F.struct(one.alias("l"), other.alias("r")), lambda both: _block(both["l"], both["r"], level + 1))
 
+    by_sketch = _let(peel(subtract(cells(left, level), cells(right, level)), level), _emptied)
+    return F.coalesce(by_sketch, F.flatten(F.transform(F.array(F.lit(0).cast("long"), F.lit(1).cast("long")), half)))
 
-def differing(left: Column, right: Column, left_cells: Column, right_cells: Column) -> Column:
-    """array(struct(k digest, n side)): digests of one version only, peeled from the difference of the two sketches.
 
-    The stored cells come first, then TRIES sketches of doubling size; if all fail, the digests are compared directly.
-    """
-    stored = _let(peel(subtract(left_cells, right_cells), STORED_BITS), _emptied)
-    plain = F.concat(
-        F.transform(F.array_except(left, right), lambda x: F.struct(x.alias("k"), F.lit(1).alias("n"))),
-        F.transform(F.array_except(right, left), lambda x: F.struct(x.alias("k"), F.lit(-1).alias("n"))),
-    )
-    return F.coalesce(stored, *[_larger(left, right, level) for level in range(1, TRIES + 1)], plain)
+def _larger(left: Column, right: Column) -> Column:
+    """The differing digests by sketches in blocks; their number follows the two versions' digests."""
+    many = F.ceil((F.size(left) + F.size(right)) / BLOCK_LOAD).cast("long")
+
+    def in_blocks(all_: Column) -> Column:
+        def block(number: Column) -> Column:
+            one, other = (F.filter(all_[x], lambda d: _bits(d, BLOCK_BIT, 63 - SPLITS - BLOCK_BIT) % all_["many"] == number) for x in ("l", "r"))
+            return _let(F.struct(one.alias("l"), other.alias("r")), lambda both: _block(both["l"], both["r"], 1))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), all_["many"] - 1), block))
+
+    return _let(F.struct(left.alias("l"), right.alias("r"), F.greatest(F.lit(1).cast("long"), many).alias("many")), in_blocks)
+
+
+def differing(left: Column, right: Column, left_cells: Column, right_cells: Column) -> Column:
+    """array(struct(k digest, n side)): digests of one version only, peeled from the difference of the two stored sketches,
+    or, where these are too small, of larger ones."""
+    return F.coalesce(_let(peel(subtract(left_cells, right_cells)), _emptied), _larger(left, right))
 
 
 def likeness(found: Column, left: Column, right: Column) -> Column:
@@ -143,7 +173,7 @@ def fingerprint(members: Column, stored: Column) -> Column:
 
 
 def followers(docs: DataFrame) -> DataFrame:
-    """row_key -> before_key, before_chars: the document that the row's document follows, doc_id descending.
+    """row_key, doc_id, n_chars -> before_key, before_chars: the document that the row's document follows, doc_id descending.
 
     The last is followed by the first. Ids are dealt out by range; only one row per range meets in one place. Null ids
     come last, equal ids in the order of their text's hash, and rows equal in both are one document.
@@ -158,7 +188,7 @@ def followers(docs: DataFrame) -> DataFrame:
     ends = last.select("range", F.coalesce(F.lag("last").over(ranges), F.first("last").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("ahead"))
     told = ranged.withColumn("before", F.lag(me).over(within)).join(F.broadcast(ends), "range")  # a row per range: as many as shuffle partitions
     before = F.coalesce("before", "ahead")
-    return told.select("row_key", before["row_key"].alias("before_key"), before["n_chars"].alias("before_chars"))
+    return told.select("row_key", "doc_id", "n_chars", before["row_key"].alias("before_key"), before["n_chars"].alias("before_chars"))
 
 
 def compare(docs: DataFrame) -> DataFrame:
@@ -173,18 +203,20 @@ def compare(docs: DataFrame) -> DataFrame:
     rows = rows.select("*", F.xxhash64("text").alias("text_hash"), F.length("text").cast("long").alias("n_chars"))
     rows = rows.withColumn("row_key", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("/"), F.hex("text_hash")))
     order = followers(rows.select("doc_id", "text_hash", "n_chars", "row_key"))
-    order = order.select(F.col("row_key").alias("order_key"), "before_key", "before_chars")
+    order = order.withColumnRenamed("row_key", "order_key")
 
-    # Whole texts are dealt out once, by their own key; what goes on to the document before is a third of that at most.
-    own = rows.select("row_key", "doc_id", "text", "n_chars").withColumn("members", digests(F.col("text")))
+    # Whole texts are dealt out once, by their own key, as both uses need the same columns of them; what goes on to the
+    # document before is a third of that at most.
+    own = rows.select("row_key", "text").withColumn("members", digests(F.col("text")))
     met = own.join(order, F.col("row_key") == F.col("order_key"))
     heads = met.select(F.col("before_key").alias("head_key"), F.substring("text", F.lit(1), F.floor(F.col("before_chars") / 3).cast("int")).alias("head"), F.col("members").alias("next_members"))
     heads = heads.groupBy("head_key").agg(F.first("head").alias("head"), F.first("next_members").alias("next_members"))
     cut = (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")
     both = met.join(heads, F.col("row_key") == F.col("head_key")).withColumn("edited", F.concat(F.substring("text", F.lit(1), cut), F.col("head")))
     both = both.select("doc_id", "n_chars", "members", "next_members", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("edited")).alias("edited_members"))
+    both = written(both, "digests")  # the long expressions that follow are then planned once, not after each stage
     for name in ("members", "edited_members", "next_members"):
-        both = both.withColumn(f"{name}_cells", cells(F.col(name), STORED_BITS))
+        both = both.withColumn(f"{name}_cells", cells(F.col(name)))
     for name in ("edited", "next"):
         both = both.withColumn(f"{name}_found", differing(F.col("members"), F.col(f"{name}_members"), F.col("members_cells"), F.col(f"{name}_members_cells")))
     side = {name: F.transform(F.filter("edited_found", (lambda n: lambda x: x["n"] == n)(n)), lambda x: x["k"]) for name, n in (("removed", 1), ("added", -1))}
