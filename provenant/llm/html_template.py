@@ -18,12 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provenant.llm.common import written
 from provenant.llm.url_tree import split_url
 
 #: A valid class has so many tokens, on so many pages and on this share of the host's pages.
 TOKENS, PAGES, SUPPORT = 2, 2, 0.2
 #: (host, token) pairs that a task holds before it hands their sums on.
 HELD = 100_000
+#: Hosts whose places are broadcast; more of them are joined by a shuffle.
+FEW_HOSTS = 200_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -206,6 +209,17 @@ def content_place(tokens: list[dict]) -> str | None:
     return max(inner, key=lambda p: (p.count("/"), weight[p], p), default=None)
 
 
+def places(found: DataFrame) -> DataFrame:
+    """host, tokens -> tree_host, place: the content's element of each host's template, null if it has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = [content_place(tokens) for tokens in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chosen, pa.string())], ["tree_host", "place"])
+
+    return found.select("host", "tokens").mapInArrow(run, "tree_host string, place string")
+
+
 def main_text(page: str, place: str | None) -> str:
     """The blocks of the slots below a place, joined by line feeds; a page without such slots, or of a host without a
     template, is judged by its own places."""
@@ -224,25 +238,21 @@ def extract(pages: DataFrame) -> DataFrame:
     """Per row of pages: page_id, url, text, n_chars (code points), content (the place chosen from the host's template).
 
     Null html is empty and gives an empty text; urls without a host share the template of the empty host. Repeated rows add
-    to their host's counts as often as they occur; other columns are not read; an empty table gives no rows. Large hosts are split
-    by Spark's skewed joins, as a host's template is one small row.
+    to their host's counts as often as they occur; other columns are not read; an empty table gives no rows. A large host's pages
+    stay where they are, as its place is one small row.
     """
     host, _ = split_url(F.col("url"))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
     key = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit("|"), F.xxhash64("html").cast("string"))
-    found = templates(occurrences(rows.select(key.alias("key"), "host", "html"))).withColumnRenamed("host", "tree_host")
-    told = rows.join(found, F.col("host") == F.col("tree_host"), "left").select(F.col("page_id").cast("long"), "url", "html", "host", "tokens")
+    found = written(places(templates(occurrences(rows.select(key.alias("key"), "host", "html")))), "places")
+    if found.count() <= FEW_HOSTS:
+        found = F.broadcast(found)  # a name and a place a host; beyond that, Spark's skewed join splits a large host
+    told = rows.join(found, F.col("host") == F.col("tree_host"), "left").select(F.col("page_id").cast("long"), "url", "html", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, places = [], []
-            seen: dict[str, str | None] = {}
-            for i, (name, page) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                if name not in seen:
-                    seen[name] = content_place(batch.column(4)[i].as_py() or [])
-                texts.append(main_text(page, seen[name]))
-                places.append(seen[name])
+            texts = [main_text(page, place) for page, place in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             sizes = pa.array([len(x) for x in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), sizes, pa.array(places, pa.string())], ["page_id", "url", "text", "n_chars", "content"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), sizes, batch.column(3)], ["page_id", "url", "text", "n_chars", "content"])
 
     return told.mapInArrow(run, "page_id long, url string, text string, n_chars long, content string")
