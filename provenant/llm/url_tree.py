@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenant.llm.common import checkpoint
+
 #: (verdict, host, path): a rule fits its host and all subdomains, if the path starts with the rule's; the longest wins.
 RULES = (
     ("block", "com", "/en/"),
@@ -63,7 +65,7 @@ def templates(shapes: DataFrame) -> DataFrame:
         kept = named.join(places, ["host", "template"]).where((F.col("having") >= LEAST) & (F.col("having") >= SHARE * F.col("here"))).select("host", "template", "segment", F.lit(True).alias("named"))
         rows = rows.join(kept, ["host", "template", "segment"], "left")
         grown = F.concat("template", F.lit("/"), F.when(F.col("named") | F.col("segment").rlike(r"^\{n\}|^$"), F.col("segment")).otherwise(F.lit("*")))
-        rows = rows.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(grown)).drop("segment", "named")
+        rows = checkpoint(rows.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(grown)).drop("segment", "named"))
     return rows.select("host", "shape", "template")
 
 
@@ -87,20 +89,20 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
     }
     count = F.count_if
     tails = [count(F.coalesce(x, F.lit(False))).alias(n) for n, x in flags.items()]
-    shapes = rows.where("host <> ''").groupBy("host", "shape").agg(F.count(F.lit(1)).alias("urls"), count(F.col("said") == "block").alias("blocked"), count(F.col("said").isNotNull()).alias("labelled"), *tails)
+    shapes = checkpoint(rows.where("host <> ''").groupBy("host", "shape").agg(F.count(F.lit(1)).alias("urls"), count(F.col("said") == "block").alias("blocked"), count(F.col("said").isNotNull()).alias("labelled"), *tails))
     found = templates(shapes)
 
     # A branch's skeleton has its names as wildcards; branches like their host's average of a skeleton are merged into it.
     sums = [F.sum(n).alias(n) for n in ("urls", "blocked", "labelled", *_TAILS)]
     skeleton = F.regexp_replace("template", r"/[^/{*]+(?=/|$)", "/*")
-    branches = shapes.join(found, ["host", "shape"]).groupBy("host", "template").agg(*sums).withColumn("skeleton", skeleton)
+    branches = checkpoint(shapes.join(found, ["host", "shape"]).groupBy("host", "template").agg(*sums).withColumn("skeleton", skeleton))
     pooled = branches.groupBy("host", "skeleton").agg(*[F.sum(n).alias(f"all_{n}") for n in ("urls", *_TAILS)])
     off = F.lit(0.0)
     for n in _TAILS:
         share = F.col(f"all_{n}") / F.col("all_urls")
         spread = F.col("urls") * share * (1 - share)
         off = off + F.when(spread > 0, F.pow(F.col(n) - F.col("urls") * share, F.lit(2)) / spread).otherwise(0.0)
-    merged = branches.join(pooled, ["host", "skeleton"]).select("host", "template", "urls", "blocked", "labelled", F.when(off <= CHI_SQUARE, F.col("skeleton")).otherwise(F.col("template")).alias("node"))
+    merged = checkpoint(branches.join(pooled, ["host", "skeleton"]).select("host", "template", "urls", "blocked", "labelled", F.when(off <= CHI_SQUARE, F.col("skeleton")).otherwise(F.col("template")).alias("node")))
     purity = (F.col("node_blocked") + SMOOTHING) / (F.col("node_labelled") + 2 * SMOOTHING)
     nodes = merged.groupBy("host", "node").agg(F.sum("urls").alias("node_urls"), F.sum("blocked").alias("node_blocked"), F.sum("labelled").alias("node_labelled"))
     nodes = nodes.select("host", "node", purity.alias("purity"), ((purity >= PURITY) & (F.col("node_labelled") >= LABELLED * F.col("node_urls"))).alias("rejected"))
