@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenant.llm.common import checkpoint, text_of, written
+from provenant.llm.common import text_of, written
 
 #: Lines longer than this are cut at the white space that follows so many code units.
 PARAGRAPH = 160
@@ -28,6 +28,8 @@ SPLITS = 3
 #: Most rounds of peeling; an unfinished block counts as failed.
 ROUNDS = 8
 CHECK_BITS = 0xFFFFFFFF
+#: Percentiles that bound the stretches of ids, and rows of a stretch.
+BOUNDS, BUCKET = 500, 4000
 #: First of the digest's bits that choose the block; those before choose cells, others in each try. The last choose halves.
 BLOCK_BIT = TABLES * BITS * (SPLITS + 1)
 
@@ -172,23 +174,53 @@ def fingerprint(members: Column, stored: Column) -> Column:
     return F.lower(F.concat_ws("", F.hex(F.size(members)), F.lit(":"), F.concat_ws("", cell)))
 
 
-def followers(docs: DataFrame) -> DataFrame:
-    """row_key, doc_id, n_chars -> before_key, before_chars: the document that the row's document follows, doc_id descending.
+def _bucket(doc_id: Column, bounds: list[int], parts: int) -> Column:
+    """A number that grows with doc_id: between which bounds it lies, each stretch cut evenly into parts; nulls: -1."""
+    held = F.lit(bounds)
 
-    The last is followed by the first. Ids are dealt out by range; only one row per range meets in one place. Null ids
-    come last, equal ids in the order of their text's hash, and rows equal in both are one document.
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.shiftright(state["low"] + state["high"], 1)
+        return _let(middle, lambda m: F.when(F.element_at(held, m + 1) <= doc_id, F.struct(m.alias("low"), state["high"].alias("high"))).otherwise(F.struct(state["low"].alias("low"), m.alias("high"))))
+
+    steps = F.array(*[F.lit(i) for i in range(len(bounds).bit_length())])
+    low = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high")), halve)["low"]
+
+    def within(at: Column) -> Column:
+        first, last = (F.element_at(held, F.least(at + i, F.lit(len(bounds)))).cast("double") for i in (1, 2))
+        share = F.when(last > first, (doc_id.cast("double") - first) / (last - first)).otherwise(0.0)
+        return at.cast("long") * parts + F.least(F.greatest(F.floor(share * parts), F.lit(0)), F.lit(parts - 1))
+
+    return F.when(doc_id.isNull(), F.lit(-1).cast("long")).otherwise(_let(low, within))
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_hash, members -> the same rows with next_text and next_members, doc_id descending.
+
+    After the last comes the first; null ids are last, equal ids in the order of their text's hash, and rows equal in both are one
+    document. Rows are dealt out once, by stretches of ids of about BUCKET rows; each stretch's last row gets the first of
+    the next stretch. Bounds are BOUNDS percentiles of the ids, so gaps and clusters of ids do no harm.
     """
-    ids = docs.groupBy("doc_id", "text_hash", "row_key").agg(F.max("n_chars").alias("n_chars"))
-    ranged = checkpoint(ids.repartitionByRange(F.col("doc_id").asc_nulls_first(), "text_hash").withColumn("range", F.spark_partition_id()))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text_hash").desc()]
-    within = Window.partitionBy("range").orderBy(*order)
-    me = F.struct("row_key", "n_chars")
-    last = ranged.groupBy("range").agg(F.min_by(me, F.struct(F.col("doc_id").isNotNull(), "doc_id", "text_hash")).alias("last"))
-    ranges = Window.orderBy(F.desc("range"))
-    ends = last.select("range", F.coalesce(F.lag("last").over(ranges), F.first("last").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("ahead"))
-    told = ranged.withColumn("before", F.lag(me).over(within)).join(F.broadcast(ends), "range")  # a row per range: as many as shuffle partitions
-    before = F.coalesce("before", "ahead")
-    return told.select("row_key", "doc_id", "n_chars", before["row_key"].alias("before_key"), before["n_chars"].alias("before_chars"))
+    asked = [i / BOUNDS for i in range(BOUNDS + 1)]
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("doc_id", asked, 10 * BOUNDS).alias("bounds")).first()
+    bounds = sorted(set(stats["bounds"] or [0]))
+    rows = docs.withColumn("bucket", _bucket(F.col("doc_id"), bounds, max(1, -(-stats["n"] // (len(bounds) * BUCKET)))))
+
+    firsts = rows.groupBy("bucket").agg(F.max_by("text", F.struct("doc_id", "text_hash")).alias("first_text"))
+    firsts = written(firsts, "firsts")
+    numbers = firsts.select("bucket", F.lead("bucket").over(Window.orderBy(F.desc("bucket"))).alias("after"), F.max("bucket").over(Window.partitionBy()).alias("top"))
+    numbers = numbers.select(F.col("bucket").alias("own_bucket"), F.coalesce("after", "top").alias("next_bucket"))
+    after = numbers.join(firsts, F.col("next_bucket") == F.col("bucket")).select("own_bucket", "first_text")
+
+    within = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text_hash").desc())
+    numbered = rows.withColumn("place", F.dense_rank().over(within))
+    one_on = Window.partitionBy("bucket").orderBy("place").rangeBetween(1, 1)
+    told = numbered.withColumn("next", F.first(F.struct("text", "members")).over(one_on)).join(after, F.col("bucket") == F.col("own_bucket"))
+    inside = F.col("next").isNotNull()
+    return told.select(
+        "doc_id", "text", "members",
+        F.when(inside, F.col("next.text")).otherwise(F.col("first_text")).alias("next_text"),
+        F.when(inside, F.col("next.members")).otherwise(digests(F.col("first_text"))).alias("next_members"),
+    )
 
 
 def compare(docs: DataFrame) -> DataFrame:
@@ -200,20 +232,11 @@ def compare(docs: DataFrame) -> DataFrame:
     texts are alike. An empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows = rows.select("*", F.xxhash64("text").alias("text_hash"), F.length("text").cast("long").alias("n_chars"))
-    rows = rows.withColumn("row_key", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("/"), F.hex("text_hash")))
-    order = followers(rows.select("doc_id", "text_hash", "n_chars", "row_key"))
-    order = order.withColumnRenamed("row_key", "order_key")
-
-    # Whole texts are dealt out once, by their own key, as both uses need the same columns of them; what goes on to the
-    # document before is a third of that at most.
-    own = rows.select("row_key", "text").withColumn("members", digests(F.col("text")))
-    met = own.join(order, F.col("row_key") == F.col("order_key"))
-    heads = met.select(F.col("before_key").alias("head_key"), F.substring("text", F.lit(1), F.floor(F.col("before_chars") / 3).cast("int")).alias("head"), F.col("members").alias("next_members"))
-    heads = heads.groupBy("head_key").agg(F.first("head").alias("head"), F.first("next_members").alias("next_members"))
-    cut = (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")
-    both = met.join(heads, F.col("row_key") == F.col("head_key")).withColumn("edited", F.concat(F.substring("text", F.lit(1), cut), F.col("head")))
-    both = both.select("doc_id", "n_chars", "members", "next_members", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("edited")).alias("edited_members"))
+    rows = with_next(rows.select("*", F.xxhash64("text").alias("text_hash"), digests(F.col("text")).alias("members")))
+    size = F.length("text")
+    rows = rows.withColumn("n_chars", size.cast("long")).withColumn("moved", F.floor(size / 3).cast("int"))
+    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("moved")).cast("int")), F.substring("next_text", F.lit(1), F.col("moved")))
+    both = rows.withColumn("edited", edited).select("doc_id", "n_chars", "members", "next_members", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("edited")).alias("edited_members"))
     both = written(both, "digests")  # the long expressions that follow are then planned once, not after each stage
     for name in ("members", "edited_members", "next_members"):
         both = both.withColumn(f"{name}_cells", cells(F.col(name)))
