@@ -86,6 +86,8 @@ class Vocabulary:
     distinct: int
     tail_total: np.ndarray
     tail_distinct: np.ndarray
+    #: Words of lower grades are not held.
+    least: int = 0
 
     def __post_init__(self) -> None:
         self.head = min(HEAD, len(self.words))
@@ -127,14 +129,23 @@ class Vocabulary:
         return ranks, found
 
 
+def _grade(c: Column) -> Column:
+    """Counts in steps of a sixteenth of an octave: some hundred grades for counts of any size."""
+    return F.floor(F.log2(c) * 16).cast("int")
+
+
 def vocabulary(found: DataFrame) -> Vocabulary:
-    """From the counts: HELD_WORDS words and TAILS pairs of totals come to the driver, however many texts there are."""
-    top = found.orderBy(F.desc("c"), "word").limit(HELD_WORDS).toArrow()
+    """From the counts: the words of the highest grades, at most HELD_WORDS, and TAILS pairs of totals come to the driver,
+    however many texts there are. Where one grade alone is too large, no word is held."""
+    sizes = sorted(((r["grade"], r["n"]) for r in found.groupBy(_grade(F.col("c")).alias("grade")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    fits = np.cumsum([n for _, n in sizes]) <= HELD_WORDS
+    least = sizes[int(fits.sum()) - 1][0] if fits.any() else 1 << 20
+    top = found.where(_grade(F.col("c")) >= least).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     tail = F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(TAILS)).alias("tail")
     totals, distincts = np.zeros(TAILS), np.zeros(TAILS)
     for row in found.groupBy(tail).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         totals[row["tail"]], distincts[row["tail"]] = row["n"], row["v"]
-    return Vocabulary(top["word"].to_pylist(), top["c"].to_numpy().astype(float), int(totals.sum()), int(distincts.sum()), totals, distincts)
+    return Vocabulary(top["word"].to_pylist(), top["c"].to_numpy().astype(float), int(totals.sum()), int(distincts.sum()), totals, distincts, least)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -441,9 +452,8 @@ def score(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, held_out boolean, n_tokens long, held_known long, held_base double, held_score double, rare array<struct<word: binary, n: bigint>>"
     scored = rows.select("doc_id", "text", "held_out").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
     scored = written(scored, "scored")
-    least = int(words.c[-1]) if len(words.words) == HELD_WORDS else 0  # words not held have this count at most
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    seen = rare.join(counted.where(F.col("c") <= least).select("word", "c"), "word").groupBy("row").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("log_c"))
+    seen = rare.join(counted.where(_grade(F.col("c")) < words.least).select("word", "c"), "word").groupBy("row").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("log_c"))
     more = F.coalesce("log_c", F.lit(0.0))
     return scored.drop("rare").join(seen.withColumnRenamed("row", "seen_row"), F.col("row") == F.col("seen_row"), "left").select(
         "doc_id", "held_out", "n_tokens",
