@@ -84,7 +84,7 @@ def _telling(rows: Rows, labels: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: Rows, extra: np.ndarray, labels: np.ndarray, chosen: np.ndarray, penalty: float = 2e-4, rounds: int = 100) -> np.ndarray:
-    """Weights of features, extra columns and bias: logistic loss over the chosen rows, either label weighing alike, by
+    """Weights of features, extra columns and bias: logistic loss over the chosen rows, the rarer label weighing more by the root of the odds, by
     full-batch AdaGrad with an L2 penalty, for the features that tell. One label only gives a constant model."""
     weights = np.zeros(rows.width + extra.shape[1] + 1)
     if not chosen.any() or len(np.unique(labels[chosen])) < 2:
@@ -94,7 +94,7 @@ def fit(rows: Rows, extra: np.ndarray, labels: np.ndarray, chosen: np.ndarray, p
     part = rows.only(telling)
     own, squares = np.zeros(part.width + extra.shape[1] + 1), np.full(part.width + extra.shape[1] + 1, 1e-8)
     share = labels[chosen].mean()
-    each = np.where(labels, 0.5 / share, 0.5 / (1 - share)) * chosen / chosen.sum()
+    each = np.where(labels, 0.5 / share, 0.5 / (1 - share)) ** 0.5 * chosen / chosen.sum()
     for _ in range(rounds):
         error = (_sigmoid(score(own, part, extra)) - labels) * each
         gradient = np.concatenate([part.back(error), extra.T @ error, [error.sum()]]) + penalty * np.append(own[:-1], 0)
