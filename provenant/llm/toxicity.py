@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from provenant.llm.common import text_of
 
 #: Labelled texts that the models are fitted on: those of least hash, so the sample is random and the same in each run.
-SAMPLE = 12_000
+SAMPLE = 8_000
 #: Hashed features: two to this power.
 BITS = 18
 #: A feature is in so many of the texts fitted on, and its frequency differs between labels: chi-square, one in a thousand.
@@ -53,9 +53,9 @@ class Rows:
 
     def __init__(self, rows: Sequence[np.ndarray], width: int) -> None:
         self.starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        self.ids = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+        self.ids = np.concatenate(rows).astype(np.int32) if len(rows) else np.zeros(0, np.int32)
         self.width = width
-        self.row = np.repeat(np.arange(len(rows)), np.diff(self.starts))
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(self.starts))
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.ids], len(self.starts) - 1)
@@ -66,7 +66,7 @@ class Rows:
     def only(self, chosen: np.ndarray) -> Rows:
         """The same rows with some of the columns."""
         part, some = Rows((), int(chosen.sum())), chosen[self.ids]
-        part.ids, part.row, part.starts = (np.cumsum(chosen) - 1)[self.ids[some]], self.row[some], self.starts
+        part.ids, part.row, part.starts = (np.cumsum(chosen, dtype=np.int32) - 1)[self.ids[some]], self.row[some], self.starts
         return part
 
 
@@ -159,13 +159,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, categories:
     rows = texts.select("text", *marks).mapInArrow(run, schema).toArrow()
     width = 1 << bits
     kinds, first = np.unique(rows["kind"].to_numpy(), return_index=True)
+    values = np.column_stack([rows[m].to_numpy()[first] for m in marks]) if len(first) else np.zeros((0, len(marks)), int)
     ids = rows["ids"].combine_chunks()
+    del rows
     found = [ids[int(i)].values.to_numpy() for i in first]
     counts = np.bincount(np.concatenate(found), minlength=width) if len(found) else np.zeros(width, np.int64)
     kept = counts >= LEAST
-    slot = np.cumsum(kept) - 1
+    slot = np.cumsum(kept, dtype=np.int32) - 1
     found = [slot[r[kept[r]]] for r in found]
-    values = np.column_stack([rows[m].to_numpy()[first] for m in marks]) if len(first) else np.zeros((0, len(marks)), int)
+    del ids
     return kept, fit_chain(found, values, (kinds % FOLDS).astype(int), int(kept.sum()))
 
 
