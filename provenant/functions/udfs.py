@@ -8,11 +8,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provenant.functions import html, text
 
 
-def mapped(kernel: Callable, returns: str) -> Callable[..., Column]:
+_STRING, _INT, _DOUBLE, _STRINGS = T.StringType(), T.IntegerType(), T.DoubleType(), T.ArrayType(T.StringType())
+
+
+def mapped(kernel: Callable, returns: T.DataType) -> Callable[..., Column]:
     """A kernel of one or more values as a vectorised UDF; a null argument gives null."""
 
     @F.pandas_udf(returns)
@@ -26,22 +30,22 @@ def _span(found: tuple[int, int] | None) -> dict | None:
     return None if found is None else {"start": found[0], "end": found[1]}
 
 
-normalised = mapped(lambda t: text.normalise(t)[0], "string")
-folded = mapped(text.fold, "string")
-key_of = mapped(text.comparison_key, "string")
-located = mapped(lambda q, t: (text.locate(q, t) or (-1, -1))[0], "int")
-compact = mapped(text.compact_name, "string")
-main_text = mapped(html.main_text, "string")
-title = mapped(html.title, "string")
-links = mapped(html.links, "array<string>")
-number_list = mapped(text.numbers, "array<string>")
-token_list = mapped(text.tokens, "array<string>")
-shingle_list = mapped(text.shingles, "array<string>")
-redacted = mapped(lambda t: text.redact(t)[0], "string")
-set_ratio = mapped(text.token_set_ratio, "double")
-sort_ratio = mapped(text.token_sort_ratio, "double")
-part_ratio = mapped(lambda a, b: text.partial_ratio(a, b)[0], "double")
-shape = mapped(text.shape, "string")
+normalised = mapped(lambda t: text.normalise(t)[0], _STRING)
+folded = mapped(text.fold, _STRING)
+key_of = mapped(text.comparison_key, _STRING)
+located = mapped(lambda q, t: (text.locate(q, t) or (-1, -1))[0], _INT)
+compact = mapped(text.compact_name, _STRING)
+main_text = mapped(html.main_text, _STRING)
+title = mapped(html.title, _STRING)
+links = mapped(html.links, _STRINGS)
+number_list = mapped(text.numbers, _STRINGS)
+token_list = mapped(text.tokens, _STRINGS)
+shingle_list = mapped(text.shingles, _STRINGS)
+redacted = mapped(lambda t: text.redact(t)[0], _STRING)
+set_ratio = mapped(text.token_set_ratio, _DOUBLE)
+sort_ratio = mapped(text.token_sort_ratio, _DOUBLE)
+part_ratio = mapped(lambda a, b: text.partial_ratio(a, b)[0], _DOUBLE)
+shape = mapped(text.shape, _STRING)
 
 
 def spans(docs: DataFrame, kernel: Callable[[str], list[tuple]], schema: str, names: Sequence[str], key: str = "doc_id", body: str = "text") -> DataFrame:
