@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 
 ITEMS = """
 SELECT o_orderkey AS item_key, o_custkey % 40 AS vendor_id, o_orderkey % 977 AS cluster_id, CAST(o_custkey % 12 AS INT) AS publisher,
@@ -45,7 +50,17 @@ SELECT c_custkey AS vendor_id, CAST(c_custkey % 5 AS INT) AS o, CAST((c_custkey
 FROM customer
 """
 
-_TABLES = ("orders", "customer", "documents", "pages", "events", "lineitem", "benchmark", "labels", "conversations")
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its function's name, with its SQL if there is one."""
+
+    def add(run: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[run.__name__] = run
+        if sql:
+            ORACLES[run.__name__] = sql
+        return run
+
+    return add
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,3 +71,8 @@ def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """One of the tables above: its SQL over the Parquet table it names."""
     name = re.search(r"\bFROM (\w+)", sql)[1]
     return spark.sql(re.sub(r"\bFROM \w+", "FROM {" + name + "}", sql).replace("//", "DIV"), **{name: read(spark, sf_dir, name)})
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = F.array_compact(F.array(*[F.when(F.col("mask") % n == 0, F.lit(c)) for c, n in CODES.items()]))
+    return derived(spark, sf_dir, ITEMS).withColumn("codes", codes)
