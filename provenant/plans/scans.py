@@ -59,12 +59,12 @@ def dns_agreement(spark, sf_dir):
 
 @query("""
 SELECT '0001-' || o_orderkey AS accession, 'd' || (o_custkey % 9) || '.htm' AS document, CASE WHEN o_orderkey % 2 = 0 THEN '10-K' ELSE '8-K' END AS form, strftime(o_orderdate, '%Y-%m-%d') AS filed,
-  'https://www.sec.gov/Archives/edgar/data/' || o_custkey || '/0001' || o_orderkey || '/d' || (o_custkey % 9) || '.htm' AS url FROM orders WHERE o_custkey > 0
+  'https://www.sec.gov/Archives/edgar/data/' || (o_custkey + 1) || '/0001' || o_orderkey || '/d' || (o_custkey % 9) || '.htm' AS url FROM orders
 """)
 def filings_flattened(spark, sf_dir):
-    source = F.struct(F.array(F.lpad(F.col("o_custkey").cast("string"), 10, "0")).alias("ciks"), F.when(F.col("o_orderkey") % 2 == 0, "10-K").otherwise("8-K").alias("form"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("file_date"), F.array(F.lit("X")).alias("display_names"))
+    source = F.struct(F.array(F.lpad((F.col("o_custkey") + 1).cast("string"), 10, "0")).alias("ciks"), F.when(F.col("o_orderkey") % 2 == 0, "10-K").otherwise("8-K").alias("form"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("file_date"), F.array(F.lit("X")).alias("display_names"))
     hit = F.struct(F.concat(F.lit("0001-"), "o_orderkey", F.lit(":d"), F.col("o_custkey") % 9, F.lit(".htm")).alias("_id"), source.alias("_source"))
-    bodies = read(spark, sf_dir, "orders").where("o_custkey > 0").groupBy((F.col("o_orderkey") % 50).alias("page")).agg(F.to_json(F.struct(F.struct(F.collect_list(hit).alias("hits")).alias("hits"))).alias("body"))
+    bodies = read(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 50).alias("page")).agg(F.to_json(F.struct(F.struct(F.collect_list(hit).alias("hits")).alias("hits"))).alias("body"))
     return web.filings(bodies).withColumn("filed", F.col("filed").cast("string"))
 
 
@@ -146,13 +146,13 @@ def tag_strings(spark, sf_dir):
 
 
 @query(f"""
-WITH i AS ({ITEMS}), r AS (SELECT o_orderkey % 400 AS item_key, o_orderkey AS seq, CASE o_orderkey % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'pending' END AS value FROM orders WHERE o_orderkey % 2 = 1),
+WITH i AS ({ITEMS}), r AS (SELECT o_orderkey % 400 AS item_key, o_orderkey AS seq, CASE o_orderkey % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'pending' END AS value FROM orders),
 l AS (SELECT item_key, arg_max(value, seq) AS value FROM r GROUP BY 1)
 SELECT i.item_key, coalesce(l.value, 'pending') AS review FROM i LEFT JOIN l ON i.item_key = l.item_key
 """)
 def reviewed_items(spark, sf_dir):
     value = F.when(F.col("o_orderkey") % 3 == 0, "accepted").when(F.col("o_orderkey") % 3 == 1, "rejected").otherwise("pending")
-    reviews = read(spark, sf_dir, "orders").where("o_orderkey % 2 = 1").select((F.col("o_orderkey") % 400).alias("item_key"), F.col("o_orderkey").alias("seq"), value.alias("value"))
+    reviews = read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 400).alias("item_key"), F.col("o_orderkey").alias("seq"), value.alias("value"))
     return runs.reviewed(items(spark, sf_dir).drop("review"), reviews).select("item_key", "review")
 
 
@@ -167,11 +167,11 @@ def keyword_triage(spark, sf_dir):
 
 
 @query(f"""
-WITH i AS ({ITEMS}), d AS (SELECT vendor_id, list_sort(list(DISTINCT 'p' || publisher)) AS p FROM i WHERE publisher < 3 GROUP BY 1)
+WITH i AS ({ITEMS}), d AS (SELECT vendor_id, list_sort(list(DISTINCT 'p' || publisher)) AS p FROM i GROUP BY 1)
 SELECT vendor_id, CASE len(p) WHEN 1 THEN p[1] WHEN 2 THEN p[1] || ' and ' || p[2] ELSE array_to_string(p[1:len(p) - 1], ', ') || ', and ' || p[len(p)] END AS publishers FROM d
 """)
 def publisher_lists(spark, sf_dir):
-    rows = items(spark, sf_dir).where("publisher < 3").groupBy("vendor_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("p"), "publisher"))).alias("p"))
+    rows = items(spark, sf_dir).groupBy("vendor_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("p"), "publisher"))).alias("p"))
     return rows.select("vendor_id", E.serial_list(F.col("p")).alias("publishers"))
 
 
@@ -197,10 +197,10 @@ def robots_and_walls(spark, sf_dir):
 
 
 @query("""
-SELECT d.doc_id AS item_key, concat_ws(',', CASE WHEN d.doc_id % 4 = 1 THEN 'text' END, CASE WHEN d.doc_id % 4 = 2 THEN 'slice' END, CASE WHEN d.doc_id % 4 = 2 THEN 'key' END) AS problems FROM documents d WHERE n_chars > 20
+SELECT d.doc_id AS item_key, concat_ws(',', CASE WHEN d.doc_id % 4 = 1 THEN 'text' END, CASE WHEN d.doc_id % 4 = 2 THEN 'slice' END, CASE WHEN d.doc_id % 4 = 2 THEN 'key' END) AS problems FROM documents d
 """)
 def reverified_items(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("n_chars > 20")
+    docs = read(spark, sf_dir, "documents")
     odd = F.col("doc_id") % 4
     true = F.substring("text", 6, 10)
     rows = docs.select(
@@ -256,9 +256,9 @@ def number_counts(spark, sf_dir):
 @query()
 def claims_merged(spark, sf_dir):
     """Proposals absorbed by the passage they overlap most."""
-    own = spans.sentences(read(spark, sf_dir, "documents").where("source = 'src1'"))
+    own = spans.sentences(read(spark, sf_dir, "documents"))
     ids = own.select(F.xxhash64("doc_id", "start").alias("id"), "doc_id", "start", "end")
-    return verify.merge(ids.where("id % 3 = 0").withColumn("end", F.col("end") + 10), ids)
+    return verify.merge(ids.withColumn("end", F.col("end") + 10), ids)
 
 
 @query()
@@ -270,7 +270,7 @@ def fuzzy_recall(spark, sf_dir):
 
 @query()
 def verified_quotes(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("n_chars > 100")
+    docs = read(spark, sf_dir, "documents")
     claims = docs.select((F.col("doc_id") * 2).alias("claim_id"), "doc_id", F.substring("text", 11, 60).alias("quote"), F.array().cast("array<string>").alias("names"), F.array().cast("array<string>").alias("indicators"))
     return verify.verify(claims, docs).select("claim_id", F.array_join("failures", ",").alias("failures"), "start", "end", "ok")
 

@@ -33,11 +33,11 @@ CODES = {"G1": 2, "G2": 3, "G3": 5, "G5": 7, "G6": 11, "M2": 4, "M3": 13, "M4":
 
 COVERAGE = """
 SELECT o_custkey % 40 AS vendor_id, substring('LEGREGPRDJOBDNSIND', CAST(1 + 3 * (o_orderkey % 6) AS INT), 3) AS family,
-  CASE (o_orderkey // 8) % 9 WHEN 0 THEN 'done' WHEN 1 THEN 'done_manual' WHEN 2 THEN 'not_applicable' WHEN 3 THEN 'stopped' WHEN 4 THEN 'pending'
+  CASE ((o_custkey % 40) * 5 + (o_orderkey % 6) * 2 + (o_orderkey // 6) % 2) % 9 WHEN 0 THEN 'done' WHEN 1 THEN 'done_manual' WHEN 2 THEN 'not_applicable' WHEN 3 THEN 'stopped' WHEN 4 THEN 'pending'
     WHEN 5 THEN 'blocked_tou' WHEN 6 THEN 'blocked_bot' WHEN 7 THEN 'error' ELSE 'descoped' END AS status,
   o_orderkey % 9 AS requests, CAST(10 + o_custkey % 30 AS INT) AS cap, o_orderkey % 4 AS documents,
   substring('abcdefgh', CAST(1 + o_custkey % 8 AS INT), 1) AS collector
-FROM orders WHERE o_orderkey % 50 = 3
+FROM orders
 """
 
 PROFILES = """
