@@ -53,6 +53,19 @@ _NOT_MAIN_MARK = re.compile(
     re.I,
 )
 _HEADING = re.compile(r"h[1-6]$")
+_HEADER_MARK = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+#: Marks of the content itself, whatever other marks stand beside them, and marks that speak of a neighbour.
+_MAIN_MARKS = {"main", "content", "article", "post", "entry", "main-content", "article-body", "article-content", "post-body", "post-content", "entry-content"}
+_NEIGHBOUR = re.compile(r"^(?:has|with|no|without)[_-]", re.I)
+
+
+def _not_main(marks: str) -> str:
+    """Why marks say that an element is no content: 'header', 'other' or nothing."""
+    own = [m for m in marks.split() if not _NEIGHBOUR.match(m)]
+    if _MAIN_MARKS.intersection(m.lower() for m in own):
+        return ""
+    odd = [m for m in own if _NOT_MAIN_MARK.search(m)]
+    return "" if not odd else "header" if all(_HEADER_MARK.search(m) for m in odd) else "other"
 
 
 def blocks(page: str) -> Iterator[tuple[str, str, int, bool]]:
@@ -61,7 +74,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, int, bool]]:
     Every element opened also gives its place with an empty text, so that empty ones are tokens too. main is False in menus,
     headers (but for headings inside an article), footers, sidebars, notices, adverts, forms, comments and hidden parts.
     """
-    stack: list[tuple[str, str, bool]] = [("", "", True)]  # tag, place, main
+    stack: list[tuple[str, str, bool, str]] = [("", "", True, "")]  # tag, place, main, why not
     text: list[str] = []
     links = [0, 0]  # inside a link, characters in links
 
@@ -120,10 +133,15 @@ def blocks(page: str) -> Iterator[tuple[str, str, int, bool]]:
         marks = " ".join(a or b or c for _, a, b, c in _MARK.findall(found[3])) if found[3] else ""
         named = f"{tag}.{re.sub(r'[0-9]+', '#', marks)}" if marks else tag
         parent = stack[-1]
-        main = parent[2] and tag not in _NOT_MAIN and not (marks and tag not in ("html", "body", "article", "main") and _NOT_MAIN_MARK.search(marks)) and not (found[3] and _HIDDEN.search(found[3]))
-        if not main and _HEADING.match(tag) and parent[0] == "header" and any(x[0] in ("article", "main") and x[2] for x in stack[:-1]):
-            main = True
-        stack.append((tag, f"{parent[1]}/{named}", main))
+        why = "header" if tag == "header" else "other" if tag in _NOT_MAIN else ""
+        if not why and marks and tag not in ("html", "body", "article", "main"):
+            why = _not_main(marks)
+        if not why and found[3] and _HIDDEN.search(found[3]):
+            why = "other"
+        main = parent[2] and not why
+        if not main and not why and parent[3] == "header" and _HEADING.match(tag) and any(x[0] in ("article", "main") and x[2] for x in stack):
+            main = True  # the article's own title
+        stack.append((tag, f"{parent[1]}/{named}", main, why or ("" if main else parent[3])))
         yield stack[-1][1], "", 0, main
     if at < len(page):
         said(page[at:])

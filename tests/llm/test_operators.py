@@ -259,6 +259,14 @@ def test_html_main_text(spark, tag):
         assert r["text"] == f"Head {i} & A\nFirst para of {i} line\nSecond <one>\na\nb" and r["n_chars"] == len(r["text"])
 
 
+def test_html_marks():
+    page = """<body><div class="site-header"><h1>Site</h1></div><div class="layout has-sidebar"><div class="main with-ads"><article><div class="article-header"><h1>Title</h1><p>By me</p></div>
+    <p>Text one</p><div class="ad-slot">Buy</div><section id="comments"><h3>2 replies</h3><p>No</p></section><div hidden>x</div></article></div><aside>Side</aside></div></body>"""
+    assert html_template.main_text(page, None) == "Title\nText one"
+    loose = "<p>Just a page<p>of two blocks &#8211; no more"
+    assert html_template.main_text(loose, None) == "Just a page\nof two blocks – no more" and html_template.main_text("", None) == ""
+
+
 def test_occurrence_classes(spark):
     rows = [(str(i), "h", f"<body><article><p>{i}</p></article><footer>f</footer>{'<aside></aside>' * (i % 3)}</body>") for i in range(9)]
     tokens = {r["token"]: r for r in html_template.occurrences(spark.createDataFrame(rows, "key string, host string, html string")).collect()}
