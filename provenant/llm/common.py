@@ -38,10 +38,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_WRITTEN: list[str] = []
+
+
+def forget_written(spark: SparkSession) -> int:
+    """Deletes the tables that `written` made in this process, and tells how many. Results that still read them are lost, so
+    call it when these are stored."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _WRITTEN:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    count = len(_WRITTEN)
+    _WRITTEN.clear()
+    return count
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: smaller than a checkpoint, and columns can be pruned."""
     path = f"{checkpoint_dir(df.sparkSession)}/provenant-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

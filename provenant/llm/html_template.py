@@ -23,12 +23,15 @@ from provenant.llm.url_tree import split_url
 
 #: A valid class has so many tokens, on so many pages and on this share of the host's pages.
 TOKENS, PAGES, SUPPORT = 2, 2, 0.2
+#: Elements nested deeper than this share the place of the one above, so places stay short.
+DEEPEST = 100
 #: (host, token) pairs that a task holds before it hands their sums on.
 HELD = 100_000
 #: Hosts whose places are broadcast; more of them are joined by a shuffle.
 FEW_HOSTS = 200_000
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+#: No alternative can pass the next tag's opening unquoted, so unclosed tags cost no rescans.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
@@ -141,7 +144,8 @@ def blocks(page: str) -> Iterator[tuple[str, str, int, bool]]:
         main = parent[2] and not why
         if not main and not why and parent[3] == "header" and _HEADING.match(tag) and any(x[0] in ("article", "main") and x[2] for x in stack):
             main = True  # the article's own title
-        stack.append((tag, f"{parent[1]}/{named}", main, why or ("" if main else parent[3])))
+        place = f"{parent[1]}/{named}" if len(stack) < DEEPEST else parent[1]
+        stack.append((tag, place, main, why or ("" if main else parent[3])))
         yield stack[-1][1], "", 0, main
     if at < len(page):
         said(page[at:])

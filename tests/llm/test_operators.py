@@ -267,6 +267,16 @@ def test_html_marks():
     assert html_template.main_text(loose, None) == "Just a page\nof two blocks – no more" and html_template.main_text("", None) == ""
 
 
+def test_html_of_odd_pages_takes_no_time():
+    import time
+
+    began = time.time()
+    for page in ("<a " * 200_000, "<!" * 200_000, "<div>" * 50_000 + "deep" + "</div>" * 50_000, '<p title="' * 100_000, "<!--" * 100_000, "<script>" * 50_000, "&" * 300_000):
+        html_template.main_text(page, None)
+    assert html_template.main_text("<div>" * 5000 + "deep <b>text</b>", None) == "deep text"
+    assert time.time() - began < 20
+
+
 def test_occurrence_classes(spark):
     rows = [(str(i), "h", f"<body><article><p>{i}</p></article><footer>f</footer>{'<aside></aside>' * (i % 3)}</body>") for i in range(9)]
     tokens = {r["token"]: r for r in html_template.occurrences(spark.createDataFrame(rows, "key string, host string, html string")).collect()}
