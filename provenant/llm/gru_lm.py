@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import text_of, written
+from provenant.llm.common import small, text_of, written
 
 #: No word contains a line feed: the end token's key.
 END = b"\n"
@@ -63,7 +63,7 @@ def counts(texts: DataFrame) -> DataFrame:
         def handed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["word", "c"])
 
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(0).to_pylist():
                 found.update(text.encode().lower().split())
                 found[END] += 1
@@ -292,7 +292,7 @@ def windows(texts: DataFrame, words: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Vocabulary.of(shared.value)
-        for batch in batches:
+        for batch in small(batches):
             out, rounds = [], []
             for text in batch.column(0).to_pylist():
                 raw = text.encode().lower()
@@ -332,7 +332,7 @@ def train(found: DataFrame, words: Vocabulary) -> dict[str, np.ndarray]:
             model = Model(Vocabulary.of(own), {k: v.copy() for k, v in start.items()})
             squares = {k: np.full_like(v, 1e-6) for k, v in model.weights.items()}
             seen, held = 0, []
-            for batch in batches:
+            for batch in small(batches):
                 held += batch.column(0).to_pylist()
                 while len(held) >= STEP:
                     model.step(np.frombuffer(b"".join(held[:STEP]), np.uint16).reshape(STEP, -1), squares, rate)
@@ -431,7 +431,7 @@ def score(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "held_known", "held_base", "held_score", "rare"])
 
         tokens = 0
-        for batch in batches:
+        for batch in small(batches):
             for doc_id, text, out in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = [*text.encode().lower().split(), END]
                 ranks, symbols = own.symbols(found)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import written
+from provenant.llm.common import small, written
 from provenant.llm.url_tree import split_url
 
 #: A valid class has so many tokens, on so many pages and on this share of the host's pages.
@@ -169,7 +169,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
             columns = [pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(6)]
             return pa.RecordBatch.from_arrays([*keys, *columns], ["host", "token", *names])
 
-        for batch in batches:
+        for batch in small(batches):
             for key, host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own: dict[str, list[int]] = {}
                 for place, text, linked, main in blocks(page):
@@ -235,7 +235,7 @@ def places(found: DataFrame) -> DataFrame:
     """host, tokens -> tree_host, place: the content's element of each host's template, null if it has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             chosen = [content_place(tokens) for tokens in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chosen, pa.string())], ["tree_host", "place"])
 
@@ -272,7 +272,7 @@ def extract(pages: DataFrame) -> DataFrame:
     told = rows.join(found, F.col("host") == F.col("tree_host"), "left").select(F.col("page_id").cast("long"), "url", "html", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [main_text(page, place) for page, place in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             sizes = pa.array([len(x) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), sizes, batch.column(3)], ["page_id", "url", "text", "n_chars", "content"])

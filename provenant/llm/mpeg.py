@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import text_of
+from provenant.llm.common import small, text_of
 
 #: Payloads are filled with spaces to a positive multiple of this many bytes.
 MULTIPLE = 192
@@ -240,7 +240,7 @@ def stored(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sizes, media = [], []
             for text in batch.column(1).to_pylist():
                 raw = text.encode()
@@ -261,7 +261,7 @@ def features(media: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for data in batch.column(2).to_pylist():
                 data = data or b""

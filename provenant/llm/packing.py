@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenant.llm.common import checkpoint, text_of
+from provenant.llm.common import checkpoint, small, text_of
 
 LENGTH = 2048
 #: Piece lengths are planned in this many tokens.
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.array([*encode(text, allowed_special="all"), end_id], "<u4")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenant.llm.common import checkpoint, numbered, text_of, written
+from provenant.llm.common import checkpoint, numbered, small, text_of, written
 from provenant.llm.graph import components
 
 RADIUS = 2
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fp (long): one row per row of docs; a null or wordless text has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             fps = [simhash(shingle_hashes(x, words)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
@@ -159,7 +159,7 @@ def _signatures(rows: DataFrame, row: str, words: int) -> DataFrame:
     """row, doc_id, kind (of equal words), fp, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             kinds, fps, values = [], [], []
             for text in batch.column(2).to_pylist():
                 kinds.append(xxhash.xxh3_128_hexdigest(b" ".join(text.encode().lower().split())))
@@ -201,7 +201,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, row: str, words: int, similarit
     both = one.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             held: dict[int, np.ndarray] = {}
             keep = []
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import text_of
+from provenant.llm.common import small, text_of
 
 #: Labelled texts that the models are fitted on: those of least hash, so the sample is random and the same in each run.
 SAMPLE = 8_000
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, categories:
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(asked), F.col("doc_id") == F.col("labelled_id"))  # no more rows than `sample`
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             kinds, ids = [], []
             for text in batch.column(0).to_pylist():
                 kinds.append(xxhash.xxh64_intdigest(text.encode()) >> 1)
@@ -185,7 +185,7 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, chain = shared.value
-        for batch in batches:
+        for batch in small(batches):
             found = []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 ids = slots[feature_ids(text, bits)]
