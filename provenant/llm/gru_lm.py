@@ -175,6 +175,7 @@ class Model:
                 "word_b": np.log(own / mass[words.word_class]),
             }
         self.weights = {k: np.ascontiguousarray(weights[k], np.float32) for k in self.names}
+        self.bound: float | None = None
 
     def states(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, kept: list | None = None) -> np.ndarray:
         """The states after each input of x (steps, rows); keep is 0 where a row's state starts anew before the step."""
@@ -204,16 +205,22 @@ class Model:
         """Natural logarithm of the probability of each symbol given its state."""
         w = self.weights
         classes = self.class_of[y]
-        logits = h @ w["class_w"] + w["class_b"]
-        logits -= logits.max(1, keepdims=True)
-        out = logits[np.arange(len(y)), classes] - np.log(np.exp(logits).sum(1))
+        logits = self._levelled(h @ w["class_w"] + w["class_b"])
+        out = logits[np.arange(len(y)), classes] - np.log(np.exp(logits) @ np.ones(logits.shape[1], np.float32))
         for a, b, rows in self._spans(classes):
             if b - a > 1:
-                inner = h[rows] @ w["word_w"][a:b].T + w["word_b"][a:b]
-                inner -= inner.max(1, keepdims=True)
-                out[rows] += inner[np.arange(len(rows)), y[rows] - a] - np.log(np.exp(inner).sum(1))
+                inner = self._levelled(h[rows] @ w["word_w"][a:b].T + w["word_b"][a:b])
+                out[rows] += inner[np.arange(len(rows)), y[rows] - a] - np.log(np.exp(inner) @ np.ones(b - a, np.float32))
         return out
 
+    def _levelled(self, logits: np.ndarray) -> np.ndarray:
+        """Logits whose exponentials are finite: states are within 1, so sums of weights bound them."""
+        if self.bound is None:
+            w = self.weights
+            sums = [np.abs(w["class_w"]).sum(0) + np.abs(w["class_b"]), np.abs(w["word_w"]).sum(1) + np.abs(w["word_b"])]
+            self.bound = max(float(x.max(initial=0)) for x in sums)
+        return logits if self.bound < 60 else logits - logits.max(1, keepdims=True)
+
     def step(self, windows: np.ndarray, squares: dict[str, np.ndarray], rate: float) -> float:
         """One AdaGrad step over windows of symbols (rows, 2 * WINDOW + 1); the mean loss in nats."""
         w, n = self.weights, HIDDEN
