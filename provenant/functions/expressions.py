@@ -162,3 +162,19 @@ def clip(text: Column, budget: int) -> Column:
     """Within the budget, cut at a word and marked."""
     cut = F.regexp_replace(F.substring(text, 1, budget - 1), r"\s+\S*$", "")
     return F.when(F.length(text) <= budget, text).otherwise(F.concat(cut, F.lit("…")))
+
+
+def is_tracker(name: Column) -> Column:
+    """Hosts that only measure or advertise."""
+    return F.lower(name).rlike(r"(^|\.)(analytics|pixel|track(er|ing)?|ads?|beacon|metrics|stats|tagmanager|doubleclick)\.")
+
+
+def route(url: Column, page_host: Column) -> Column:
+    """What a request of a page is: its own site, a tracker, data, or another site."""
+    own = registrable(host(url)) == registrable(page_host)
+    return F.when(url.startswith("data:"), "inline").when(host(url) == "", "none").when(is_tracker(host(url)), "tracker").when(own, "own").otherwise("other")
+
+
+def canonical_json(parsed: Column) -> Column:
+    """A map as JSON with sorted keys: equal content, equal text."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(parsed))))

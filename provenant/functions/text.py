@@ -450,3 +450,22 @@ def signals(body: str) -> dict[str, str]:
 def page_of(offsets: Sequence[int], at: int) -> int:
     """The page, from 1, that an offset is on, given where pages start."""
     return bisect_right(offsets, at)
+
+
+def occurrence_index(excerpt: str, body: str, at: int) -> int:
+    """How often an excerpt occurs before a place, so that the same words later in a page can be told apart."""
+    count, start = 0, 0
+    while 0 <= (start := body.find(excerpt, start)) < at and excerpt:
+        count, start = count + 1, start + 1
+    return count
+
+
+def hit_windows(hits: Sequence[tuple[int, int]], most: int = 350) -> list[tuple[int, int]]:
+    """Hits of a long sentence in groups whose spans stay within so many characters, from the left."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(hits):
+        if out and b - out[-1][0] <= most:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out

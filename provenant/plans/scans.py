@@ -279,3 +279,62 @@ def verified_quotes(spark, sf_dir):
 def sorted_titles(spark, sf_dir):
     rows = read(spark, sf_dir, "part").select("p_partkey", "p_name", F.lag("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("before"))
     return rows.where("before IS NOT NULL").select("p_partkey", F.round(udfs.set_ratio(F.col("p_name"), F.col("before")), 6).alias("set_ratio"), F.round(udfs.sort_ratio(F.col("p_name"), F.col("before")), 6).alias("sort_ratio"))
+
+
+@query("SELECT d.doc_id, p.first_id, p.n FROM documents d JOIN (SELECT sha256(text) AS sha, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1) p ON sha256(d.text) = p.sha")
+def content_store(spark, sf_dir):
+    """Content-addressed lookup: every document with the first that has its bytes."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    store = docs.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    return docs.join(store, "sha").select("doc_id", "first_id", "n")
+
+
+@query("""
+WITH d AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY 1, 2), f AS (SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS n FROM conversations) WHERE n = 1)
+SELECT conv_id, string_agg(role, ',' ORDER BY t, role) AS roles FROM d GROUP BY 1
+""")
+def ordered_distinct_roles(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
+    return turns.select("conv_id", F.array_join(E.ordered_distinct(F.col("roles")), ",").alias("roles"))
+
+
+@query("""SELECT sha256('{"k":' || json_extract_string(props, '$.k') || ',"t":"' || event_type || '"}') AS sha, count(*) AS n FROM events GROUP BY 1""")
+def canonical_events(spark, sf_dir):
+    parsed = F.map_concat(F.create_map(F.lit("t"), F.concat(F.lit('"'), "event_type", F.lit('"'))), F.create_map(F.lit("k"), F.get_json_object("props", "$.k")))
+    text = F.regexp_replace(F.regexp_replace(E.canonical_json(parsed), r'\\"', '"'), r'"k":"(-?\d+)"', '"k":$1')
+    return read(spark, sf_dir, "events").select(F.sha2(F.regexp_replace(text, '""', '"'), 256).alias("sha")).groupBy("sha").agg(F.count(F.lit(1)).alias("n"))
+
+
+_URL_HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+
+
+@query(f"""
+WITH h AS (SELECT page_id, {_URL_HOST} AS host, array_to_string(list_slice(string_split({_URL_HOST}, '.'), greatest(1, len(string_split({_URL_HOST}, '.')) - 1), len(string_split({_URL_HOST}, '.'))), '.') AS site FROM pages)
+SELECT page_id, CASE WHEN host = '' THEN 'none' WHEN site = 'example.com' THEN 'own' ELSE 'other' END AS route FROM h
+""")
+def request_routes(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", E.route(F.col("url"), F.lit("www.example.com")).alias("route"))
+
+
+@query(f"""
+WITH h AS (SELECT page_id, {_URL_HOST} AS host, DATE '2024-01-01' + CAST(page_id % 30 AS INT) AS day FROM pages), r AS (SELECT *, CASE WHEN page_id % 7 = 0 THEN NULL ELSE day END AS lastmod FROM h)
+SELECT host, page_id FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY lastmod DESC NULLS LAST, page_id) AS n FROM r) WHERE n <= 5
+""")
+def newest_pages(spark, sf_dir):
+    """The newest pages of a host first, undated ones last; five a host, as a collector's budget has it."""
+    pages = read(spark, sf_dir, "pages")
+    day = F.when(F.col("page_id") % 7 > 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 30).cast("int")))
+    rows = pages.select(E.host(F.col("url")).alias("host"), "page_id", day.alias("lastmod"))
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc_nulls_last("lastmod"), "page_id"))
+    return rows.withColumn("n", place).where("n <= 5").select("host", "page_id")
+
+
+@query(f"""
+WITH i AS ({ITEMS}) SELECT vendor_id, family, count(*) AS n, count(*) FILTER (WHERE review = 'accepted') AS accepted, CAST(min(published) AS VARCHAR) AS first_day, CAST(max(published) AS VARCHAR) AS last_day
+FROM i GROUP BY ROLLUP (vendor_id, family)
+""")
+def coverage_sheet(spark, sf_dir):
+    """Rows of a report sheet with totals by vendor and over all."""
+    return items(spark, sf_dir).rollup("vendor_id", "family").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("review") == "accepted").alias("accepted"), F.min("published").cast("string").alias("first_day"), F.max("published").cast("string").alias("last_day")
+    )

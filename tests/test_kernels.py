@@ -114,3 +114,9 @@ def test_html():
     assert html.published("<p>", "Wed, 21 Oct 2015 07:28:00 GMT") == ("2015-10-21", "last_modified")
     assert html.missed_blocks(page, re.compile("AI")) == ["Accept our nice AI cookies now or later please"]
     assert html.main_text("<nav>only</nav>") == "only"
+
+
+def test_occurrences_and_windows():
+    body = "ab ab ab"
+    assert [text.occurrence_index("ab", body, i) for i in (0, 3, 6)] == [0, 1, 2] and text.occurrence_index("x", body, 5) == 0
+    assert text.hit_windows([(400, 410), (0, 10), (100, 120), (340, 350)]) == [(0, 350), (400, 410)]
