@@ -29,7 +29,7 @@ SPLITS = 3
 ROUNDS = 8
 CHECK_BITS = 0xFFFFFFFF
 #: Percentiles that bound the stretches of ids, and rows of a stretch.
-BOUNDS, BUCKET = 500, 4000
+BOUNDS, BUCKET = 500, 1000
 #: First of the digest's bits that choose the block; those before choose cells, others in each try. The last choose halves.
 BLOCK_BIT = TABLES * BITS * (SPLITS + 1)
 
@@ -203,12 +203,18 @@ def with_next(docs: DataFrame) -> DataFrame:
     asked = [i / BOUNDS for i in range(BOUNDS + 1)]
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("doc_id", asked, 10 * BOUNDS).alias("bounds")).first()
     bounds = sorted(set(stats["bounds"] or [0]))
-    rows = docs.withColumn("bucket", _bucket(F.col("doc_id"), bounds, max(1, -(-stats["n"] // (len(bounds) * BUCKET)))))
+    parts = max(1, -(-stats["n"] // (len(bounds) * BUCKET)))
+    rows = docs.withColumn("bucket", _bucket(F.col("doc_id"), bounds, parts))
 
     firsts = rows.groupBy("bucket").agg(F.max_by("text", F.struct("doc_id", "text_hash")).alias("first_text"))
     firsts = written(firsts, "firsts")
-    numbers = firsts.select("bucket", F.lead("bucket").over(Window.orderBy(F.desc("bucket"))).alias("after"), F.max("bucket").over(Window.partitionBy()).alias("top"))
-    numbers = numbers.select(F.col("bucket").alias("own_bucket"), F.coalesce("after", "top").alias("next_bucket"))
+    # The stretch after each: inside its percentile, else the first of the next one; only the BOUNDS percentiles meet in one task.
+    numbers = firsts.select(F.col("bucket").alias("own_bucket"), F.floor(F.col("bucket") / parts).alias("percentile"))
+    tops = numbers.groupBy("percentile").agg(F.max("own_bucket").alias("top"))
+    down = Window.orderBy(F.desc("percentile"))
+    tops = tops.select("percentile", F.coalesce(F.lead("top").over(down), F.first("top").over(down)).alias("next_top"))
+    inside = F.lead("own_bucket").over(Window.partitionBy("percentile").orderBy(F.desc("own_bucket")))
+    numbers = numbers.withColumn("inside", inside).join(F.broadcast(tops), "percentile").select("own_bucket", F.coalesce("inside", "next_top").alias("next_bucket"))
     after = numbers.join(firsts, F.col("next_bucket") == F.col("bucket")).select("own_bucket", "first_text")
 
     within = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text_hash").desc())

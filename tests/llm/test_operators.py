@@ -232,6 +232,20 @@ def test_iblt_against_sets(spark, sf_dir, texts):
         assert len(r["removed"]) == len(own[0] - own[1]) and len(r["added"]) == len(own[1] - own[0])
 
 
+@pytest.mark.parametrize("bounds, bucket", [(500, 1000), (4, 3), (1, 1)])
+def test_next_documents(spark, monkeypatch, bounds, bucket):
+    monkeypatch.setattr(iblt, "BOUNDS", bounds)
+    monkeypatch.setattr(iblt, "BUCKET", bucket)
+    rng = random.Random(9)
+    ids = [rng.choice((rng.randrange(50), rng.randrange(10**6), -rng.randrange(10**18), 2**63 - 1 - rng.randrange(9))) for _ in range(60)] + [None, None, 7, 7]
+    rows = [(i, f"text {n}") for n, i in enumerate(ids)] + [(7, "twice"), (7, "twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.xxhash64("text").alias("text_hash"), F.array().cast("array<long>").alias("members"))
+    order = sorted({(r["doc_id"] is None, -(r["doc_id"] or 0), -r["text_hash"], r["text"]) for r in docs.collect()})
+    follows = {x[3]: order[(k + 1) % len(order)][3] for k, x in enumerate(order)}
+    found = iblt.with_next(docs).select("text", "next_text").collect()
+    assert len(found) == len(rows) and all(r["next_text"] == follows[r["text"]] for r in found)
+
+
 def test_iblt_peels_without_the_plain_comparison(spark):
     rows = [(list(range(1, 200)), list(range(150, 220)))]
     df = spark.createDataFrame(rows, "l array<long>, r array<long>").select(*[F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in "lr"])
