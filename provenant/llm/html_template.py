@@ -1,17 +1,18 @@
 """HTML extraction by equivalence classes: templates deduced from pages of one host.
 
-A token is an element's place (its path of block elements with their classes). Its occurrence vector says how often each page
-of the host has it. Tokens with equal vectors are a class; it is found without meeting the pages, as vectors are compared by
-a random sum over pages that partial aggregation adds up. Classes of enough tokens and pages are valid, nest by their
-places and make the host's template; what varies between its tokens are slots. The slots under the content's element,
-except those whose place says menu, advert, notice and so on, are a page's main text.
+A token is an element's place (its path of block elements with their classes), or a whole block of text at a place that has a
+class. Its occurrence vector says how often each page of the host has it. Tokens with equal vectors are a class; it is found
+without meeting the pages, as vectors are compared by a random sum over pages that partial aggregation adds up. Classes of
+enough tokens and pages are valid, nest by their places and make the host's template: text in the class of an element around it
+is template text, what varies between its tokens are slots. The slots under the content's element, except those whose place
+says menu, advert, notice and so on, are a page's main text.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -23,6 +24,8 @@ from provenant.llm.url_tree import split_url
 
 #: A valid class has so many tokens, on so many pages and on this share of the host's pages.
 TOKENS, PAGES, SUPPORT = 2, 2, 0.2
+#: Text on fewer pages is no template text: two pages alike may be copies.
+TEXT_PAGES = 3
 #: Elements nested deeper than this share the place of the one above, so places stay short.
 DEEPEST = 100
 #: (host, token) pairs that a task holds before it hands their sums on.
@@ -157,29 +160,41 @@ def _vector(page_key: str, count: int) -> int:
     return xxhash.xxh64_intdigest(f"{count}|{page_key}") >> 2 & 0x3FFFFFFFFFFFFFF
 
 
+def _text_key(place: str, text: str) -> str:
+    return xxhash.xxh3_64_hexdigest(f"{place}\n{text}")
+
+
 def occurrences(pages: DataFrame) -> DataFrame:
-    """key, host, html -> host, token, pages, total, vector, chars, link_chars, main: each token's occurrences on its host."""
+    """key, host, html -> host, token, text, pages, total, vector, chars, link_chars, main: each token's occurrences on its host.
+
+    token is a place; text is empty for the place itself, else the key of a block of text there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, str], list[int]] = {}
+        sums: dict[tuple[str, str, str], list[int]] = {}
 
         def handed() -> pa.RecordBatch:
             names = ["pages", "total", "vector", "chars", "link_chars", "main"]
-            keys = [pa.array([k[i] for k in sums], pa.string()) for i in range(2)]
+            keys = [pa.array([k[i] for k in sums], pa.string()) for i in range(3)]
             columns = [pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(6)]
-            return pa.RecordBatch.from_arrays([*keys, *columns], ["host", "token", *names])
+            return pa.RecordBatch.from_arrays([*keys, *columns], ["host", "token", "text", *names])
 
         for batch in small(batches):
             for key, host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own: dict[str, list[int]] = {}
+                own: dict[tuple[str, str], list[int]] = {}
                 for place, text, linked, main in blocks(page):
-                    row = own.setdefault(place, [0, 0, 0, 0])
+                    if text and main and "." in place:
+                        row = own.setdefault((place, _text_key(place, text)), [0, 0, 0, 1])
+                        row[0] += 1
+                        row[1] += len(text)
+                        row[2] += linked
+                    row = own.setdefault((place, ""), [0, 0, 0, 0])
                     row[0] += not text
                     row[1] += len(text)
                     row[2] += linked
                     row[3] |= main
-                for place, (count, chars, linked, main) in own.items():
-                    row = sums.setdefault((host, place), [0] * 6)
+                for token, (count, chars, linked, main) in own.items():
+                    row = sums.setdefault((host, *token), [0] * 6)
                     row[0] += 1
                     row[1] += count
                     row[2] = row[2] + _vector(key, count) & 0x3FFFFFFFFFFFFFF
@@ -192,22 +207,47 @@ def occurrences(pages: DataFrame) -> DataFrame:
         if sums:
             yield handed()
 
-    found = pages.select("key", "host", "html").mapInArrow(run, "host string, token string, pages long, total long, vector long, chars long, link_chars long, main long")
+    found = pages.select("key", "host", "html").mapInArrow(run, "host string, token string, text string, pages long, total long, vector long, chars long, link_chars long, main long")
     wrap = F.sum(F.col("vector").cast("decimal(38,0)")) % F.lit(1 << 58).cast("decimal(20,0)")
-    return found.groupBy("host", "token").agg(*[F.sum(n).alias(n) for n in ("pages", "total", "chars", "link_chars", "main")], wrap.cast("long").alias("vector"))
+    return found.groupBy("host", "token", "text").agg(*[F.sum(n).alias(n) for n in ("pages", "total", "chars", "link_chars", "main")], wrap.cast("long").alias("vector"))
 
 
 def templates(tokens: DataFrame) -> DataFrame:
-    """host -> tokens: the template's tokens, as (place, class, pages, chars, link_chars, main), in valid classes only.
+    """host -> tokens: the template's tokens, as (place, text, vector, pages, total, chars, link_chars, main): places with text, and
+    whatever is in a valid class.
 
     A token needs a share of its host's pages, so a template is no larger than a few pages' worth of places. The host's
     pages are counted by the empty place's pages, i.e. by the largest support.
     """
     size = tokens.groupBy("host").agg(F.max("pages").alias("host_pages"))
     wide = tokens.join(size, "host").where((F.col("pages") >= PAGES) & (F.col("pages") >= SUPPORT * F.col("host_pages")))
-    classes = wide.groupBy("host", "vector", "pages", "total").agg(F.count(F.lit(1)).alias("in_class"), F.min("token").alias("class"))
-    valid = wide.join(classes, ["host", "vector", "pages", "total"]).where((F.col("in_class") >= TOKENS) | (F.col("chars") > 0))
-    return valid.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("token", "class", "pages", "chars", "link_chars", (F.col("main") > 0).alias("main")))).alias("tokens"))
+    classes = wide.groupBy("host", "vector", "pages", "total").agg(F.count(F.lit(1)).alias("in_class"))
+    valid = wide.join(classes, ["host", "vector", "pages", "total"]).where((F.col("in_class") >= TOKENS) | (F.col("chars") > 0) & (F.col("text") == ""))
+    return valid.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("token", "text", "vector", "pages", "total", "chars", "link_chars", (F.col("main") > 0).alias("main")))).alias("tokens"))
+
+
+def template_texts(tokens: list[dict]) -> list[dict]:
+    """The tokens of text that nest in their class: an element at or above their place occurs on the same pages, as often."""
+    classes: dict[tuple, set[str]] = {}
+    for row in tokens:
+        if not row["text"]:
+            classes.setdefault((row["vector"], row["pages"], row["total"]), set()).add(row["token"])
+
+    def nests(row: dict) -> bool:
+        around, parts = classes.get((row["vector"], row["pages"], row["total"]), ()), row["token"].split("/")
+        return any("/".join(parts[:i]) in around for i in range(len(parts), 1, -1))
+
+    return [row for row in tokens if row["text"] and row["pages"] >= TEXT_PAGES and nests(row)]
+
+
+def slots(tokens: list[dict], fixed: list[dict]) -> list[dict]:
+    """The places, with the text that is not the template's."""
+    out = {row["token"]: dict(row) for row in tokens if not row["text"]}
+    for row in fixed:
+        if row["token"] in out:
+            out[row["token"]]["chars"] -= row["chars"]
+            out[row["token"]]["link_chars"] -= row["link_chars"]
+    return list(out.values())
 
 
 def content_place(tokens: list[dict]) -> str | None:
@@ -232,23 +272,31 @@ def content_place(tokens: list[dict]) -> str | None:
 
 
 def places(found: DataFrame) -> DataFrame:
-    """host, tokens -> tree_host, place: the content's element of each host's template, null if it has none."""
+    """host, tokens -> tree_host, place, fixed: the content's element of each host's template, null if it has none, and the
+    keys of the template's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            chosen = [content_place(tokens) for tokens in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chosen, pa.string())], ["tree_host", "place"])
+            chosen, keys = [], []
+            for tokens in batch.column(1).to_pylist():
+                fixed = template_texts(tokens)
+                chosen.append(content_place(slots(tokens, fixed)))
+                keys.append([row["text"] for row in fixed])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chosen, pa.string()), pa.array(keys, pa.list_(pa.string()))], ["tree_host", "place", "fixed"])
 
-    return found.select("host", "tokens").mapInArrow(run, "tree_host string, place string")
+    return found.select("host", "tokens").mapInArrow(run, "tree_host string, place string, fixed array<string>")
 
 
-def main_text(page: str, place: str | None) -> str:
+def main_text(page: str, place: str | None, fixed: Collection[str] = ()) -> str:
     """The blocks of the slots below a place, joined by line feeds; a page without such slots, or of a host without a
-    template, is judged by its own places."""
+    template, is judged by its own places. Below the place, template text (fixed) is cut where an element has a class; a page
+    that has nothing else keeps it."""
     found = [x for x in blocks(page) if x[1] and x[3]]
 
     def under(root: str | None) -> list[str]:
-        return [] if root is None else [text for p, text, _, _ in found if p == root or p.startswith(root + "/")]
+        own = [] if root is None else [(p, text) for p, text, _, _ in found if p == root or p.startswith(root + "/")]
+        varied = [text for p, text in own if not (fixed and "." in p[len(root or "") :] and _text_key(p, text) in fixed)]
+        return varied or [text for _, text in own]
 
     kept = under(place)
     if not kept:
@@ -266,14 +314,15 @@ def extract(pages: DataFrame) -> DataFrame:
     host, _ = split_url(F.col("url"))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
     key = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit("|"), F.xxhash64("html").cast("string"))
-    found = written(places(templates(occurrences(rows.select(key.alias("key"), "host", "html")))), "places")
+    tokens = written(occurrences(rows.select(key.alias("key"), "host", "html")), "tokens")
+    found = written(places(templates(tokens)), "places")
     if found.count() <= FEW_HOSTS:
-        found = F.broadcast(found)  # a name and a place a host; beyond that, Spark's skewed join splits a large host
-    told = rows.join(found, F.col("host") == F.col("tree_host"), "left").select(F.col("page_id").cast("long"), "url", "html", "place")
+        found = F.broadcast(found)  # a name, a place and the template's text keys a host; beyond that, Spark's skewed join splits a large host
+    told = rows.join(found, F.col("host") == F.col("tree_host"), "left").select(F.col("page_id").cast("long"), "url", "html", "place", "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            texts = [main_text(page, place) for page, place in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [main_text(page, place, set(fixed or ())) for page, place, fixed in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
             sizes = pa.array([len(x) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), sizes, batch.column(3)], ["page_id", "url", "text", "n_chars", "content"])
 

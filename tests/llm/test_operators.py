@@ -273,6 +273,16 @@ def test_html_main_text(spark, tag):
         assert r["text"] == f"Head {i} & A\nFirst para of {i} line\nSecond <one>\na\nb" and r["n_chars"] == len(r["text"])
 
 
+def test_html_template_text_is_cut(spark):
+    page = """<body><article><h1>Head {i}</h1><div class="tools"><p>Print this page</p><p>Send it</p></div><p class="lead">Lead {i}</p><p>Text {i}</p>{odd}<p class="x7">Our offer</p></article></body>"""
+    rows = [(i, f"http://h/{i}", page.format(i=i, odd="<div class=y9>Now and then</div>" * (i % 2))) for i in range(8)]
+    rows += [(i, "http://copies/", '<article><p class="a">The same article</p></article>') for i in range(8, 12)]
+    rows += [(i, "http://two/", f'<article><p class="a">Shared by two</p><p class="b">Own {i}</p></article>') for i in range(12, 14)]
+    found = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [found[i] for i in range(8)] == [f"Head {i}\nLead {i}\nText {i}" for i in range(8)]
+    assert {found[i] for i in range(8, 12)} == {"The same article"} and found[12] == "Shared by two\nOwn 12"
+
+
 def test_html_marks():
     page = """<body><div class="site-header"><h1>Site</h1></div><div class="layout has-sidebar"><div class="main with-ads"><article><div class="article-header"><h1>Title</h1><p>By me</p></div>
     <p>Text one</p><div class="ad-slot">Buy</div><section id="comments"><h3>2 replies</h3><p>No</p></section><div hidden>x</div></article></div><aside>Side</aside></div></body>"""
