@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -29,8 +30,11 @@ SEED = 42
 
 #: Similar documents: min-wise samples a band has, and bands. At a similarity of 0.8 a pair misses all bands once in 4,000.
 SAMPLES, BANDS = 4, 16
-#: A band's value that more documents share is not compared pair by pair but with so many hubs of it.
+#: A band's value that more documents share is not compared pair by pair: its documents meet so many hubs of it, and then on their
+#: rarest shingles.
 CROWD, HUBS = 32, 4
+#: Counters by which shingles are ordered; two that share one only make the order worse.
+COUNTERS, _CHUNK = 1 << 18, 1 << 10
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -172,11 +176,12 @@ def _signatures(rows: DataFrame, row: str, words: int) -> DataFrame:
     return rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "row long, doc_id long, kind string, fp long, bands array<long>")
 
 
-def _candidates(firsts: DataFrame, crowd: int, hubs: int, bucket: int) -> DataFrame:
-    """row, fp, bands of different texts -> a < b: pairs that share a band, or whose fingerprints are within two bits.
+def _candidates(firsts: DataFrame, crowd: int, hubs: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """row, fp, bands of different texts -> a < b: pairs that share a band, or whose fingerprints are within two bits; and
+    row: the members of crowds.
 
     Of a band's value that a crowd shares, every member meets the hubs: those whose bands are shared most, the nearest to
-    what the crowd has in common. Members alike for another reason share rarer values too, and meet there.
+    what the crowd has in common. That joins copies of one text; members alike for another reason meet in _crowd_pairs.
     """
     same = firsts.select("row", F.posexplode(F.concat(F.array("fp"), "bands")).alias("band", "value"))
     shared = same.groupBy("band", "value").agg(F.count(F.lit(1)).alias("sharing")).where("sharing > 1")
@@ -191,7 +196,57 @@ def _candidates(firsts: DataFrame, crowd: int, hubs: int, bucket: int) -> DataFr
     near = hamming_links(firsts.select("fp").distinct(), bucket)
     one = firsts.groupBy("fp").agg(F.min("row").alias("row"))
     near = near.join(one.select(F.col("fp").alias("a"), F.col("row").alias("x")), "a").join(one.select(F.col("fp").alias("b"), F.col("row").alias("y")), "b")
-    return pairs.union(stars).union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+    return pairs.union(stars).union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), degree.select("row")
+
+
+def _crowd_pairs(members: DataFrame, words: int, similarity: float) -> DataFrame:
+    """row, root, text -> a < b: all pairs of different roots whose sets of shingles can have this Jaccard similarity.
+
+    Prefix filtering: shingles are ordered by how many members have them (by counters that hashes share, so any number of shingles
+    will do). Two similar texts have their first common shingle among so few of their first ones that enough are left after it.
+    What a whole crowd shares stands last, so a passage or template in common makes no pairs by itself.
+    """
+
+    def sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        return (np.unique(shingle_hashes(text, words)) for text in batch.column(2).to_pylist())
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(COUNTERS, np.int64)
+        for batch in small(batches):
+            for own in sets(batch):
+                np.add.at(found, (own % np.uint64(COUNTERS)).astype(np.int64), 1)
+        parts = {i // _CHUNK: found[i : i + _CHUNK].tobytes() for i in range(0, COUNTERS, _CHUNK) if found[i : i + _CHUNK].any()}
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array(list(parts.values()), pa.binary())], ["chunk", "part"])
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "part": [sum(np.frombuffer(p, np.int64) for p in pdf["part"]).tobytes()]})
+
+    held = written(members.select("row", "root", "text"), "crowds")
+    total = np.zeros(COUNTERS, np.int64)
+    for r in held.mapInArrow(tally, "chunk int, part binary").groupBy("chunk").applyInPandas(added, "chunk int, part binary").collect():  # 2 MB
+        total[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["part"], np.int64)
+    shared = members.sparkSession.sparkContext.broadcast(total)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            sizes, firsts = [], []
+            for own in sets(batch):
+                first = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
+                firsts.append(own[np.argsort(shared.value[(own % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")][:first].view(np.int64))
+                sizes.append(len(own))
+            columns = [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "root", "n", "firsts"])
+
+    found = held.mapInArrow(prefixes, "row long, root long, n long, firsts array<long>")
+    posted = found.select("row", "root", "n", F.posexplode("firsts").alias("at", "shingle")).withColumn("left", F.col("n") - F.col("at"))
+    # The smaller text of a pair meets with fewer first shingles: as if the other were of its size.
+    posted = posted.withColumn("smaller", F.col("left") >= F.lit(2 * similarity / (1 + similarity)) * F.col("n") - 1e-6)
+    several = posted.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("smaller").alias("any")).where("r0 <> r1 AND any").select("shingle")
+    posted = checkpoint(posted.join(several, "shingle"))
+    need = F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    fits = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.row") < F.col("y.row"))
+    met = posted.where("smaller").alias("x").join(posted.alias("y"), [F.col("x.shingle") == F.col("y.shingle"), F.col("x.root") != F.col("y.root"), fits, F.least("x.left", "y.left") >= need])
+    return met.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, row: str, words: int, similarity: float) -> DataFrame:
@@ -225,15 +280,22 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, cro
 
     Texts with equal A-Z-lowered words are one kind (all wordless ones are). Kinds that meet in a fingerprint within two bits, or in
     a band of min-wise samples, are linked if their Jaccard similarity, computed on the whole texts, is at least `similarity`;
-    a group is what links reach. first marks one row of each group: of its smallest doc_id (nulls last). An
+    crowds of a band's value meet on their rarest shingles, which misses no link. A group is what links reach. first marks one row of each group: of its smallest doc_id (nulls last). An
     empty table gives no rows.
     """
     rows, row = numbered(docs)
     signs = written(_signatures(rows, row, words), "signatures")
     kinds = checkpoint(signs.groupBy("kind").agg(F.min("row").alias("least")))
     firsts = signs.join(kinds, F.col("row") == F.col("least"), "left_semi").select("row", "fp", "bands")
-    links = _verified(checkpoint(_candidates(firsts, crowd, hubs, bucket)), rows, row, words, similarity)
-    roots = components(links).withColumnRenamed("root", "reached")
+    pairs, crowded = _candidates(firsts, crowd, hubs, bucket)
+    roots = components(_verified(checkpoint(pairs), rows, row, words, similarity))
+    crowded = checkpoint(crowded)
+    if not crowded.isEmpty():
+        known = crowded.join(roots, F.col("row") == F.col("node"), "left").select(F.col("row").alias("member"), F.coalesce("root", "row").alias("root"))
+        members = rows.select(F.col(row).alias("row"), text_of().alias("text")).join(known, F.col("row") == F.col("member")).select("row", "root", "text")
+        more = _verified(checkpoint(_crowd_pairs(members, words, similarity)), rows, row, words, similarity)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    roots = roots.withColumnRenamed("root", "reached")
     tied = signs.select("row", "doc_id", "kind").join(kinds, "kind").join(roots, F.col("least") == F.col("node"), "left")
     tied = tied.select("row", "doc_id", F.coalesce("reached", "least").alias("group"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")

@@ -116,6 +116,21 @@ def test_a_crowd_of_copies_of_one_text_is_one_group(spark):
     assert [r["doc_id"] for r in kept] == [0]
 
 
+def test_pairs_inside_a_template_family_are_found(spark):
+    rng = random.Random(6)
+    passage, rows = [f"t{i}" for i in range(300)], []
+    for pair in range(120):
+        tail = [f"p{pair}w{i}" for i in range(rng.randrange(44, 54))]
+        for copy in range(2):
+            own = [f"c{pair}x{copy}y{i}" if copy and i % 7 == 3 and i < 7 * rng.choice((5, 6)) else w for i, w in enumerate(tail)]
+            rows.append((len(rows), " ".join(passage + own)))
+    linked = [(a, b) for a, x in rows for b, y in rows if a < b and similar(x, y) >= 0.8]
+    assert len(linked) > 100 and all(b == a + 1 for a, b in linked)
+    want = components_of(range(len(rows)), linked)
+    firsts = simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in firsts) == sorted(set(want.values()))
+
+
 def test_packing_round_trip(spark, sf_dir, texts):
     reference = tokenizers.Tokenizer.from_file(TOKENIZER)
     want = {i: reference.encode(t, add_special_tokens=False).ids + [1] for i, t in texts.items()}
