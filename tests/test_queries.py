@@ -1,5 +1,7 @@
 """Every query runs; those with SQL give DuckDB's rows."""
 
+import hashlib
+
 import duckdb
 import pandas as pd
 import pytest
@@ -36,6 +38,14 @@ def test_query(spark, sf_dir, con, name):
         assert shown(found, sorted(found.columns)) == shown(wanted, sorted(found.columns))
 
 
+def test_every_document_is_redacted(spark, tmp_path):
+    texts = ["call +44 20 7946 0958 now", "ask Dr. Jane Roe", "mail a@b.org", "plain"]
+    spark.createDataFrame(list(enumerate(texts)) + [(4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["redacted_sha"] for r in registry.QUERIES["redacted_texts"](spark, str(tmp_path)).collect()}
+    plain = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    assert set(found) == set(range(5)) and [found[i] != plain[i] for i in range(4)] == [True, True, True, False]
+
+
 def test_entry(spark, sf_dir):
     import __spark_entry__ as entry
 
