@@ -177,9 +177,7 @@ def decode(data: bytes) -> Stream:
     out = Stream()
     out.tags, at = _tag(data)
     end = len(data)
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        out.tags.setdefault("TIT2", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
+    tag = end - 128 if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" else -1  # an ID3v1 tag, unless in a whole frame
     heads: dict[bytes, Header | None] = {}
     sums: dict[bytes, int] = {}
     parts, synced, first = [], True, True
@@ -191,15 +189,22 @@ def decode(data: bytes) -> Stream:
         return heads[word]
 
     while at < end:
+        if at == tag:
+            out.tags.setdefault("TIT2", data[tag + 3 : tag + 33].rstrip(b"\0 ").decode("latin-1"))
+            break
         head = at_header(at)
         after = at + head.size if head else 0
+        if head and at < tag < after < end:  # a frame cut by the tag, unless another of its kind follows
+            follower = at_header(after)
+            head = head if follower and follower.kind == head.kind else None
         if head and not synced:  # damaged before: believe a header only if another of its kind, or the end, follows
             follower = at_header(after) if after < end else None
-            head = head if after == end or follower and follower.kind == head.kind else None
+            head = head if after in (end, tag) or follower and follower.kind == head.kind else None
         if not head or after > end:
             synced = False
             start, at = at, data.find(b"\xff", at + 1, end)
             at = end if at < 0 else at
+            at = tag if start < tag < at else at
             if out.gaps and out.gaps[-1][1] == start:
                 out.gaps[-1] = (out.gaps[-1][0], at)
             else:

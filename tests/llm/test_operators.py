@@ -212,6 +212,20 @@ def test_mpeg_round_trip_and_resync():
     assert mpeg.header_of(b"\xff\xfd\x80\x00").samples == 1152 and mpeg.header_of(b"\xff\xff\x90\x00").layer == 1 and mpeg.header_of(b"\xff\xe2\xf0\x00") is None
 
 
+def test_mpeg_payloads_may_say_tag():
+    for size in (192, 576, 1920):
+        for at in range(size - 200, size - 2):
+            payload = bytearray(b"a" * size)
+            payload[max(at, 0) : max(at, 0) + 3] = b"TAG"
+            assert mpeg.decode(mpeg.encode(bytes(payload))).payload == payload
+    for skip in range(3):
+        payload = (b"TAG" * 700)[skip:][:1920]
+        media = mpeg.encode(payload)
+        tagged = mpeg.decode(media + b"TAG" + b"Song".ljust(125, b"\0"))
+        cut = mpeg.decode(media[:-50] + b"TAG" + b"Song".ljust(125, b"\0"))
+        assert mpeg.decode(media).payload == payload == tagged.payload and not tagged.gaps and len(cut.gaps) == 1 and len(cut.offsets) == len(tagged.offsets) - 1
+
+
 def test_warc_salvage(spark):
     members = [warc.record("response", str(i), f"http://h/{i}", f"<p>{i}</p>".encode() * 50) for i in range(6)]
     data = bytearray(b"".join(members))
