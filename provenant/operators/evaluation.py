@@ -20,12 +20,16 @@ def agreement(rows: DataFrame, one: Column, other: Column, by: str) -> DataFrame
 def excerpt_hits(docs: DataFrame, excerpts: DataFrame, n: int = 6) -> DataFrame:
     """item_id, doc_id: documents that contain an excerpt verbatim.
 
-    Documents and excerpts meet on the excerpt's first run of n words, by equality, and only what meets is compared whole;
-    shorter excerpts meet on all their words.
+    Documents and excerpts meet on the first run of n of the excerpt's inner words, by equality, and only what meets is compared
+    whole. Inner words are whole words of a document that has the excerpt; the first and the last can be parts of words.
+    Shorter runs meet on all inner words; excerpts of one or two words, or none, are compared with every document.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[^\s]+"), F.lit(0))
-    probe = excerpts.select("item_id", F.col("text").alias("excerpt"), words.alias("words")).where(F.size("words") > 0)
+    probe = excerpts.where("text IS NOT NULL").select("item_id", F.col("text").alias("excerpt"), words.alias("words"))
+    short = probe.where(F.size("words") < 3).select("item_id", "excerpt")
+    probe = probe.where(F.size("words") >= 3).withColumn("words", F.expr("slice(words, 2, size(words) - 2)"))
     sizes = [r[0] for r in probe.select(F.least(F.size("words"), F.lit(n)).alias("n")).distinct().collect()]  # at most n values
+    hits = short.join(docs.select("doc_id", "text"), F.contains("text", "excerpt")).select("item_id", "doc_id")
     out = None
     for size in sorted(sizes):
         own = probe.where(F.least(F.size("words"), F.lit(n)) == size).select("item_id", "excerpt", F.array_join(F.slice("words", 1, size), " ").alias("probe"))
@@ -35,8 +39,8 @@ def excerpt_hits(docs: DataFrame, excerpts: DataFrame, n: int = 6) -> DataFrame:
         met = runs.join(inner, "probe_hash").select("item_id", "doc_id", "excerpt").distinct()
         out = met if out is None else out.union(met)
     if out is None:
-        return docs.select(F.lit(None).cast("long").alias("item_id"), "doc_id").where("false")
-    return out.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "excerpt")).select("item_id", "doc_id")
+        return hits
+    return hits.union(out.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "excerpt")).select("item_id", "doc_id"))
 
 
 def recall(excerpts: DataFrame, hits: DataFrame) -> DataFrame:

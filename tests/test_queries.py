@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from provenant.operators import evaluation
 from provenant.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -46,6 +47,15 @@ def test_every_document_is_redacted(spark, tmp_path):
     assert set(found) == set(range(5)) and [found[i] != plain[i] for i in range(4)] == [True, True, True, False]
 
 
+def test_excerpts_beside_other_characters(spark):
+    body = 'He said "the quick brown fox jumps over the lazy dog." Or (so be it) and onetwo'
+    texts = ["the quick brown fox jumps over the lazy dog", "said", "e said", "so be it", "the lazy dog.", "two", "it) and one", "quick  brown fox", "The quick brown", ""]
+    docs = spark.createDataFrame([(1, body), (2, "no such words"), (3, None)], "doc_id long, text string")
+    hits = evaluation.excerpt_hits(docs, spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "item_id long, text string")).collect()
+    want = [(i, d["doc_id"]) for i, t in enumerate(texts) for d in docs.collect() if d["text"] is not None and t in d["text"]]
+    assert sorted((r["item_id"], r["doc_id"]) for r in hits) == sorted(want)
+
+
 def test_entry(spark, sf_dir):
     import __spark_entry__ as entry
 
