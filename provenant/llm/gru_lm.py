@@ -4,8 +4,8 @@ Tokens are A-Z-lowered words and one end per text. The output is factored into c
 one over the words of the class. Frequent words (HEAD) are in classes of their own softmax; all others fall into TAILS
 classes by their last letters, and within these a word's probability is that of its smoothed count, so every word has one.
 
-Counts cover every training text. Each training text gives every STRIDE-th window, and one at least, to the
-gradient steps; a window before it warms up the state. Replicas train on parts of the windows from common
+Counts cover every training text. Each training text gives all its windows to the gradient steps, each to one round; a window
+before it warms up the state. Replicas train on parts of the windows from common
 weights, which are averaged after each round. Scoring runs over every token of every text with the state carried on.
 """
 
@@ -33,7 +33,7 @@ HEAD_CLASSES, TAILS = 40, 32
 #: Words whose counts each worker holds; rarer ones meet their counts in a join.
 HELD_WORDS = 1 << 18
 HIDDEN = 16
-WINDOW, STRIDE, ROUNDS = 32, 8, 4
+WINDOW, ROUNDS = 32, 4
 #: Windows of one gradient step, and windows of one replica and round.
 STEP, REPLICA = 64, 8192
 RATE = 0.08
@@ -306,7 +306,7 @@ def windows(texts: DataFrame, words: Vocabulary) -> DataFrame:
                 found = [*raw.split(), END]
                 many = -(-len(found) // WINDOW)
                 mark = zlib.crc32(raw)
-                for k in range(mark % min(STRIDE, many), many, STRIDE):
+                for k in range(many):
                     first = (k - 1) * WINDOW - 1  # place of the first symbol, the input of the warming window
                     last = min(len(found), (k + 1) * WINDOW)
                     row = np.full(2 * WINDOW + 1, PAD, np.uint16)
@@ -315,7 +315,7 @@ def windows(texts: DataFrame, words: Vocabulary) -> DataFrame:
                     if first < 0:
                         row[-1 - first] = own.end
                     out.append(row.tobytes())
-                    rounds.append((mark + k // STRIDE) % ROUNDS)
+                    rounds.append((mark + k) % ROUNDS)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(rounds, pa.int32())], ["symbols", "round"])
 
     return texts.select("text").mapInArrow(run, "symbols binary, round int")

@@ -386,6 +386,15 @@ def test_gru_counts_and_gain(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_gru_trains_on_every_token(spark):
+    texts = [" ".join(f"w{i % 37}" for i in range(n)) for n in (0, 5, 31, 32, 700, 1500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = gru_lm.windows(rows, gru_lm.vocabulary(gru_lm.counts(rows))).collect()
+    goals = [np.frombuffer(r["symbols"], np.uint16)[gru_lm.WINDOW + 1 :] for r in found]
+    assert sum(int((g != gru_lm.PAD).sum()) for g in goals) == sum(len(t.split()) + 1 for t in texts)
+    assert {r["round"] for r in found} == set(range(gru_lm.ROUNDS))
+
+
 def small_model():
     rng = np.random.default_rng(3)
     words = [b"\n", *(f"w{i}".encode() for i in range(30))]
