@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir, else (in tests) one of our own."""
+    """The folder the cluster names in spark.checkpoint.dir. Where it names none, a local session (as in tests) gets one of its
+    own; a cluster raises, as a machine's own folder would hide each executor's part from the others."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="provenant-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
@@ -19,5 +22,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder; its lineage ends there, so a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
