@@ -1,8 +1,7 @@
-"""What the operators share: input columns, shared storage, checkpoints."""
+"""What the operators share: input columns and shared storage."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provenant.functions.storage import checkpoint, checkpoint_dir
+
+__all__ = ["WORD", "checkpoint", "checkpoint_dir", "forget_written", "numbered", "small", "table", "text_of", "written"]
+
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,23 +33,6 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the one the cluster names, else (in tests) one of our own."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if named is None:
-        named = tempfile.mkdtemp(prefix="provenant-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder; its lineage ends there, so a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 _WRITTEN: list[str] = []
 
 

@@ -52,7 +52,10 @@ def encoder(path: str) -> tiktoken.Encoding:
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Whole sequences and a remainder per document: doc_id, start, length, ids_crc32, doc_tokens, and the ids if asked for."""
+    """Whole sequences and a remainder per document: doc_id, start, length, ids_crc32, doc_tokens, and the ids if asked for.
+
+    A null or empty text is the end id alone, in one piece; null ids and repeated rows are cut like others; other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode

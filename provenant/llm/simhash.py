@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenant.llm.common import checkpoint, numbered, small, text_of, written
-from provenant.llm.graph import components
+from provenant.operators.components import components
 
 RADIUS = 2
 WIDTHS = (22, 21, 21)

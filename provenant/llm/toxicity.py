@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from provenant.llm.common import small, text_of
 
@@ -139,7 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, categories:
     """Which features are kept, and the chain's models.
 
     At most `sample` labelled texts are used, the copies of a text once (a fold must not see its copies). Several labels of
-    one document count by their largest values. Without labels, the models say a half.
+    one document count by their largest values; a null label tells nothing, a label with a null doc_id is of no text. Null texts
+    are empty. Without labels, or without documents that have some, the models say a half.
     """
     asked = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     asked = asked.where("doc_id IS NOT NULL").withColumn("draw", F.xxhash64("doc_id")).orderBy("draw").limit(sample)
@@ -195,6 +197,6 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns, pa.array(out[:, -1] >= threshold)], [*batch.schema.names[:-1], *names, "tox_rejected"])
 
     base = docs.drop(*names, "tox_rejected")
-    fields = "".join(f"`{x.name}` {x.dataType.simpleString()}, " for x in base.schema)
+    schema = StructType([*base.schema.fields, *(StructField(n, DoubleType()) for n in names), StructField("tox_rejected", BooleanType())])
     hidden = "tox_text_" + "_" * max(len(x.name) for x in base.schema)  # longer than any other name
-    return base.withColumn(hidden, text_of()).mapInArrow(run, fields + ", ".join(f"{n} double" for n in names) + ", tox_rejected boolean")
+    return base.withColumn(hidden, text_of()).mapInArrow(run, schema)
