@@ -119,11 +119,15 @@ def item_key(url: Column, excerpt: Column) -> Column:
     return sha256(url, F.sha2(excerpt, 256))
 
 
+#: What stands between the parts of a title: a bar, a dash or two, a dot or two colons, with white space around.
+_BETWEEN = r"\s+(?:\||[-–—]{1,2}|·|•|::)\s+"
+
+
 def title_keys(title: Column) -> Column:
-    """The words of a title's parts of at least four words, each part sorted into one key."""
-    parts = F.split(F.lower(title), r"\s+[|–—-]\s+|\s*[|:]\s*")
-    words = F.transform(F.array_union(F.array(F.lower(title)), parts), lambda p: F.array_distinct(F.regexp_extract_all(p, F.lit(r"[a-z0-9]+"), F.lit(0))))
-    return F.array_distinct(F.transform(F.filter(words, lambda w: F.size(w) >= 4), lambda w: F.array_join(F.array_sort(w), " ")))
+    """The words of a title, and of each of its parts, in their order, where there are four or more; null gives null."""
+    wholes = F.concat(F.array(F.lower(title)), F.split(F.lower(title), _BETWEEN))
+    words = F.transform(wholes, lambda p: F.regexp_extract_all(p, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: F.size(w) >= 4), lambda w: F.array_join(w, " ")))
 
 
 def word_shingles(text: Column, n: int) -> Column:

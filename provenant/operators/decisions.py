@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenant.functions import expressions as E
-from provenant.operators import grading, runs
+from provenant.operators import folds, grading, runs
 
 
 def exposure() -> Column:
@@ -62,22 +63,18 @@ def host_policy(hosts: DataFrame, register: DataFrame, signals: DataFrame) -> Da
 
 
 def batches(items: DataFrame, key: str, order: Sequence[Column], most: int, budget: int) -> DataFrame:
-    """key, item_key, batch: items in order, a new batch when the count or the characters would be too many.
-
-    A fold over each key's sizes: only the number, size and id of items meet, not their texts.
-    """
-    placed = items.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    rows = placed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "item_key", F.col("size").cast("long").alias("size")))).alias("all"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<int>").alias("out"))
-
-    def add(state: Column, x: Column) -> Column:
-        full = (state["n"] > 0) & ((state["n"] >= most) | (state["chars"] + x["size"] > budget))
-        number = F.when(full, state["batch"] + 1).otherwise(state["batch"])
-        return F.struct(number.alias("batch"), F.when(full, 1).otherwise(state["n"] + 1).alias("n"), F.when(full, x["size"]).otherwise(state["chars"] + x["size"]).alias("chars"), F.concat(state["out"], F.array(number)).alias("out"))
-
-    numbers = F.aggregate("all", start, add, lambda s: s["out"])
-    pairs = F.arrays_zip(F.transform("all", lambda x: x["item_key"]).alias("item_key"), numbers.alias("batch"))
-    return rows.select(key, F.explode(pairs).alias("p")).select(key, "p.item_key", "p.batch")
+    """key, item_key, batch: items in order, a new batch when the count or the characters would be too many; only ids and sizes
+    are streamed, not the items' texts."""
+
+    def step(state: dict, row: tuple) -> tuple:
+        item, size = row
+        if state["n"] and (state["n"] >= most or state["chars"] + size > budget):
+            state.update(batch=state["batch"] + 1, n=0, chars=0)
+        state.update(n=state["n"] + 1, chars=state["chars"] + size)
+        return item, state["batch"]
+
+    rows = items.withColumn("size", F.col("size").cast("long"))
+    return folds.streamed(rows, [key], order, ["item_key", "size"], lambda: {"batch": 0, "n": 0, "chars": 0}, step, ["item_key", "batch"], [("long", pa.int64()), ("int", pa.int32())])
 
 
 def fitted(parts: Column, budget: int, gap: int = 1) -> Column:

@@ -50,7 +50,8 @@ def reviewed(items: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def access(requests: DataFrame, terms: DataFrame) -> DataFrame:
-    """host, seeded -> decision by the terms of the longest domain that the host is under.
+    """host, seeded -> decision by the terms of the longest domain that the host is under; what the terms don't allow in so many
+    words is refused.
 
     terms: domain, automation (allowed, limited, none, manual), rps. A host's domains are exploded and met by equality, so
     there is no join by pattern.
@@ -66,7 +67,9 @@ def access(requests: DataFrame, terms: DataFrame) -> DataFrame:
         .when(F.col("t").isNull(), "unknown")
         .when(F.col("t.automation") == "manual", "manual")
         .when(F.col("t.automation") == "none", "blocked_tou")
-        .when((F.col("t.automation") == "limited") & ~F.col("seeded"), "seeds_only")
+        .when((F.col("t.automation") == "limited") & ~F.coalesce("seeded", F.lit(False)), "seeds_only")
+        .when(~F.coalesce(F.col("t.automation").isin("allowed", "limited"), F.lit(False)), "unknown")
+        .when(F.col("t.rps").isNull(), "blocked_rate")
         .when(F.col("t.rps") <= 0, "blocked_rate")
         .otherwise("allow")
     )

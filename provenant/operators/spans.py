@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenant.functions import text, udfs
+from provenant.operators import folds
 
 #: Characters of a bin: spans meet in the bins they touch.
 BIN = 1024
@@ -45,12 +49,21 @@ def islands(spans: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def keep_greedily(spans: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """Best first, a span stays if it overlaps none that stays: a fold over each text's ranked spans."""
-    ranked = spans.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    rows = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "id", "start", "end"))).alias("all"))
-    clear = lambda acc, x: F.forall(acc, lambda y: (x["start"] >= y["end"]) | (y["start"] >= x["end"]))
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(clear(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    return rows.select(key, F.explode(kept).alias("k")).select(key, "k.id", "k.start", "k.end")
+    """Best first, a span stays if it overlaps none that stays: each text's ranked spans are streamed past those that stay."""
+
+    def step(state: tuple[list, list], row: tuple) -> tuple | None:
+        starts, ends = state  # of disjoint spans, both ascending
+        number, start, end = row
+        at = bisect_left(ends, start + 1)
+        if at < len(starts) and starts[at] < end:
+            return None
+        starts.insert(at, start)
+        ends.insert(at, end)
+        return number, start, end
+
+    longs = [("long", pa.int64())] * 3
+    cast = spans.withColumns({c: F.col(c).cast("long") for c in ("id", "start", "end")})
+    return folds.streamed(cast, [key], order, ["id", "start", "end"], lambda: ([], []), step, ["id", "start", "end"], longs)
 
 
 def sentences(docs: DataFrame) -> DataFrame:
@@ -69,8 +82,8 @@ def passages(docs: DataFrame, terms: Sequence[str], suppress: Sequence[str] = ()
 
     Suppressed phrases are masked first. A cheap pattern in the JVM keeps texts without any term from Python.
     """
-    words = sorted({w for t in terms for w in t.lower().split()[:1]})
-    likely = docs.where(F.lower("text").rlike("|".join(F"{w}" for w in words))) if words else docs.where("false")
+    whole = "|".join(sorted(r"\s+".join(map(re.escape, t.lower().split())) for t in terms if t.split()))
+    likely = docs.where(F.lower("text").rlike(rf"(?<![\p{{L}}\p{{N}}_])(?:{whole})")) if whole else docs.where("false")
     terms, suppress = list(terms), list(suppress)
 
     def find(body: str) -> list[tuple]:

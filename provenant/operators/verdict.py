@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenant.operators import grading
+from provenant.operators import folds, grading
 
 _SAME = {"cluster": ["vendor_id", "cluster_id"], "outlet": ["vendor_id", "publisher", "family"], "both": ["vendor_id", "cluster_id", "publisher", "family"], "vendor": ["vendor_id"]}
 
@@ -25,12 +26,19 @@ def independent_count(items: DataFrame, of: Column, name: str) -> DataFrame:
 
 
 def corroboration(items: DataFrame) -> DataFrame:
-    """item_key, corroborates: the sorted keys of the corroborating items that are independent of a qualifying one."""
-    q = items.where(grading.qualifying()).alias("q")
-    k = items.where(grading.corroborating()).alias("k")
-    apart = (F.col("q.cluster_id") != F.col("k.cluster_id")) & ((F.col("q.publisher") != F.col("k.publisher")) | (F.col("q.family") != F.col("k.family")))
-    pairs = q.join(k, (F.col("q.vendor_id") == F.col("k.vendor_id")) & apart)
-    return pairs.groupBy(F.col("q.item_key").alias("item_key")).agg(F.array_sort(F.collect_set("k.item_key")).alias("corroborates"))
+    """vendor_id, item_key, n_corroborating: of each qualifying item, how many independent corroborating ones there are.
+
+    Counts only; corroboration_classes has who they are, by class instead of by pair.
+    """
+    rows = independent_count(items, grading.corroborating(), "n_corroborating").where(grading.qualifying())
+    return rows.where("n_corroborating > 0").select("vendor_id", "item_key", "n_corroborating")
+
+
+def corroboration_classes(items: DataFrame) -> DataFrame:
+    """vendor_id, cluster_id, publisher, family, n_q, n_k, best: items that cannot tell themselves apart when it comes to
+    independence. Two items are independent if their classes differ in the cluster, and in the publisher or the family."""
+    q, k = grading.qualifying(), grading.corroborating()
+    return items.where(q | k).groupBy(*_SAME["both"]).agg(F.count_if(q).alias("n_q"), F.count_if(k).alias("n_k"), F.min("item_key").alias("best"))
 
 
 def verdicts(items: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -89,17 +97,22 @@ def verdicts(items: DataFrame, coverage: DataFrame) -> DataFrame:
 
 
 def distinct_sources(items: DataFrame) -> DataFrame:
-    """Greedy independent sources of a vendor, best first: an order-dependent fold over its corroborating origins.
+    """vendor_id, item_key, place: greedy independent sources of a vendor, best first; an item stays if it is independent of all
+    that stay.
 
-    Only the best item of each (cluster, publisher, family) can be kept, so the fold reads these, not all items.
+    Only the best item of each (cluster, publisher, family) can stay, so these are streamed, not all items. What stays has
+    clusters of its own, and each pair another publisher or family, so an item is judged by two lookups.
     """
-    from pyspark.sql import Window
-
     best = Window.partitionBy("vendor_id", "cluster_id", "publisher", "family").orderBy(*grading.rank_order())
-    few = items.where(grading.corroborating()).withColumn("place", F.row_number().over(best)).where("place = 1")
-    order = Window.partitionBy("vendor_id").orderBy(*grading.rank_order())
-    few = few.withColumn("place", F.row_number().over(order))
-    rows = few.groupBy("vendor_id").agg(F.array_sort(F.collect_list(F.struct("place", "item_key", "cluster_id", "publisher", "family"))).alias("all"))
-    apart = lambda x, y: (x["cluster_id"] != y["cluster_id"]) & ((x["publisher"] != y["publisher"]) | (x["family"] != y["family"]))
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.forall(acc, lambda y: apart(x, y)), F.concat(acc, F.array(x))).otherwise(acc))
-    return rows.select("vendor_id", F.transform(kept, lambda x: x["item_key"]).alias("sources"))
+    few = items.where(grading.corroborating()).withColumn("nth", F.row_number().over(best)).where("nth = 1")
+
+    def step(state: tuple[set, set], row: tuple) -> tuple | None:
+        clusters, outlets = state
+        key, cluster, publisher, family = row
+        if cluster in clusters or (publisher, family) in outlets:
+            return None
+        clusters.add(cluster)
+        outlets.add((publisher, family))
+        return key, len(clusters)
+
+    return folds.streamed(few, ["vendor_id"], grading.rank_order(), ["item_key", "cluster_id", "publisher", "family"], lambda: (set(), set()), step, ["item_key", "place"], [("long", pa.int64()), ("int", pa.int32())])

@@ -88,11 +88,16 @@ def evidence_ids(spark, sf_dir):
 
 
 @query(_GRADED + """
-SELECT q.item_key, array_to_string(list_sort(list(DISTINCT k.item_key)), ',') AS corroborates FROM ranked q JOIN ranked k
-  ON q.vendor_id = k.vendor_id AND q.cluster_id <> k.cluster_id AND (q.publisher <> k.publisher OR q.family <> k.family) WHERE q.is_q AND k.is_k GROUP BY 1
+SELECT q.vendor_id, q.item_key, count(*) AS n_corroborating FROM ranked q JOIN ranked k
+  ON q.vendor_id = k.vendor_id AND q.cluster_id <> k.cluster_id AND (q.publisher <> k.publisher OR q.family <> k.family) WHERE q.is_q AND k.is_k GROUP BY 1, 2
 """)
 def corroboration_links(spark, sf_dir):
-    return verdict.corroboration(items(spark, sf_dir)).withColumn("corroborates", F.array_join("corroborates", ","))
+    return verdict.corroboration(items(spark, sf_dir))
+
+
+@query(_GRADED + "SELECT vendor_id, cluster_id, publisher, family, count(*) FILTER (WHERE is_q) AS n_q, count(*) FILTER (WHERE is_k) AS n_k, min(item_key) AS best FROM ranked WHERE is_q OR is_k GROUP BY 1, 2, 3, 4")
+def corroboration_classes(spark, sf_dir):
+    return verdict.corroboration_classes(items(spark, sf_dir))
 
 
 _COMPLETE = f"""
@@ -150,7 +155,13 @@ def vendor_verdicts(spark, sf_dir):
     return verdict.verdicts(items(spark, sf_dir), runs.complete(_plan(spark, sf_dir), runs.family_status(derived(spark, sf_dir, COVERAGE))).drop("missing"))
 
 
-@query()
+@query(_GRADED.replace("WITH items", "WITH RECURSIVE items") + f""", w AS (SELECT vendor_id, item_key, cluster_id, publisher || family AS outlet, row_number() OVER (PARTITION BY vendor_id ORDER BY {_BEST_FIRST}) AS p FROM ranked WHERE is_k),
+f AS (SELECT vendor_id, p, item_key, true AS kept, [cluster_id] AS clusters, [outlet] AS outlets FROM w WHERE p = 1
+  UNION ALL SELECT w.vendor_id, w.p, w.item_key, NOT (list_contains(clusters, cluster_id) OR list_contains(outlets, outlet)),
+    CASE WHEN list_contains(clusters, cluster_id) OR list_contains(outlets, outlet) THEN clusters ELSE list_append(clusters, cluster_id) END,
+    CASE WHEN list_contains(clusters, cluster_id) OR list_contains(outlets, outlet) THEN outlets ELSE list_append(outlets, outlet) END FROM f JOIN w ON f.vendor_id = w.vendor_id AND w.p = f.p + 1)
+SELECT vendor_id, item_key, CAST(row_number() OVER (PARTITION BY vendor_id ORDER BY p) AS INT) AS place FROM f WHERE kept
+""")
 def distinct_sources(spark, sf_dir):
     return verdict.distinct_sources(items(spark, sf_dir))
 
@@ -422,7 +433,13 @@ def span_overlap_merge(spark, sf_dir):
     return spans.islands(_spans(spark, sf_dir, "orders"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE a AS ({_SPANS['orders']}), w AS (SELECT doc_id, id, start, end_at, row_number() OVER (PARTITION BY doc_id ORDER BY end_at - start DESC, id) AS p FROM a),
+f AS (SELECT doc_id, p, id, start, end_at, true AS kept, [{{'s': start, 'e': end_at}}] AS spans FROM w WHERE p = 1
+  UNION ALL SELECT w.doc_id, w.p, w.id, w.start, w.end_at, len(list_filter(spans, lambda x: x.s < w.end_at AND w.start < x.e)) = 0,
+    CASE WHEN len(list_filter(spans, lambda x: x.s < w.end_at AND w.start < x.e)) = 0 THEN list_append(spans, {{'s': w.start, 'e': w.end_at}}) ELSE spans END FROM f JOIN w ON f.doc_id = w.doc_id AND w.p = f.p + 1)
+SELECT doc_id, id, start, end_at AS "end" FROM f WHERE kept
+""")
 def span_greedy_keep(spark, sf_dir):
     return spans.keep_greedily(_spans(spark, sf_dir, "orders"), "doc_id", [(F.col("end") - F.col("start")).desc(), F.col("id")])
 
@@ -488,11 +505,14 @@ def response_cache(spark, sf_dir):
 
 
 @query("""
+WITH b AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM benchmark), bs AS (SELECT DISTINCT array_to_string(w[i:i + 5], ' ') AS s FROM b, unnest(range(1, len(w) - 4)) t(i)),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents), held AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, array_to_string(w[i:i + 5], ' ') AS s FROM d, unnest(range(1, len(w) - 4)) t(i)) JOIN bs USING (s))
 SELECT doc_id, CASE WHEN regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----|\\b(AKIA|ASIA)[0-9A-Z]{16}\\b|\\b(ghp|gho|ghs|sk|pk|xoxb|xoxp)[_-][A-Za-z0-9_-]{16,}|(?i)\\b(api[_-]?key|secret|password|passwd|token)\\b\\s*[:=]\\s*[^\\s]{6,}') THEN 'secret'
-  WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}') THEN 'email' WHEN source = 'src3' THEN 'host' END AS reason FROM documents
+  WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}') THEN 'email' WHEN held.doc_id IS NOT NULL THEN 'shingle' WHEN source = 'src3' THEN 'host' END AS reason FROM documents LEFT JOIN held USING (doc_id)
 """)
 def payload_guard(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").withColumn("n_blocked", F.lit(0))
+    docs = read(spark, sf_dir, "documents")
+    rows = docs.join(evaluation.blocked_shingles(docs, read(spark, sf_dir, "benchmark"), 6), "doc_id", "left")
     return evaluation.guard(rows, F.col("source") != "src3").select("doc_id", "reason")
 
 

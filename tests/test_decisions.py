@@ -30,8 +30,9 @@ def test_fitted_skips_what_is_too_long(spark):
 def test_distinct_sources_are_independent(spark, sf_dir):
     rows = items(spark, sf_dir)
     info = {r["item_key"]: r for r in rows.select("item_key", "vendor_id", "cluster_id", "publisher", "family").collect()}
+    kept = {}
     for r in verdict.distinct_sources(rows).collect():
-        kept = [info[k] for k in r["sources"]]
-        for i, a in enumerate(kept):
-            for b in kept[:i]:
-                assert a["cluster_id"] != b["cluster_id"] and (a["publisher"], a["family"]) != (b["publisher"], b["family"])
+        assert info[r["item_key"]]["vendor_id"] == r["vendor_id"]
+        kept.setdefault(r["vendor_id"], []).append(info[r["item_key"]])
+    for own in kept.values():
+        assert len({x["cluster_id"] for x in own}) == len(own) == len({(x["publisher"], x["family"]) for x in own})
