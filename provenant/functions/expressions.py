@@ -168,6 +168,81 @@ def clip(text: Column, budget: int) -> Column:
     return F.when(F.length(text) <= budget, text).otherwise(F.concat(cut, F.lit("…")))
 
 
+def dns_name(url: Column) -> Column:
+    """The name that a DNS-over-HTTPS address asks for, lower case, without a dot at its end; '' if it asks for none."""
+    raw = F.regexp_extract(F.coalesce(url, F.lit("")), r"[?&]name=([^&#]*)", 1)
+    return F.regexp_replace(F.lower(F.trim(F.try_url_decode(raw))), r"\.+$", "")
+
+
+def bare_domain(value: Column) -> Column:
+    """A web address or host as a lower-case host without www., port, path and dot at its end; null stays null."""
+    rest = F.regexp_replace(F.lower(F.trim(value)), r"^[a-z][a-z0-9+.-]*://", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_extract(F.regexp_replace(rest, r"^[^/?#@]*@", ""), r"^[^/?#:]*", 0), r"^www\.", ""), r"\.+$", "")
+
+
+def cache_key(model: Column, prompt_sha: Column, schema_sha: Column, payload_sha: Column, seed: Column) -> Column:
+    return sha256(model, prompt_sha, schema_sha, payload_sha, seed)
+
+
+def run_id(prefix: Column, as_of: Column, *parts: Column) -> Column:
+    """prefix, the day's digits and eight digits of the parts' hash: equal runs have equal ids."""
+    return F.concat_ws("-", prefix, F.date_format(as_of, "yyyyMMdd"), F.substring(sha256(*parts), 1, 8))
+
+
+def request_gap(rate: Column, crawl_delay: Column) -> Column:
+    """Seconds between requests of a host: what the rate asks for, or the delay if that is longer; no rate asks for nothing."""
+    return F.greatest(F.when(rate > 0, 1 / rate).otherwise(0.0), F.coalesce(crawl_delay.cast("double"), F.lit(0.0)))
+
+
+def first_fit(variants: Column, budget: int) -> Column:
+    """The first of some texts that is within the budget, else the last one clipped; null without any."""
+    fits = F.get(F.filter(variants, lambda v: F.length(v) <= budget), F.lit(0))
+    return F.coalesce(fits, clip(F.try_element_at(variants, F.lit(-1)), budget))
+
+
+def key_problems(keys: Column, wanted: list[str]) -> Column:
+    """struct(missing, unknown): how a set of keys differs from what it must be."""
+    have = F.array(*map(F.lit, wanted))
+    return F.struct(F.array_sort(F.array_except(have, keys)).alias("missing"), F.array_sort(F.array_except(keys, have)).alias("unknown"))
+
+
+def disagreements(one: Column, other: Column, keys: list[str]) -> Column:
+    """The keys, in their order, that both maps have with different values."""
+    differ = lambda k: F.map_contains_key(one, k) & F.map_contains_key(other, k) & (F.try_element_at(one, F.lit(k)) != F.try_element_at(other, F.lit(k)))
+    return F.array_compact(F.array(*[F.when(F.coalesce(differ(k), F.lit(False)), F.lit(k)) for k in keys]))
+
+
+def recut(spans: Column, start: Column, end: Column, body: Column) -> Column:
+    """array(struct(code, start, end)) within a span that was cut anew: those that still lie in it, with their text."""
+    kept = F.filter(spans, lambda s: (s["start"] >= start) & (s["end"] <= end) & (s["start"] < s["end"]))
+    return F.transform(kept, lambda s: F.struct(s["code"].alias("code"), s["start"].alias("start"), s["end"].alias("end"), F.substring(body, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).alias("span")))
+
+
+def review_problem(day: Column, recorded: Column, kind: Column, key: Column, value: Column, tiers: list[str]) -> Column:
+    """Why a review record is not valid, the first reason, or null: its day, its time (UTC), or an override that names no tier."""
+    iso = F.coalesce(day.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(day).isNotNull(), F.lit(False))
+    utc = F.coalesce(recorded.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|\+00:?00)$") & F.try_to_timestamp(recorded).isNotNull(), F.lit(False))
+    override = F.coalesce(kind == "tier_override", F.lit(False))
+    return F.when(~iso, "date").when(~utc, "recorded_at").when(override & ~F.coalesce(key == "tier", F.lit(False)), "key").when(override & ~F.coalesce(value.isin(*tiers), F.lit(False)), "value")
+
+
+def document_kind(content_type: Column, url: Column, head: Column) -> Column:
+    """How a capture is read: pdf, json, html or text, by its first bytes (as text), its type and its address."""
+    kind, path = F.lower(F.coalesce(content_type, F.lit(""))), F.regexp_replace(F.lower(F.coalesce(url, F.lit(""))), r"\?.*$", "")
+    first = F.substring(F.coalesce(head, F.lit("")), 1, 2048)
+    return (
+        F.when(first.startswith("%PDF-") | kind.contains("pdf") | path.endswith(".pdf"), "pdf")
+        .when(kind.contains("json") | path.endswith(".json"), "json")
+        .when(kind.contains("html") | kind.contains("xml") | first.rlike(r"(?i)<(html|body|p|div)\b"), "html")
+        .otherwise("text")
+    )
+
+
+def collector_rank(seeded: Column, family: Column, mandatory: Column) -> Column:
+    """The order of collectors: seeds, mandatory families, the rest, archives last."""
+    return F.when(seeded, 0).when(family == "HIST", 3).when(F.coalesce(mandatory, F.lit(False)), 1).otherwise(2)
+
+
 def is_tracker(name: Column) -> Column:
     """Hosts that only measure or advertise."""
     return F.lower(name).rlike(r"(^|\.)(analytics|pixel|track(er|ing)?|ads?|beacon|metrics|stats|tagmanager|doubleclick)\.")

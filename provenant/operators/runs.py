@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ def family_status(coverage: DataFrame) -> DataFrame:
         F.sum("documents").alias("documents"),
         F.array_join(F.array_sort(F.collect_set("collector")), "+").alias("collectors"),
         F.count(F.lit(1)).alias("n_rows"),
+        F.min_by("collector", F.struct(rank, "collector")).alias("decided_by"),
     )
 
 
@@ -115,3 +118,29 @@ def differences(left: DataFrame, right: DataFrame, key: list[str], value: str) -
 def dangling(cited: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
     """Cited keys that no evidence has: must be empty."""
     return cited.join(evidence.select(key), key, "left_anti")
+
+
+def publishers(hosts: DataFrame, named: DataFrame) -> DataFrame:
+    """host -> publisher: the name listed (domain, publisher) for the longest domain that the host is under, else the host itself
+    without www.; met by equality of domains."""
+    from provenant.functions import expressions as E
+
+    own = hosts.select("host").distinct().select("host", F.explode(E.suffixes(F.col("host"))).alias("domain")).join(named, "domain")
+    best = own.groupBy("host").agg(F.max_by("publisher", F.struct(F.length("domain"), "domain")).alias("listed"))
+    return hosts.join(best, "host", "left").withColumn("publisher", F.coalesce("listed", F.regexp_replace("host", r"^www\.", ""))).drop("listed")
+
+
+def ordered_union(groups: Sequence[DataFrame], key: str) -> DataFrame:
+    """The rows of all groups, of each key only those of the first group that has it, with that group's number; no order is left to
+    chance, as the number is a column. Keys repeated inside a group are one row: the least of them."""
+    every = None
+    for number, group in enumerate(groups):
+        own = group.withColumn("of_group", F.lit(number))
+        every = own if every is None else every.unionByName(own)
+    rest = [c for c in every.columns if c not in (key, "of_group")]
+    return every.groupBy(key).agg(F.min(F.struct("of_group", *rest)).alias("first")).select(key, *[f"first.{c}" for c in ("of_group", *rest)])
+
+
+def unknown(asked: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Asked-for keys that there are none of, each once: must be empty before a run selects by them."""
+    return asked.where(F.col(key).isNotNull()).select(key).distinct().join(known.select(key), key, "left_anti")

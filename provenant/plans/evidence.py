@@ -120,7 +120,8 @@ def _plan(spark, sf_dir):
 @query(f"""
 WITH cov AS ({COVERAGE})
 SELECT vendor_id, family, arg_min(status, list_position(['done_manual', 'stopped', 'done', 'pending', 'blocked_tou', 'blocked_robots', 'blocked_bot', 'error', 'descoped', 'not_applicable'], status)) AS status,
-  CAST(sum(requests) AS BIGINT) AS requests, max(cap) AS cap, CAST(sum(documents) AS BIGINT) AS documents, string_agg(DISTINCT collector, '+' ORDER BY collector) AS collectors, count(*) AS n_rows
+  CAST(sum(requests) AS BIGINT) AS requests, max(cap) AS cap, CAST(sum(documents) AS BIGINT) AS documents, string_agg(DISTINCT collector, '+' ORDER BY collector) AS collectors, count(*) AS n_rows,
+  min(printf('%02d', list_position(['done_manual', 'stopped', 'done', 'pending', 'blocked_tou', 'blocked_robots', 'blocked_bot', 'error', 'descoped', 'not_applicable'], status)) || collector)[3:] AS decided_by
 FROM cov GROUP BY 1, 2
 """)
 def family_status_rollup(spark, sf_dir):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provenant.functions import udfs
+
 
 def write_run(tables: Mapping[str, DataFrame], path: str, run_id: str) -> DataFrame:
     """Each table under path, partitioned by run; and the manifest: table, rows."""
@@ -48,3 +51,26 @@ def over_budget(cells: DataFrame, budgets: Mapping[str, int], allowed: Mapping[s
     long = F.coalesce(F.length("value") > F.get(F.array(F.try_element_at(limit, F.col("column"))), F.lit(0)), F.lit(False))
     odd = F.coalesce(~F.array_contains(F.try_element_at(values, F.col("column")), F.col("value")), F.lit(False))
     return cells.withColumn("problem", F.when(long, "too long").when(odd, "not allowed")).where("problem IS NOT NULL")
+
+
+def flattened(body: str) -> list[tuple[str, str]]:
+    """(path, value) of a JSON text's leaves in its order; paths join keys and places by dots. No JSON has none; empty containers are
+    leaves, strings stay as they are, other values are JSON."""
+    try:
+        todo: list[tuple[str, object]] = [("", json.loads(body))]
+    except ValueError:
+        return []
+    out = []
+    while todo:
+        path, value = todo.pop()
+        if isinstance(value, dict | list) and value:
+            inner = value.items() if isinstance(value, dict) else enumerate(value)
+            todo += [(f"{path}.{k}" if path else str(k), v) for k, v in reversed(list(inner))]
+        else:
+            out.append((path, value if isinstance(value, str) else json.dumps(value)))
+    return out
+
+
+def manifest_rows(manifests: DataFrame) -> DataFrame:
+    """key, body (JSON) -> key, ordinal, path, value: a row per leaf, however deep it nests."""
+    return udfs.spans(manifests, flattened, "path string, value string", ["path", "value"], key="key", body="body")

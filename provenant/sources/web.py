@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,3 +109,30 @@ def bot_wall(status: Column, headers: Column, body: Column) -> Column:
     """A refusal that asks for a human."""
     marks = F.lower(F.concat_ws(" ", headers, body)).rlike(r"captcha|cf-ray|challenge|are you a human|access denied|bot detection")
     return F.coalesce(status.isin(403, 503) & marks, F.lit(False))
+
+
+_MADE_OF = {"array": "ARRAY", "object": "OBJECT", "string": "STRING", "number": "(BIGINT|DECIMAL|DOUBLE)", "boolean": "BOOLEAN"}
+
+
+def shape_problem(body: Column, required: Mapping[str, str]) -> Column:
+    """Why a JSON reply has not the top-level shape asked for, the first reason, or null: no JSON, no object, a key that is missing
+    or of another type (array, object, string, number, boolean)."""
+    parsed = F.try_parse_json(body)
+    problem = F.when(parsed.isNull(), "no json").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "no object")
+    for key, kind in required.items():
+        own = F.schema_of_variant(F.try_variant_get(parsed, f"$.{key}", "variant"))
+        problem = problem.when(~F.coalesce(own.rlike(f"^{_MADE_OF[kind]}"), F.lit(False)), key)
+    return problem
+
+
+_CLAIM = "passage_id string, quote string, claim_kind string, subject string, named_providers array<string>, data_mentioned array<string>"
+
+
+def typed_claims(replies: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """reply_id, body -> reply_id, ordinal, valid, and the claim's typed columns. A claim without passage, quote or a known kind
+    is not valid; blank names and names that look like addresses are taken out. A body that is no object with claims has no rows."""
+    raw = replies.select("reply_id", F.posexplode(F.from_json("body", "claims array<string>")["claims"]).alias("ordinal", "raw"))
+    rows = raw.select("reply_id", "ordinal", F.from_json("raw", _CLAIM).alias("c")).select("reply_id", "ordinal", "c.*")
+    there = (F.coalesce("passage_id", F.lit("")) != "") & (F.coalesce("quote", F.lit("")) != "") & F.coalesce(F.col("claim_kind").isin(*kinds), F.lit(False))
+    clean = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: (F.trim(x) != "") & ~x.rlike(r"(?i)^(https?://|www\.)"))
+    return rows.withColumn("valid", there).withColumns({c: clean(F.col(c)) for c in ("named_providers", "data_mentioned")})
