@@ -17,10 +17,11 @@ QUOTES = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "′": "'", "“": '"'
 DASHES = {"‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-", "−": "-"}
 INVISIBLE = {"​", "‌", "‍", "⁠", "﻿", "­"}
 
-#: Words whose full stop ends no sentence.
+#: Words whose full stop ends no sentence: of the English suppressions of Unicode's CLDR, those of prose and companies.
 ABBREVIATIONS = {
-    "mr", "mrs", "ms", "dr", "prof", "st", "jr", "sr", "inc", "ltd", "co", "corp", "vs", "etc", "no", "fig", "sec", "art", "dept", "est", "approx", "e.g", "i.e", "cf", "al",
-    "jan", "feb", "aug", "sept", "oct", "nov", "dec", "u.s", "u.k",
+    "adj", "approx", "aug", "capt", "co", "col", "conn", "cont", "corp", "dec", "def", "dept", "diff", "dr", "e.g", "est", "etc", "ex", "exec", "feb", "fig", "gen", "gov", "hon", "i.e", "inc", "jan", "jr",
+    "lt", "ltd", "maj", "mar", "mgr", "min", "misc", "mr", "mrs", "ms", "mt", "n.y", "no", "nov", "nr", "num", "oct", "org", "ph.d", "phys", "pp", "prof", "rev", "sep", "sept", "sgt", "sr", "st",
+    "u.k", "u.s", "vs", "yr",
 }
 
 
@@ -108,21 +109,46 @@ def comparison_key(text: str) -> str:
     return "".join(c for c in fold(text) if c.isalnum())
 
 
-_END = re.compile(r"[.!?][\"'’”)\]]*\s+(?=[\"'‘“(\[]*[A-Z0-9À-Þ])|\n\s*\n\s*|\n\s*(?=[-*•‣●]\s)")
+_MARK = re.compile(r"[.!?]+|\n\s*")
+_ITEM = re.compile(r"[-*•‣●]\s")
+
+
+def _past(text: str, at: int, kinds: tuple[str, ...]) -> int:
+    """Past punctuation of these Unicode categories, and straight quotes."""
+    while at < len(text) and (text[at] in "\"'" or unicodedata.category(text[at]) in kinds):
+        at += 1
+    return at
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of sentences: an end mark before a capital or digit, a blank line, or a bullet; not after an
-    abbreviation or an initial. White space around is left out."""
+    """(start, end) of sentences, without white space around.
+
+    A sentence ends at end marks, with what closes behind them, if white space and then a capital or digit follow, perhaps behind
+    something that opens; not at a full stop after an abbreviation or an initial. It also ends at a blank line and before a list's item.
+    """
     spans, start = [], 0
-    for match in _END.finditer(text):
-        if match[0][0] == ".":
-            word = re.search(r"(\S+)$", text[start : match.start()])
-            last = word[1].lstrip("\"'([").lower() if word else ""
-            if last in ABBREVIATIONS or re.fullmatch(r"[a-z]", last):
+    for mark in _MARK.finditer(text):
+        if mark.start() < start:
+            continue
+        if mark[0][0] == "\n":
+            if mark[0].count("\n") < 2 and not _ITEM.match(text, mark.end()):
                 continue
-        spans.append((start, match.end()))
-        start = match.end()
+            end, after = mark.span()
+        else:
+            end = after = _past(text, mark.end(), ("Pe", "Pf"))
+            while after < len(text) and text[after].isspace():
+                after += 1
+            opens = _past(text, after, ("Ps", "Pi"))
+            if after == end or opens >= len(text) or not (text[opens].isupper() or text[opens].isdigit()):
+                if not (after > end and "\n" in text[end:after].strip(" \t") and (text[end:after].count("\n") > 1 or _ITEM.match(text, after))):
+                    continue
+            elif mark[0] == ".":
+                words = text[start : mark.start()].rsplit(None, 1)
+                last = words[-1].lstrip("\"'([").lower() if words and not text[mark.start() - 1].isspace() else ""
+                if last in ABBREVIATIONS or len(last) == 1 and last.isalpha():
+                    continue
+        spans.append((start, end))
+        start = after
     spans.append((start, len(text)))
     out = []
     for a, b in spans:
@@ -324,7 +350,7 @@ def locate_excerpt(excerpt: str, text: str, least: float = 90.0) -> tuple[str, f
 
 
 _SENSITIVE = (
-    ("EMAIL", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")),
+    ("EMAIL", re.compile(r"""[^\s@<>()\[\],;:"']+@(?:[0-9A-Za-z-]+\.)+[A-Za-z]{2,}""")),
     ("PHONE", re.compile(r"(?<![\w.])\+?\d[\d ()/-]{7,}\d(?![\w.])")),
     ("PERSON", re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?")),
 )

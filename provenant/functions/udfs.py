@@ -34,13 +34,11 @@ normalised = mapped(lambda t: text.normalise(t)[0], _STRING)
 folded = mapped(text.fold, _STRING)
 key_of = mapped(text.comparison_key, _STRING)
 located = mapped(lambda q, t: (text.locate(q, t) or (-1, -1))[0], _INT)
-compact = mapped(text.compact_name, _STRING)
 main_text = mapped(html.main_text, _STRING)
 title = mapped(html.title, _STRING)
 links = mapped(html.links, _STRINGS)
 number_list = mapped(text.numbers, _STRINGS)
 token_list = mapped(text.tokens, _STRINGS)
-shingle_list = mapped(text.shingles, _STRINGS)
 redacted = mapped(lambda t: text.redact(t)[0], _STRING)
 set_ratio = mapped(text.token_set_ratio, _DOUBLE)
 sort_ratio = mapped(text.token_sort_ratio, _DOUBLE)

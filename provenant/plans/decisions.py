@@ -171,10 +171,14 @@ def isolated_failures(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT o_custkey AS k, list_sort(list({'rank': o_orderkey % 3, 'place': o_orderkey, 'body': o_orderpriority || o_orderstatus})) AS parts FROM orders GROUP BY 1)
-SELECT k, CAST(len(parts) AS INT) AS n FROM p
+WITH RECURSIVE p AS (SELECT o_custkey AS k, o_orderkey % 7 AS place, o_orderkey, o_orderpriority || o_orderstatus AS body, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 3, o_orderkey % 7, o_orderkey) AS n FROM orders),
+f AS (SELECT k, n, length(body) AS used, CASE WHEN length(body) <= 40 THEN [{'place': place, 'n': n, 'body': body}] ELSE [] END AS kept FROM p WHERE n = 1
+  UNION ALL SELECT p.k, p.n, CASE WHEN used + 1 + length(body) <= 40 THEN used + 1 + length(body) ELSE used END, CASE WHEN used + 1 + length(body) <= 40 THEN list_append(kept, {'place': p.place, 'n': p.n, 'body': body}) ELSE kept END FROM f JOIN p ON f.k = p.k AND p.n = f.n + 1)
+SELECT k, array_to_string(list_transform(list_sort(arg_max(kept, n)), lambda x: x.body), ' ') AS fit FROM f GROUP BY k
 """)
 def fitted_parts(spark, sf_dir):
-    part = F.struct((F.col("o_orderkey") % 3).alias("rank"), F.col("o_orderkey").alias("place"), F.concat("o_orderpriority", "o_orderstatus").alias("body"))
+    part = F.struct((F.col("o_orderkey") % 3).alias("rank"), F.struct((F.col("o_orderkey") % 7).alias("at"), "o_orderkey").alias("place"), F.concat("o_orderpriority", "o_orderstatus").alias("body"))
     rows = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_list(part).alias("parts"))
-    return rows.withColumn("fit", decisions.fitted(F.col("parts"), 40)).where(F.length("fit") <= 40).select("k", F.size("parts").alias("n"))
+    by_rank = rows.withColumn("parts", F.array_sort("parts"))
+    placed = F.transform("parts", lambda x, i: F.struct(x["rank"].alias("rank"), F.struct(x["place"]["at"].alias("at"), i.alias("turn")).alias("place"), x["body"].alias("body")))
+    return by_rank.select("k", decisions.fitted(placed, 40).alias("fit"))

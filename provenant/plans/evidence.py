@@ -198,7 +198,13 @@ def criticality_sensitivity(spark, sf_dir):
     return scoring.sensitivity(derived(spark, sf_dir, PROFILES), "vendor_id")
 
 
-_POLICY = ", ".join(f"('{t}', '{f}', {str(f not in scoring.OPTIONAL[t]).lower()}, {'NULL' if c is None else c}, {scoring.DEPTH['Critical'][0][i]})" for t, (caps, *_) in scoring.DEPTH.items() for i, (f, c) in enumerate(zip(scoring.FAMILIES, caps, strict=True)))
+#: The policy once more, written apart from the operator's.
+_POLICY = """
+('Critical', 'LEG', true, 40, 40), ('Critical', 'REG', true, 80, 80), ('Critical', 'PRD', true, 150, 150), ('Critical', 'JOB', true, 120, 120), ('Critical', 'DNS', true, 40, 40), ('Critical', 'IND', true, 30, 30), ('Critical', 'HIST', true, 30, 30), ('Critical', 'EXEC', false, 0, 0),
+('High', 'LEG', true, 40, 40), ('High', 'REG', true, 40, 80), ('High', 'PRD', true, 100, 150), ('High', 'JOB', true, 60, 120), ('High', 'DNS', true, 40, 40), ('High', 'IND', true, 20, 30), ('High', 'HIST', false, 0, 30), ('High', 'EXEC', false, 0, 0),
+('Medium', 'LEG', true, 15, 40), ('Medium', 'REG', true, 5, 80), ('Medium', 'PRD', true, 20, 150), ('Medium', 'JOB', true, 15, 120), ('Medium', 'DNS', true, 20, 40), ('Medium', 'IND', false, NULL, 30), ('Medium', 'HIST', false, NULL, 30), ('Medium', 'EXEC', false, NULL, 0),
+('Low', 'LEG', true, 3, 40), ('Low', 'REG', false, NULL, 80), ('Low', 'PRD', true, 1, 150), ('Low', 'JOB', false, NULL, 120), ('Low', 'DNS', true, 10, 40), ('Low', 'IND', false, NULL, 30), ('Low', 'HIST', false, NULL, 30), ('Low', 'EXEC', false, NULL, 0)
+"""
 
 
 @query(f"""
@@ -392,10 +398,10 @@ def label_agreement(spark, sf_dir):
 
 
 @query(f"""
-WITH i AS ({ITEMS}) SELECT CAST(12 * (2001 - year(published)) + 12 - month(published) AS INT) AS months, strftime(CAST(published - INTERVAL 6 MONTH AS DATE), '%Y-%m-%d') AS earlier, strftime(published, '%Y-%m-%d') AS iso, count(*) AS n FROM i GROUP BY 1, 2, 3
+WITH i AS ({ITEMS}) SELECT CAST(12 * (2001 - year(published)) + 10 - month(published) - CASE WHEN day(published) > 15 THEN 1 ELSE 0 END AS INT) AS months, strftime(CAST(published - INTERVAL 6 MONTH AS DATE), '%Y-%m-%d') AS earlier, strftime(published, '%Y-%m-%d') AS iso, count(*) AS n FROM i GROUP BY 1, 2, 3
 """)
 def date_rules(spark, sf_dir):
-    rows = items(spark, sf_dir).select(E.months_apart(F.col("published"), F.lit(AS_OF).cast("date")).alias("months"), E.months_before(F.col("published"), 6).cast("string").alias("earlier"), F.date_format("published", "yyyy-MM-dd").alias("iso"))
+    rows = items(spark, sf_dir).select(E.months_apart(F.col("published"), F.lit("2001-10-15").cast("date")).alias("months"), E.months_before(F.col("published"), 6).cast("string").alias("earlier"), F.date_format("published", "yyyy-MM-dd").alias("iso"))
     return rows.groupBy("months", "earlier", "iso").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -509,7 +515,7 @@ def response_cache(spark, sf_dir):
 WITH b AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM benchmark), bs AS (SELECT DISTINCT array_to_string(w[i:i + 5], ' ') AS s FROM b, unnest(range(1, len(w) - 4)) t(i)),
 d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents), held AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, array_to_string(w[i:i + 5], ' ') AS s FROM d, unnest(range(1, len(w) - 4)) t(i)) JOIN bs USING (s))
 SELECT doc_id, CASE WHEN regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----|\\b(AKIA|ASIA)[0-9A-Z]{16}\\b|\\b(ghp|gho|ghs|sk|pk|xoxb|xoxp)[_-][A-Za-z0-9_-]{16,}|(?i)\\b(api[_-]?key|secret|password|passwd|token)\\b\\s*[:=]\\s*[^\\s]{6,}') THEN 'secret'
-  WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}') THEN 'email' WHEN held.doc_id IS NOT NULL THEN 'shingle' WHEN source = 'src3' THEN 'host' END AS reason FROM documents LEFT JOIN held USING (doc_id)
+  WHEN regexp_matches(text, '[^\\s@<>()\\[\\],;:"'']+@([0-9A-Za-z-]+[.])+[A-Za-z]{2,}') THEN 'email' WHEN held.doc_id IS NOT NULL THEN 'shingle' WHEN source = 'src3' THEN 'host' END AS reason FROM documents LEFT JOIN held USING (doc_id)
 """)
 def payload_guard(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")

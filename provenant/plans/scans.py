@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenant.functions import expressions as E
 from provenant.functions import udfs
+from provenant.functions.storage import checkpoint_dir
 from provenant.operators import evaluation, grading, runs, spans, verify
 from provenant.plans.tables import ITEMS, PROFILES, derived, items, query, read
 from provenant.sources import sinks, tables, web
@@ -78,10 +81,12 @@ def registrant_lookup(spark, sf_dir):
     return web.registrants(vendors, listed).select("vendor_id", "cik")
 
 
-@query("SELECT o_orderkey FROM orders WHERE regexp_matches(lower(o_orderpriority), 'urgent|high') AND CAST(o_orderdate AS DATE) >= DATE '1998-12-31'")
+@query("SELECT o_orderkey FROM orders WHERE (regexp_matches(lower(o_orderpriority), 'urgent|high') OR o_orderkey % 13 = 0) AND (o_orderkey % 17 = 0 OR CAST(o_orderdate AS DATE) >= DATE '1998-12-31')")
 def job_postings(spark, sf_dir):
-    jobs = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("title"), F.lit("").alias("body"), F.to_date("o_orderdate").alias("posted"))
-    return web.postings(jobs, "urgent|high", "^$a", F.lit("2000-12-31").cast("date")).select("o_orderkey")
+    body = F.when(F.col("o_orderkey") % 13 == 0, "You will train Machine Learning models").otherwise("You will not")
+    posted = F.when(F.col("o_orderkey") % 17 > 0, F.to_date("o_orderdate"))
+    jobs = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("title"), body.alias("body"), posted.alias("posted"))
+    return web.postings(jobs, "urgent|high", "machine learning", F.lit("2000-12-31").cast("date")).select("o_orderkey")
 
 
 @query("SELECT 'k' || c_custkey AS key, 'http://web/' || c_custkey AS url, '20' || lpad(CAST(c_custkey % 24 AS VARCHAR), 2, '0') || '-0' || (1 + c_custkey % 9) || '-15' AS day FROM customer WHERE c_custkey % 3 > 0")
@@ -108,9 +113,12 @@ def blog_posts(spark, sf_dir):
     return web.posts(bodies).select("id", "day", F.length("text").alias("n_chars"))
 
 
-@query(f"SELECT family AS \"table\", count(*) AS \"rows\" FROM ({ITEMS}) GROUP BY 1")
+@query(f"SELECT 'items' AS \"table\", count(*) AS \"rows\" FROM ({ITEMS}) UNION ALL SELECT 'decisions', count(*) FROM (SELECT DISTINCT event_type, value > 50 FROM events)")
 def run_manifest(spark, sf_dir):
-    return items(spark, sf_dir).groupBy(F.col("family").alias("table")).agg(F.count(F.lit(1)).alias("rows"))
+    """A run's tables and how many rows of each were written and can be read again."""
+    path = f"{checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
+    gates = sinks.decisions(read(spark, sf_dir, "events").select(F.col("event_type").alias("gate"), F.when(F.col("value") > 50, "deny").otherwise("allow").alias("decision")))
+    return sinks.write_run({"items": items(spark, sf_dir), "decisions": gates}, path, "r1")
 
 
 _LOG = "SELECT o_custkey % 40 AS vendor_id, 'm' || (o_orderkey % 4) AS model, CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'withheld' ELSE 'ok' END AS status, o_orderkey % 3 = 0 AS cached, 'h' || (o_custkey % 6) AS host, CASE WHEN o_orderkey % 31 = 0 THEN 'text' END AS payload, o_orderkey AS call FROM orders"
@@ -253,26 +261,52 @@ def number_counts(spark, sf_dir):
     return found.where(F.size("n") > 0).select("doc_id", F.size("n").alias("numbers"), F.size(F.array_distinct("n")).alias("distinct_numbers"))
 
 
-@query()
-def claims_merged(spark, sf_dir):
-    """Proposals absorbed by the passage they overlap most."""
-    own = spans.sentences(read(spark, sf_dir, "documents"))
-    ids = own.select(F.xxhash64("doc_id", "start").alias("id"), "doc_id", "start", "end")
-    return verify.merge(ids.withColumn("end", F.col("end") + 10), ids)
+_PROPOSED = """SELECT o_orderkey AS id, o_orderkey % 300 AS doc_id, (o_orderkey * 41 + o_custkey * 13) % 5000 AS start, (o_orderkey * 41 + o_custkey * 13) % 5000 + 25 + o_custkey % 60 AS end_at FROM orders"""
+_HELD = """SELECT c_custkey AS id, c_custkey % 300 AS doc_id, (c_custkey * 59) % 5000 AS start, (c_custkey * 59) % 5000 + 30 + c_custkey % 300 AS end_at FROM customer"""
 
 
-@query()
-def fuzzy_recall(spark, sf_dir):
-    marks = read(spark, sf_dir, "benchmark")
-    hits = evaluation.excerpt_hits(read(spark, sf_dir, "documents"), marks)
-    return verify.fuzzy_recall(hits.join(marks.select("item_id", F.col("text").alias("excerpt")), "item_id"), read(spark, sf_dir, "documents"))
+@query(f"""
+WITH a AS ({_PROPOSED}), b AS ({_HELD}), j AS (SELECT a.id AS proposal_id, b.id AS item_id, row_number() OVER (PARTITION BY a.id ORDER BY least(a.end_at, b.end_at) - greatest(a.start, b.start) DESC, b.id) AS n FROM a JOIN b ON a.doc_id = b.doc_id AND a.start < b.end_at AND b.start < a.end_at)
+SELECT a.id AS proposal_id, item_id FROM a LEFT JOIN j ON a.id = proposal_id AND n = 1
+""")
+def claims_merged(spark, sf_dir):
+    """Proposals absorbed by the item they overlap most; the others stay."""
+    own, held = (derived(spark, sf_dir, x).withColumnRenamed("end_at", "end") for x in (_PROPOSED, _HELD))
+    return verify.merge(own, held)
 
 
-@query()
+@query("""
+SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'exact' ELSE 'fuzzy' END AS how, CASE WHEN item_id % 3 = 0 THEN 100.0::DOUBLE ELSE round(100.0::DOUBLE * (length(cut) - 1) / length(cut), 6) END AS score
+FROM (SELECT item_id, doc_id, substr(regexp_extract(lower(b.text), '[a-z]+ [a-z]+ [a-z]+ [a-z]+'), 1, 40) AS cut, d.text FROM benchmark b, documents d WHERE contains(d.text, b.text)) WHERE length(cut) >= 12
+""")
+def fuzzy_recall(spark, sf_dir):
+    """Four words of each excerpt that a document has; in two thirds of them one letter is another one."""
+    marks, docs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
+    hits = evaluation.excerpt_hits(docs, marks)
+    cut = F.substring(F.regexp_extract(F.lower("text"), "[a-z]+ [a-z]+ [a-z]+ [a-z]+", 0), 1, 40)
+    edited = F.when(F.col("item_id") % 3 == 0, cut).otherwise(F.concat(F.substring(cut, 1, 5), F.lit("\u0416"), F.expr("substring(cut, 7)")))
+    own = marks.select("item_id", cut.alias("cut")).where(F.length("cut") >= 12).select("item_id", F.when(F.col("item_id") % 3 == 0, F.col("cut")).otherwise(F.concat(F.substring("cut", 1, 5), F.lit("\u0416"), F.expr("substring(cut, 7)"))).alias("excerpt"))
+    found = verify.fuzzy_recall(hits.join(own, "item_id"), docs.withColumn("text", F.lower("text")))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(r"""
+WITH q AS (SELECT doc_id, text, substr(text, 11, 60) AS quote FROM documents), c AS (
+  SELECT doc_id * 2 AS claim_id, doc_id, text, quote, 0 AS names, 0 AS codes FROM q
+  UNION ALL SELECT doc_id * 2 + 1, doc_id, text, CASE doc_id % 4 WHEN 1 THEN quote || 'zzq' WHEN 2 THEN substr(text, 11, 12) ELSE quote END, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END, CASE WHEN doc_id % 4 = 3 THEN 1 ELSE 0 END FROM q
+), l AS (SELECT *, CASE WHEN regexp_matches(quote, '^\s*$') THEN -1 ELSE strpos(text, quote) - 1 END AS place FROM c),
+f AS (SELECT *, CASE WHEN place >= 0 THEN place + length(quote) ELSE -1 END AS stop, row_number() OVER (PARTITION BY doc_id, CASE WHEN place >= 0 THEN place ELSE -1 END, CASE WHEN place >= 0 THEN place + length(quote) ELSE -1 END ORDER BY claim_id) AS n FROM l),
+g AS (SELECT *, place < 0 AS v2, contains(quote, '...') OR contains(quote, '…') OR length(quote) < 25 OR length(quote) > 600 AS v3, place >= 0 AND n > 1 AS v9 FROM f)
+SELECT claim_id, concat_ws(',', CASE WHEN v2 THEN 'V2' END, CASE WHEN v3 THEN 'V3' END, CASE WHEN codes = 1 THEN 'V4' END, CASE WHEN names = 1 THEN 'V5' END, CASE WHEN v9 THEN 'V9' END) AS failures, CAST(CASE WHEN v2 THEN -1 ELSE place END AS INT) AS start, CAST(stop AS INT) AS "end", NOT (v2 OR v3 OR v9) AS ok FROM g
+""")
 def verified_quotes(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    claims = docs.select((F.col("doc_id") * 2).alias("claim_id"), "doc_id", F.substring("text", 11, 60).alias("quote"), F.array().cast("array<string>").alias("names"), F.array().cast("array<string>").alias("indicators"))
-    return verify.verify(claims, docs).select("claim_id", F.array_join("failures", ",").alias("failures"), "start", "end", "ok")
+    """Two claims of each document: its quote; and that with words added, too short, or with a name or an indicator that it lacks."""
+    docs, odd = read(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    quote, none = F.substring("text", 11, 60), F.array().cast("array<string>")
+    first = docs.select((F.col("doc_id") * 2).alias("claim_id"), "doc_id", quote.alias("quote"), none.alias("names"), none.alias("indicators"))
+    other = F.when(odd == 1, F.concat(quote, F.lit("zzq"))).when(odd == 2, F.substring("text", 11, 12)).otherwise(quote)
+    second = docs.select((F.col("doc_id") * 2 + 1).alias("claim_id"), "doc_id", other.alias("quote"), F.when(odd == 0, F.array(F.lit("Zzqx"))).otherwise(none).alias("names"), F.when(odd == 3, F.array(F.lit("zzqy"))).otherwise(none).alias("indicators"))
+    return verify.verify(first.union(second), docs).select("claim_id", F.array_join("failures", ",").alias("failures"), "start", "end", "ok")
 
 
 @query()

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.functions import udfs
@@ -22,6 +22,14 @@ def write_run(tables: Mapping[str, DataFrame], path: str, run_id: str) -> DataFr
     return sizes
 
 
+def latest_assessment(spark: SparkSession, path: str, tables: Sequence[str]) -> dict[str, DataFrame]:
+    """The tables of the newest run under a path, by the ids that write_run gave; a path without runs raises."""
+    newest = spark.read.parquet(f"{path}/{tables[0]}").agg(F.max("run_id")).first()[0]
+    if newest is None:
+        raise ValueError(f"no run under {path}")
+    return {name: spark.read.parquet(f"{path}/{name}").where(F.col("run_id") == newest) for name in tables}
+
+
 def append(log: DataFrame, path: str) -> None:
     """To an append-only log; readers take the last row of a key by its sequence."""
     log.write.mode("append").parquet(path)

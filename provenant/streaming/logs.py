@@ -16,18 +16,18 @@ from provenant.operators import runs
 def upsert_latest(stream: DataFrame, path: str, key: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
     """Keeps the last row of each key at path: each batch is merged with what is there, in a new version of the table.
 
-    Versions are folders by batch id, so a batch that runs again after a failure overwrites its own version only.
+    Versions are folders by batch id, so a batch that runs again after a failure overwrites its own version only. Only the first
+    batch starts from nothing: a later one whose predecessor's version cannot be read fails, as it would lose all keys. The version
+    before that is deleted.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        from pyspark.errors import AnalysisException
-
         spark = batch.sparkSession
-        try:
-            before = spark.read.schema(batch.schema).parquet(f"{path}/v={number - 1}") if number else batch.limit(0)
-        except AnalysisException:
-            before = batch.limit(0)
+        before = spark.read.schema(batch.schema).parquet(f"{path}/v={number - 1}") if number else batch.limit(0)
         runs.latest(before.unionByName(batch), key, order).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v={number}")
+        if number > 1:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v={number - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
