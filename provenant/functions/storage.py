@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -25,3 +26,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder; its lineage ends there, so a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows, else as it is; it is counted no further than that."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

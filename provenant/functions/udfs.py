@@ -46,16 +46,23 @@ part_ratio = mapped(lambda a, b: text.partial_ratio(a, b)[0], _DOUBLE)
 shape = mapped(text.shape, _STRING)
 
 
-def spans(docs: DataFrame, kernel: Callable[[str], list[tuple]], schema: str, names: Sequence[str], key: str = "doc_id", body: str = "text") -> DataFrame:
-    """One row per tuple that a kernel finds in a text: key, an ordinal, and the tuple. Null texts give no rows."""
-    fields = ["key", "ordinal", *names]
+def spans(docs: DataFrame, kernel: Callable[[str], list[tuple]], schema: str, names: Sequence[str], key: str = "doc_id", body: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per tuple that a kernel finds in a text: key, an ordinal, the tuple, and columns of docs to carry. Null texts give no
+    rows."""
+    fields = ["key", "ordinal", *names, *carry]
+    kinds = {"int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = None
+        types = [pa.int64(), pa.int32(), *[kinds[x.split(" ")[1]] for x in schema.split(", ")]]
         for batch in batches:
-            rows = [(k, i, *found) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t is not None for i, found in enumerate(kernel(t))]
+            rows, picked = [], []
+            for at, (k, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                for i, found in enumerate(kernel(t) if t is not None else ()):
+                    rows.append((k, i, *found))
+                    picked.append(at)
             if rows:
-                types = types or [pa.int64(), pa.int32(), *[{"int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}[x.split(" ")[1]] for x in schema.split(", ")]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), types, strict=True)], fields)
+                held = [c.take(pa.array(picked, pa.int64())) for c in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), types, strict=True)), *held], fields)
 
-    return docs.select(F.col(key).cast("long"), body).mapInArrow(run, f"key long, ordinal int, {schema}").withColumnRenamed("key", key)
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(F.col(key).cast("long"), body, *carry).mapInArrow(run, f"key long, ordinal int, {schema}{more}").withColumnRenamed("key", key)

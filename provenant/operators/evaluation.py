@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def excerpt_hits(docs: DataFrame, excerpts: DataFrame, n: int = 6) -> DataFrame:
     """item_id, doc_id: documents that contain an excerpt verbatim.
 
     Documents and excerpts meet on the first run of n of the excerpt's inner words, by equality, and only what meets is compared
-    whole. Inner words are whole words of a document that has the excerpt; the first and the last can be parts of words.
+    whole; one pass over the documents gives the runs of all lengths. Inner words are whole words of a document that has the excerpt; the first and the last can be parts of words.
     Shorter runs meet on all inner words; excerpts of one or two words, or none, are compared with every document.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[^\s]+"), F.lit(0))
@@ -30,17 +32,18 @@ def excerpt_hits(docs: DataFrame, excerpts: DataFrame, n: int = 6) -> DataFrame:
     probe = probe.where(F.size("words") >= 3).withColumn("words", F.expr("slice(words, 2, size(words) - 2)"))
     sizes = [r[0] for r in probe.select(F.least(F.size("words"), F.lit(n)).alias("n")).distinct().collect()]  # at most n values
     hits = short.join(docs.select("doc_id", "text"), F.contains("text", "excerpt")).select("item_id", "doc_id")
-    out = None
-    for size in sorted(sizes):
-        own = probe.where(F.least(F.size("words"), F.lit(n)) == size).select("item_id", "excerpt", F.array_join(F.slice("words", 1, size), " ").alias("probe"))
-        inner = own.select("item_id", "excerpt", F.xxhash64("probe").alias("probe_hash"))
-        body = docs.select("doc_id", "text", words.alias("words"))
-        runs = body.where(F.size("words") >= size).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.xxhash64(F.array_join(F.slice("words", i, size), " "))))).alias("probe_hash"))
-        met = runs.join(inner, "probe_hash").select("item_id", "doc_id", "excerpt").distinct()
-        out = met if out is None else out.union(met)
-    if out is None:
+    if not sizes:
         return hits
-    return hits.union(out.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "excerpt")).select("item_id", "doc_id"))
+    inner = probe.select("item_id", "excerpt", F.xxhash64(F.array_join(F.slice("words", 1, n), " ")).alias("probe_hash"))
+
+    def runs(size: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))
+        return F.when(F.size("words") >= size, F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice("words", i, size), " ")))).otherwise(F.array().cast("array<bigint>"))
+
+    body = docs.select("doc_id", words.alias("words"))
+    own = body.select("doc_id", F.explode(F.array_distinct(F.concat(*[runs(size) for size in sorted(sizes)]))).alias("probe_hash"))
+    met = own.join(inner, "probe_hash").select("item_id", "doc_id", "excerpt").distinct()
+    return hits.union(met.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "excerpt")).select("item_id", "doc_id"))
 
 
 def recall(excerpts: DataFrame, hits: DataFrame) -> DataFrame:
@@ -57,15 +60,27 @@ def blocked_shingles(texts: DataFrame, blocklist: DataFrame, n: int) -> DataFram
     return own.join(listed, "shingle").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocked"))
 
 
-def guard(rows: DataFrame, host_allowed: Column) -> DataFrame:
-    """Rows with the first reason to withhold them, or null: secret, e-mail, shingle, host."""
+def guard(rows: DataFrame, host_allowed: Column, hard: Column | None = None, team: str | None = None) -> DataFrame:
+    """Rows with the first reason to withhold them, or null: a hard block (a column), the team's name, a secret, e-mail, a shingle or
+    short whole value of the blocklist (n_blocked, n_whole), a volume phrase (n_volume), the host. Counts that rows lack are 0."""
+    has = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0 if c in rows.columns else F.lit(False)
     secret = F.lit(False)
     for pattern in E.SECRETS.values():
         secret = secret | F.col("text").rlike(pattern)
-    reason = F.when(secret, "secret").when(F.col("text").rlike(E.EMAIL), "email").when(F.coalesce("n_blocked", F.lit(0)) > 0, "shingle").when(~host_allowed, "host")
+    named = F.col("text").rlike(rf"(?i)(?<![\p{{L}}\p{{N}}]){re.escape(team)}(?![\p{{L}}\p{{N}}])") if team else F.lit(False)
+    reason = F.when(hard if hard is not None else F.lit(False), "hard").when(named, "team").when(secret, "secret").when(F.col("text").rlike(E.EMAIL), "email").when(has("n_blocked"), "shingle").when(has("n_whole"), "whole").when(has("n_volume"), "volume").when(~host_allowed, "host")
     return rows.withColumn("reason", reason)
 
 
+def blocked_wholes(texts: DataFrame, values: DataFrame, least: int = 4, most: int = 5) -> DataFrame:
+    """doc_id, n_whole: how many listed values of `least` to `most` words a text has as a run of words. Shorter values never block,
+    longer ones do by their shingles. One pass: runs of each length meet the values by equality."""
+    found = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+"), F.lit(0))
+    listed = values.select(found("text").alias("w")).where(F.size("w").between(least, most)).select(F.array_join("w", " ").alias("run")).distinct()
+    runs = F.concat(*[E.word_shingles(F.col("text"), n) for n in range(least, most + 1)])
+    return texts.select("doc_id", F.explode(runs).alias("run")).join(listed, "run").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_whole"))
+
+
 def audit_violations(log: DataFrame, models: list[str], hosts: list[str]) -> DataFrame:
     """Log rows that may not leave: an unknown model or host, text in the log, or no status. Must be empty to release."""
     found = F.array_compact(F.array(

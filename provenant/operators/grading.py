@@ -121,16 +121,45 @@ def graded(items: DataFrame) -> DataFrame:
     return items.withColumns(flags | {"strength": strength()})
 
 
-def best_per_cluster(items: DataFrame, most: int) -> DataFrame:
-    """The best item of each origin, the best `most` of a vendor. Two windows; the first deals by vendor and cluster, so a
-    large vendor's items are ranked in parts before its few winners meet."""
+def best_per_cluster(items: DataFrame, most: int, prefer: Column | None = None) -> DataFrame:
+    """The best item of each origin, preferred ones first, and the best `most` of a vendor. Two windows; the first deals by vendor
+    and cluster, so a large vendor's items are ranked in parts before its few winners meet."""
+    first = [] if prefer is None else [F.when(F.coalesce(prefer, F.lit(False)), 0).otherwise(1)]
     order = rank_order()
-    own = Window.partitionBy("vendor_id", "cluster_id").orderBy(*order)
+    own = Window.partitionBy("vendor_id", "cluster_id").orderBy(*first, *order)
     firsts = items.where(citable()).withColumn("place", F.row_number().over(own)).where("place = 1").drop("place")
     return firsts.withColumn("place", F.row_number().over(Window.partitionBy("vendor_id").orderBy(*order))).where(F.col("place") <= most)
 
 
+#: Roles in the order of the evidence log.
+ROLES = ("Primary", "Supporting", "Indicator", "Counter-evidence", "Negative", "Context", "Logged")
+
+
 def evidence_ids(items: DataFrame) -> DataFrame:
-    """V-E-0001 and so on, in the order of strength, family, date, title and key."""
-    order = Window.partitionBy("vendor_id").orderBy(position(strength(), STRENGTHS), "family", F.desc_nulls_last("published"), "sr", "item_key")
-    return items.withColumn("evidence_id", F.concat(F.lit("V"), F.col("vendor_id").cast("string"), F.lit("-E-"), F.lpad(F.row_number().over(order).cast("string"), 4, "0")))
+    """V-E-0001 and so on, in the order of role, strength, source, relevance, recency, url, start and key.
+
+    Numbered in slices of a vendor, one for each value of the leading keys, whose sizes are summed up before: no vendor's items are
+    sorted in one task unless all are alike in these. Items without a role count as logged.
+    """
+    role = F.coalesce(position(F.col("role"), ROLES), F.lit(len(ROLES) - 1))
+    slices = ["vendor_id", "slice"]
+    rows = items.withColumn("slice", F.struct(role.alias("a"), position(strength(), STRENGTHS).alias("b"), F.col("sr").alias("c"), (-F.col("rl")).alias("d"), (-F.col("rc")).alias("e")))
+    sizes = rows.groupBy(*slices).agg(F.count(F.lit(1)).alias("in_slice"))
+    before = Window.partitionBy("vendor_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("base", F.coalesce(F.sum("in_slice").over(before), F.lit(0))).drop("in_slice")
+    nth = F.row_number().over(Window.partitionBy(*slices).orderBy("url", "start", "item_key"))
+    numbered = rows.withColumn("nth", nth).join(sizes, slices)
+    number = F.lpad((F.col("base") + F.col("nth")).cast("string"), 4, "0")
+    return numbered.withColumn("evidence_id", F.concat(F.lit("V"), F.col("vendor_id").cast("string"), F.lit("-E-"), number)).drop("slice", "nth", "base")
+
+
+def top_scored(items: DataFrame, points: Column, key: list[str], order: list[Column], most: int) -> DataFrame:
+    """The `most` rows of a key with most points, those without any left out; ties in the given order."""
+    rows = items.withColumn("points", points).where("points > 0")
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("points"), *order))).where(F.col("nth") <= most).drop("nth")
+
+
+def newest_first(rows: DataFrame, key: list[str], day: str, order: list[str], most: int) -> DataFrame:
+    """The newest rows of a key, undated ones last, at most so many."""
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc_nulls_last(day), *order))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")

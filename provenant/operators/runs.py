@@ -52,6 +52,17 @@ def reviewed(items: DataFrame, reviews: DataFrame) -> DataFrame:
     return items.join(last, "item_key", "left").withColumn("review", F.coalesce("reviewed", F.lit("pending"))).drop("reviewed")
 
 
+def adjudicated(items: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Items with the last review of each: status, and the labels (sp, rl, u, locus, ai_type; null: as they are) that it sets. An
+    item whose labels are set is adjudicated; its grades are to be computed again from the new labels."""
+    labels = ("sp", "rl", "u", "locus", "ai_type")
+    last = latest(reviews, ["item_key"], ["seq"]).select("item_key", F.col("value").alias("said"), *[F.col(c).alias(f"new_{c}") for c in labels])
+    rows = items.join(last, "item_key", "left")
+    changed = F.coalesce(*[F.col(f"new_{c}").cast("string") for c in labels]).isNotNull()
+    rows = rows.withColumn("method", F.when(changed, "adjudicated").otherwise(F.col("method"))).withColumn("review", F.coalesce("said", F.lit("pending")))
+    return rows.withColumns({c: F.coalesce(f"new_{c}", c) for c in labels}).drop("said", *[f"new_{c}" for c in labels])
+
+
 def access(requests: DataFrame, terms: DataFrame) -> DataFrame:
     """host, seeded -> decision by the terms of the longest domain that the host is under; what the terms don't allow in so many
     words is refused.
@@ -84,6 +95,17 @@ def within_budget(requests: DataFrame, key: list[str], order: list[str], cap: Co
     return requests.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).withColumn("granted", F.col("nth") <= cap)
 
 
+def spent(requests: DataFrame, key: list[str], order: list[str], cap: Column, refunded: Column) -> DataFrame:
+    """Requests with granted and spent: refused ones (refunded) use nothing up, so a request is granted while fewer than cap before
+    it were made. A repeated address (url, accept) has the outcome of the first and is not counted again."""
+    first = F.row_number().over(Window.partitionBy(*key, "url", "accept").orderBy(*order)) == 1
+    rows = requests.withColumn("first", first).withColumn("costs", F.when(first & ~F.coalesce(refunded, F.lit(False)), 1).otherwise(0))
+    before = F.coalesce(F.sum("costs").over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("granted", before < cap).withColumn("spent", F.least(before, cap))
+    reused = F.first("granted").over(Window.partitionBy(*key, "url", "accept").orderBy(*order))
+    return rows.withColumn("granted", reused).drop("costs")
+
+
 def saturation(steps: DataFrame, key: list[str], order: list[str], fresh: Column, most: int) -> DataFrame:
     """Steps with idle, the steps in a row without anything new, and whether the run had stopped before."""
     w = Window.partitionBy(*key).orderBy(*order)

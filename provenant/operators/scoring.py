@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenant.functions.storage import small
+
 # Fixed values of the scoring scheme.
 WEIGHTS = {"o": 7, "d": 6, "p": 5, "r": 4, "v": 3}
 TIERS = ("Low", "Medium", "High", "Critical")
@@ -79,7 +81,7 @@ def depth_plan(vendors: DataFrame) -> DataFrame:
     spark = vendors.sparkSession
     policy = [(t, f, f not in OPTIONAL[t], caps[i], DEPTH["Critical"][0][i]) for t, (caps, *_) in DEPTH.items() for i, f in enumerate(FAMILIES)]
     table = spark.createDataFrame(policy, "tier string, family string, mandatory boolean, cap int, deepest int")
-    rows = vendors.join(F.broadcast(table), "tier")  # a row per tier and family
+    rows = vendors.join(small(table), "tier")  # a row per tier and family
     replaced = ~F.col("registered") & F.col("mandatory") & (F.col("family") == "REG")
     no_reg = ~F.col("registered") & F.col("tier").isin("Critical", "High", "Medium")
     raised = (

@@ -77,10 +77,10 @@ def in_context(rows: DataFrame) -> DataFrame:
     return rows.withColumn("before", F.lag("sentence").over(w)).withColumn("after", F.lead("sentence").over(w))
 
 
-def passages(docs: DataFrame, terms: Sequence[str], suppress: Sequence[str] = (), most: int = 700) -> DataFrame:
+def passages(docs: DataFrame, terms: Sequence[str], suppress: Sequence[str] = (), most: int = 700, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, ordinal, start, end, passage, hits: sentences with a term, their neighbours, merged up to `most` characters.
 
-    Suppressed phrases are masked first. A cheap pattern in the JVM keeps texts without any term from Python.
+    Columns to carry come along. Suppressed phrases are masked first. A cheap pattern in the JVM keeps texts without any term from Python.
     """
     whole = "|".join(sorted(r"\s+".join(map(re.escape, t.lower().split())) for t in terms if t.split()))
     likely = docs.where(F.lower("text").rlike(rf"(?<![\p{{L}}\p{{N}}_])(?:{whole})")) if whole else docs.where("false")
@@ -103,4 +103,30 @@ def passages(docs: DataFrame, terms: Sequence[str], suppress: Sequence[str] = ()
                 out.append([max(start, out[-1][1] if out else 0) if a >= (out[-1][1] if out else 0) else a, end, hits])
         return [(a, b, body[a:b], hits) for a, b, hits in out if b > a]
 
-    return udfs.spans(likely, find, "start int, end int, passage string, hits array<string>", ["start", "end", "passage", "hits"])
+    return udfs.spans(likely, find, "start int, end int, passage string, hits array<string>", ["start", "end", "passage", "hits"], carry=carry)
+
+
+def with_heading(hits: DataFrame, lines: DataFrame, reach: int = 3000, longest: int = 140) -> DataFrame:
+    """Hits (id, doc_id, start) with the nearest heading above them: the last line of that shape, of at most so many characters, that
+    ends before the hit's line and begins within reach of it; null without one.
+
+    lines: doc_id, start, end, line, shape. Hits and headings of a document are ordered together once; no pair of them is made.
+    """
+    own = lines.where((F.col("shape") == "heading") & (F.length(F.trim("line")) <= longest)).select("doc_id", F.col("end").cast("long").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.struct(F.col("start").cast("long").alias("start"), F.trim("line").alias("line")).alias("heading"))
+    asked = hits.select("doc_id", F.col("start").cast("long").alias("at"), F.lit(1).alias("kind"), F.col("id").cast("long"), F.lit(None).cast("struct<start: bigint, line: string>").alias("heading"))
+    above = Window.partitionBy("doc_id").orderBy("at", "kind", "id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = own.unionByName(asked).withColumn("last", F.last("heading", ignorenulls=True).over(above)).where("kind = 1")
+    near = F.col("at") - F.col("last.start") <= reach
+    return rows.select("id", "doc_id", F.col("at").alias("start"), F.when(near, F.col("last.line")).alias("heading"))
+
+
+def traced(passages: DataFrame, docs: DataFrame, captures: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Passages with their document, capture and text; and those that miss one of them, with what is missing first.
+
+    passages: doc_id and more; docs: doc_id, capture_id, text_sha; captures: capture_id and more; texts: text_sha, text.
+    """
+    mark = lambda df, name: df.withColumn(f"has_{name}", F.lit(True))
+    rows = passages.join(mark(docs, "doc"), "doc_id", "left").join(mark(captures, "capture"), "capture_id", "left").join(mark(texts, "text"), "text_sha", "left")
+    missing = F.when(F.col("has_doc").isNull(), "document").when(F.col("has_capture").isNull(), "capture").when(F.col("has_text").isNull(), "text")
+    rows = rows.withColumn("missing", missing).drop("has_doc", "has_capture", "has_text")
+    return rows.where("missing IS NULL").drop("missing"), rows.where("missing IS NOT NULL").select(*passages.columns, "missing")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from provenant.functions import expressions as E
 from provenant.functions import text
+from provenant.functions.storage import small
 
 #: An example lexicon: cue -> phrases.
 LEXICON: dict[str, tuple[str, ...]] = {
@@ -129,7 +130,7 @@ def source_types(docs: DataFrame, rules: DataFrame) -> DataFrame:
     by_domain = rules.where("domain IS NOT NULL")
     anywhere = rules.where("domain IS NULL").drop("domain")
     own = docs.select("doc_id", "url", "family", F.explode(E.suffixes(F.col("host"))).alias("domain")).join(by_domain.withColumnRenamed("family", "rule_family"), "domain").drop("domain")
-    other = docs.select("doc_id", "url", "family").crossJoin(F.broadcast(anywhere.withColumnRenamed("family", "rule_family"))) if anywhere.limit(1).count() else own.limit(0)
+    other = docs.select("doc_id", "url", "family").join(small(anywhere.withColumnRenamed("family", "rule_family")), F.lit(True)) if not anywhere.isEmpty() else own.limit(0)
     met = own.unionByName(other).where((F.col("rule_family").isNull() | (F.col("rule_family") == F.col("family"))) & (F.col("pattern").isNull() | F.expr("url rlike pattern")))
     first = met.groupBy("doc_id").agg(F.min_by(F.struct("source_type", "sr"), "ordinal").alias("r"))
     return docs.join(first, "doc_id", "left").select(*docs.columns, F.coalesce("r.source_type", F.lit("unknown")).alias("source_type"), F.coalesce("r.sr", F.lit("F")).alias("sr"))
@@ -171,7 +172,7 @@ def dns_tokens(records: DataFrame, providers: Mapping[str, str]) -> DataFrame:
     spark = records.sparkSession
     table = spark.createDataFrame([(k.lower(), v) for k, v in providers.items()], "token string, provider string")
     found = records.select("name", F.lower(F.regexp_extract("record", r"^([A-Za-z0-9_.-]+)[=:]", 1)).alias("token"))
-    return found.where("token <> ''").join(F.broadcast(table), "token").distinct()  # a row per known token
+    return found.where("token <> ''").join(small(table), "token").distinct()  # a row per known token
 
 
 def traps(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provenant.functions import expressions as E
 from provenant.operators import decisions, grading, runs, spans, tagging, verdict
 from provenant.plans import evidence
-from provenant.plans.tables import COVERAGE, ITEMS, PROFILES, derived, items, query, read
+from provenant.plans.tables import ORACLES, COVERAGE, ITEMS, PROFILES, derived, items, query, read
 
 _CUES = {"term": 2, "deployed": 3, "planned": 5, "pilot": 14, "limiting": 22, "governance": 6, "building": 10, "generic": 9, "reviewed": 12, "automated": 4, "advisory": 7, "sdlc": 15, "delivery": 8, "corporate": 21, "addon": 25, "partner": 26, "agentic": 18, "conversational": 20, "document": 35}
 _GRID = """SELECT o_orderkey AS k, o_orderkey * 13 + o_custkey * 5 AS m, CASE o_custkey % 5 WHEN 0 THEN 'platform_supplier' WHEN 1 THEN 'affiliate_inferred' WHEN 2 THEN 'other' ELSE 'own' END AS relation,
@@ -145,7 +145,12 @@ def budgeted_batches(spark, sf_dir):
     return decisions.batches(rows, "vendor_id", [F.col("item_key")], 12, 5000)
 
 
-@query()
+@query(f"""
+WITH v AS ({ORACLES['vendor_verdicts']}), d AS (WITH {evidence._COMPLETE} SELECT * FROM done), n AS ({evidence._GRADED} SELECT vendor_id, count(*) FILTER (WHERE is_q) AS q, count(*) FILTER (WHERE is_k AND NOT is_q) AS k FROM ranked GROUP BY 1),
+t AS (SELECT v.vendor_id, verdict || ': AI use is ' || likelihood || ' (' || lower(confidence) || ' confidence), from ' || CASE WHEN q + k = 0 THEN 'no qualifying evidence' ELSE q || ' qualifying and ' || k || ' corroborating items' END || '. ' ||
+  CASE WHEN missing = '' THEN 'Coverage is complete.' ELSE 'Not covered: ' || replace(missing, ',', ', ') || '.' END AS whole FROM v JOIN d ON v.vendor_id = d.vendor_id JOIN n ON v.vendor_id = n.vendor_id)
+SELECT vendor_id, CASE WHEN length(whole) <= 200 THEN whole ELSE regexp_replace(substr(whole, 1, 199), '\\s+\\S*$', '') || '…' END AS usage FROM t
+""")
 def usage_cells(spark, sf_dir):
     done = runs.complete(evidence._plan(spark, sf_dir), runs.family_status(derived(spark, sf_dir, COVERAGE)))
     rows = items(spark, sf_dir)

@@ -81,10 +81,21 @@ def best_items(spark, sf_dir):
 
 
 @query(_GRADED + """
-SELECT item_key, 'V' || vendor_id || '-E-' || lpad(CAST(row_number() OVER (PARTITION BY vendor_id ORDER BY s_rank, family, published DESC NULLS LAST, sr, item_key) AS VARCHAR), 4, '0') AS evidence_id FROM ranked
+SELECT item_key, 'V' || vendor_id || '-E-' || lpad(CAST(row_number() OVER (PARTITION BY vendor_id ORDER BY CASE item_key % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 4 ELSE 6 END, s_rank, sr, rl DESC, rc DESC, 'u' || (item_key % 50), mask % 90, item_key) AS VARCHAR), 4, '0') AS evidence_id FROM ranked
 """)
 def evidence_ids(spark, sf_dir):
-    return grading.evidence_ids(items(spark, sf_dir)).select("item_key", "evidence_id")
+    k = F.col("item_key") % 4
+    rows = items(spark, sf_dir).withColumns({"role": F.when(k == 0, "Primary").when(k == 1, "Supporting").when(k == 2, "Negative"), "url": F.concat(F.lit("u"), F.col("item_key") % 50), "start": F.col("mask") % 90})
+    return grading.evidence_ids(rows).select("item_key", "evidence_id")
+
+
+@query(_GRADED + f""", c AS (
+  SELECT *, row_number() OVER (PARTITION BY vendor_id, cluster_id ORDER BY mask % 3 <> 0, {_BEST_FIRST}) AS n FROM ranked WHERE citable
+), p AS (SELECT *, row_number() OVER (PARTITION BY vendor_id ORDER BY {_BEST_FIRST}) AS place FROM c WHERE n = 1)
+SELECT vendor_id, CAST(place AS INT) AS place, item_key FROM p WHERE place <= 5
+""")
+def preferred_items(spark, sf_dir):
+    return grading.best_per_cluster(items(spark, sf_dir), 5, F.col("mask") % 3 == 0).select("vendor_id", "place", "item_key")
 
 
 @query(_GRADED + """
@@ -525,9 +536,8 @@ def payload_guard(spark, sf_dir):
 
 @query()
 def passages_by_source(spark, sf_dir):
-    found = spans.passages(read(spark, sf_dir, "documents"), TERMS)
-    rows = found.join(read(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
-    return rows.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("passages"), F.count_distinct("doc_id").alias("documents"), F.sum(F.size("hits")).alias("hits"))
+    found = spans.passages(read(spark, sf_dir, "documents"), TERMS, carry=("source", "lang"))
+    return found.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("passages"), F.count_distinct("doc_id").alias("documents"), F.sum(F.size("hits")).alias("hits"))
 
 
 @query()
@@ -540,10 +550,12 @@ def html_main_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", udfs.title(F.col("html")).alias("title"), F.length(udfs.main_text(F.col("html"))).alias("n_chars"))
 
 
-@query()
+@query(r"""
+SELECT conv_id, turn, role, CASE WHEN regexp_matches(substr(text, 5, 40), '^\s*$') THEN -1 ELSE CAST(strpos(text, substr(text, 5, 40)) - 1 AS INT) END AS start FROM conversations
+""")
 def located_quotes(spark, sf_dir):
-    talk = read(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.substring("text", 5, 40).alias("quote"), "text")
-    return talk.select("conv_id", "turn", udfs.located(F.col("quote"), F.col("text")).alias("start"))
+    talk = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.substring("text", 5, 40).alias("quote"), "text")
+    return talk.select("conv_id", "turn", "role", udfs.located(F.col("quote"), F.col("text")).alias("start"))
 
 
 @query()

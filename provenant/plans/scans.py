@@ -106,11 +106,13 @@ def page_links(spark, sf_dir):
     return web.page_links(read(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("first_target"))
 
 
-@query()
+@query(r"""
+SELECT doc_id AS id, '2024-01-02' AS day, 'http://h/' || doc_id AS link, length(trim(regexp_replace(regexp_replace(text, '[<>&]', ' ', 'g'), '\s+', ' ', 'g'))) AS n_chars FROM documents
+""")
 def blog_posts(spark, sf_dir):
     post = F.struct(F.col("doc_id").alias("id"), F.lit("2024-01-02T00:00:00").alias("date"), F.concat(F.lit("http://h/"), "doc_id").alias("link"), F.struct(F.lit("T").alias("rendered")).alias("title"), F.struct(F.concat(F.lit("<p>"), F.regexp_replace("text", "[<>&]", " "), F.lit("</p>")).alias("rendered")).alias("content"))
     bodies = read(spark, sf_dir, "documents").select(F.to_json(F.array(post)).alias("body"))
-    return web.posts(bodies).select("id", "day", F.length("text").alias("n_chars"))
+    return web.posts(bodies).select("id", F.col("day").cast("string").alias("day"), "link", F.length("text").alias("n_chars"))
 
 
 @query(f"SELECT 'items' AS \"table\", count(*) AS \"rows\" FROM ({ITEMS}) UNION ALL SELECT 'decisions', count(*) FROM (SELECT DISTINCT event_type, value > 50 FROM events)")
@@ -170,8 +172,7 @@ SELECT vendor_id, item_key, points FROM (SELECT *, row_number() OVER (PARTITION
 """)
 def keyword_triage(spark, sf_dir):
     points = sum((F.when(F.array_contains("codes", c), 1).otherwise(0) for c in ("G1", "G2")), F.lit(0))
-    rows = items(spark, sf_dir).withColumn("points", points).where("points > 0")
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("vendor_id").orderBy(F.desc("points"), "item_key"))).where("n <= 12").select("vendor_id", "item_key", "points")
+    return grading.top_scored(items(spark, sf_dir), points, ["vendor_id"], [F.col("item_key")], 12).select("vendor_id", "item_key", "points")
 
 
 @query(f"""
@@ -243,14 +244,86 @@ def turns_in_context(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lag("turn").over(w).alias("before"), F.lead("role").over(w).alias("after"))
 
 
-@query("""
-WITH o AS (SELECT o_custkey % 40 AS vendor_id, o_orderkey AS n, CASE WHEN o_orderkey % 9 = 0 THEN 'h' || o_orderkey END AS heading FROM orders)
-SELECT n, last_value(heading IGNORE NULLS) OVER (PARTITION BY vendor_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM o
+_LINES = "SELECT o_custkey % 300 AS doc_id, o_orderkey * 10 AS start, o_orderkey * 10 + 9 AS end_at, 'Line ' || o_orderkey AS line, CASE WHEN o_orderkey % 9 = 0 THEN 'heading' ELSE 'prose' END AS shape FROM orders"
+
+
+@query(f"""
+WITH l AS ({_LINES}), h AS (SELECT c_custkey AS id, c_custkey % 300 AS doc_id, c_custkey * 97 AS start FROM customer), j AS (SELECT id, l.start AS at, line, row_number() OVER (PARTITION BY id ORDER BY end_at DESC) AS n FROM h JOIN l ON h.doc_id = l.doc_id AND shape = 'heading' AND end_at <= h.start)
+SELECT h.id, h.doc_id, h.start, CASE WHEN h.start - j.at <= 3000 THEN line END AS heading FROM h LEFT JOIN j ON h.id = j.id AND n = 1
 """)
 def nearest_heading(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("vendor_id"), F.col("o_orderkey").alias("n"), F.when(F.col("o_orderkey") % 9 == 0, F.concat(F.lit("h"), "o_orderkey")).alias("heading"))
-    above = Window.partitionBy("vendor_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("n", F.last("heading", ignorenulls=True).over(above).alias("heading"))
+    hits = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 300).alias("doc_id"), (F.col("c_custkey") * 97).alias("start"))
+    return spans.with_heading(hits, derived(spark, sf_dir, _LINES).withColumnRenamed("end_at", "end"))
+
+
+_TRACE = "SELECT o_orderkey AS passage_id, o_custkey % 900 AS doc_id FROM orders"
+
+
+@query(f"""
+WITH p AS ({_TRACE}), d AS (SELECT c_custkey AS doc_id, c_custkey % 70 AS capture_id, 's' || (c_custkey % 50) AS text_sha FROM customer WHERE c_custkey % 6 > 0 AND c_custkey < 900)
+SELECT passage_id, CASE WHEN d.doc_id IS NULL THEN 'document' WHEN capture_id >= 60 THEN 'capture' WHEN text_sha = 's7' THEN 'text' ELSE 'none' END AS missing FROM p LEFT JOIN d ON p.doc_id = d.doc_id
+""")
+def traced_passages(spark, sf_dir):
+    own = read(spark, sf_dir, "customer").where("c_custkey < 900")
+    docs = own.where("c_custkey % 6 > 0").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 70).alias("capture_id"), F.concat(F.lit("s"), F.col("c_custkey") % 50).alias("text_sha"))
+    captures = spark.range(60).select(F.col("id").alias("capture_id"), F.lit("u").alias("url"))
+    texts = spark.range(50).where("id <> 7").select(F.concat(F.lit("s"), "id").alias("text_sha"), F.lit("t").alias("text"))
+    found, missed = spans.traced(derived(spark, sf_dir, _TRACE), docs, captures, texts)
+    return found.select("passage_id", F.lit("none").alias("missing")).union(missed.select("passage_id", "missing"))
+
+
+@query("""
+SELECT o_orderkey AS k, CASE o_custkey % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE CASE o_orderkey % 5 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN o_custkey % 4 = 2 WHEN 3 THEN false ELSE true END END AS allowed FROM orders
+""")
+def robots_rules(spark, sf_dir):
+    body = "# ours\nUser-agent: other\nDisallow: /\n\nUser-Agent: Evidence\nUser-agent: x\nDisallow: /private\nAllow: /private/open$\nDisallow: /*.pdf\n"
+    strict = body + "\nUser-agent: *\nDisallow:\n"
+    files = spark.createDataFrame([("o0", 404, None), ("o1", 500, body), ("o2", 200, body.replace("User-agent: x", "Crawl-delay: 3")), ("o3", 200, strict + "User-agent: evidence\nDisallow: /c\n")], "origin string, status int, body string")
+    path = F.expr("element_at(array('/private/x', '/private/open', '/c/d', '/a/b.pdf?x', '/'), cast(o_orderkey % 5 + 1 as int))")
+    requests = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("o"), F.col("o_custkey") % 4).alias("origin"), path.alias("path"))
+    return web.robots_decision(requests, files, "evidence").select("k", "allowed")
+
+
+@query("""
+WITH r AS (SELECT o_custkey % 40 AS vendor_id, o_orderkey AS seq, 'u' || (o_orderkey % 37) AS url, o_orderkey % 6 = 0 AS refused FROM orders), f AS (SELECT *, row_number() OVER (PARTITION BY vendor_id, url ORDER BY seq) = 1 AS first FROM r),
+c AS (SELECT *, coalesce(sum(CASE WHEN first AND NOT refused THEN 1 ELSE 0 END) OVER (PARTITION BY vendor_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS made FROM f)
+SELECT vendor_id, seq, first_value(made < 20) OVER (PARTITION BY vendor_id, url ORDER BY seq) AS granted, CAST(least(made, 20) AS BIGINT) AS spent FROM c
+""")
+def refunded_budget(spark, sf_dir):
+    requests = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("vendor_id"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("u"), F.col("o_orderkey") % 37).alias("url"), F.lit("").alias("accept"), (F.col("o_orderkey") % 6 == 0).alias("refused"))
+    return runs.spent(requests, ["vendor_id"], ["seq"], F.lit(20), F.col("refused")).select("vendor_id", "seq", "granted", F.col("spent").cast("long").alias("spent"))
+
+
+@query("""
+WITH r AS (SELECT 'n' || (c_custkey % 200) AS name, x AS resolver, CASE WHEN c_custkey % 5 > 0 THEN 'k=' || (c_custkey % 17) END AS rec FROM customer, (VALUES ('a'), ('b')) v(x) WHERE x = 'a' OR c_custkey % 23 > 0),
+s AS (SELECT name, resolver, coalesce(string_agg(DISTINCT rec, ',' ORDER BY rec), '') AS recs FROM r GROUP BY 1, 2)
+SELECT name, CASE WHEN count(DISTINCT recs) <= 1 THEN 'done' ELSE 'error' END AS status, CASE WHEN count(DISTINCT recs) <= 1 THEN '' ELSE 'resolvers differ' END AS note FROM s GROUP BY name
+""")
+def dns_coverage(spark, sf_dir):
+    return web.dns_coverage(web.agreed_records(web.dns_records(_dns(spark, sf_dir), 16)))
+
+
+_SET = "SELECT o_orderkey - o_orderkey % 4 AS item_key, CASE o_orderkey % 3 WHEN 0 THEN 'rejected' ELSE 'accepted' END AS value, o_orderkey AS seq, CASE WHEN o_orderkey % 4 = 1 THEN 3 END AS rl, CASE WHEN o_orderkey % 4 = 2 THEN 'sdlc' END AS locus FROM orders"
+
+
+@query(f"""
+WITH l AS (SELECT item_key, arg_max({{'v': value, 'rl': rl, 'locus': locus}}, seq) AS x FROM ({_SET}) GROUP BY 1)
+SELECT i.item_key, coalesce(x.v, 'pending') AS review, coalesce(x.rl, i.rl) AS rl, coalesce(x.locus, i.locus) AS locus, CASE WHEN x.rl IS NOT NULL OR x.locus IS NOT NULL THEN 'adjudicated' ELSE method END AS method FROM ({ITEMS}) i LEFT JOIN l ON i.item_key = l.item_key
+""")
+def adjudicated_items(spark, sf_dir):
+    reviews = derived(spark, sf_dir, _SET).withColumns({c: F.lit(None).cast("int") for c in ("sp", "u")} | {"ai_type": F.lit(None).cast("string")})
+    return runs.adjudicated(items(spark, sf_dir), reviews).select("item_key", "review", "rl", "locus", "method")
+
+
+@query("""
+WITH b AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM benchmark), v AS (SELECT DISTINCT array_to_string(w[2:5], ' ') AS s FROM b WHERE len(w) >= 5),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, count(DISTINCT s) AS n_whole FROM (SELECT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM d, unnest(range(1, len(w) - 2)) t(i)) JOIN v USING (s) GROUP BY 1
+""")
+def blocked_values(spark, sf_dir):
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
+    values = read(spark, sf_dir, "benchmark").select(words.alias("w")).where(F.size("w") >= 5).select(F.array_join(F.slice("w", 2, 4), " ").alias("text"))
+    return evaluation.blocked_wholes(read(spark, sf_dir, "documents"), values)
 
 
 @query("""
@@ -359,8 +432,7 @@ def newest_pages(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
     day = F.when(F.col("page_id") % 7 > 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 30).cast("int")))
     rows = pages.select(E.host(F.col("url")).alias("host"), "page_id", day.alias("lastmod"))
-    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc_nulls_last("lastmod"), "page_id"))
-    return rows.withColumn("n", place).where("n <= 5").select("host", "page_id")
+    return grading.newest_first(rows, ["host"], "lastmod", ["page_id"], 5).select("host", "page_id")
 
 
 @query(f"""

@@ -28,6 +28,26 @@ def jsonl(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[kind]).option("mode", "FAILFAST").json(path)
 
 
+def profile_issues(rows: DataFrame, key: str, wanted: Sequence[str], categories: Sequence[str] = ()) -> DataFrame:
+    """ordinal key, code, what: issues of profile rows instead of errors: E03 no name or key, E04 a key that occurs twice, E05 an empty
+    wanted field, E06 an unknown category, E07 a website that is no address, E08 an example row."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    again = rows.where(~blank(key)).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("again_key"))
+    checked = rows.join(again, rows[key] == F.col("again_key"), "left")
+    found = [
+        F.when(blank(key), F.struct(F.lit("E03").alias("code"), F.lit(key).alias("what"))),
+        F.when(F.col("again_key").isNotNull(), F.struct(F.lit("E04").alias("code"), F.col(key).alias("what"))),
+        *[F.when(blank(c), F.struct(F.lit("E05").alias("code"), F.lit(c).alias("what"))) for c in wanted],
+    ]
+    if categories and "category" in rows.columns:
+        found.append(F.when(~blank("category") & ~F.col("category").isin(*categories), F.struct(F.lit("E06").alias("code"), F.col("category").alias("what"))))
+    if "website" in rows.columns:
+        found.append(F.when(~blank("website") & ~F.col("website").rlike(r"(?i)^(https?://)?[a-z0-9-]+(\.[a-z0-9-]+)+(/|$)"), F.struct(F.lit("E07").alias("code"), F.col("website").alias("what"))))
+    if "name" in rows.columns:
+        found.append(F.when(F.lower("name").rlike(r"^\s*(example|sample)\b"), F.struct(F.lit("E08").alias("code"), F.col("name").alias("what"))))
+    return checked.select(F.col(key).alias("key"), F.explode(F.array_compact(F.array(*found))).alias("i")).select("key", "i.code", "i.what")
+
+
 def map_headers(found: Sequence[str], aliases: Mapping[str, Sequence[str]], least: float = 85, margin: float = 5) -> tuple[dict[str, int], list[str]]:
     """Columns by header: an exact alias first, else the most like one if it is like enough and ahead of the next; and
     what is missing."""
@@ -52,9 +72,11 @@ def map_headers(found: Sequence[str], aliases: Mapping[str, Sequence[str]], leas
 def sheet(spark: SparkSession, path: str, aliases: Mapping[str, Sequence[str]], header_rows: int = 10) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Profiles from a CSV export whose header is in one of the first rows; and issues (code, what) instead of errors.
 
-    Only the first rows come to the driver; rows below are read on the cluster.
+    Only the first rows come to the driver; rows below are read on the cluster. Of several files the first by name has the header;
+    a file is one partition, as its cells may have line ends, so its rows are in order.
     """
-    raw = spark.read.option("header", False).option("multiLine", True).csv(path).withColumn("line_", F.monotonically_increasing_id())
+    raw = spark.read.option("header", False).option("multiLine", True).csv(path)
+    raw = raw.withColumn("line_", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place")))
     top = raw.orderBy("line_").limit(header_rows).collect()
     best: tuple[int, dict[str, int], list[str]] = (-1, {}, list(aliases))
     for i, row in enumerate(top):
@@ -66,7 +88,8 @@ def sheet(spark: SparkSession, path: str, aliases: Mapping[str, Sequence[str]],
         return spark.createDataFrame([], ", ".join(f"{n} string" for n in aliases)), [("E01", "no header row")]
     issues = [("E02", f"no column for {n}") for n in missing]
     columns = [(F.trim(F.col(raw.columns[mapped[n]])) if n in mapped else F.lit(None)).cast("string").alias(n) for n in aliases]
-    rows = raw.where(F.col("line_") > top[at]["line_"]).select(*columns)
+    header = F.struct(F.lit(top[at]["line_"]["file"]).alias("file"), F.lit(top[at]["line_"]["place"]).cast("long").alias("place"))
+    rows = raw.where(F.col("line_") > header).select(*columns)
     return rows.where(F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in aliases]).isNotNull()), issues
 
 
@@ -86,9 +109,22 @@ def inbox(spark: SparkSession, path: str, families: Mapping[str, str], zone: str
     return rows.where("skipped IS NULL").drop("skipped"), rows.where("skipped IS NOT NULL")
 
 
-def policy(source: str) -> dict:
-    """A validated policy file's tables; driver-side and small."""
-    return tomllib.loads(source)
+def policy(source: str, required: Mapping[str, Mapping[str, type]] | None = None) -> dict:
+    """A policy file's tables; driver-side and small. required: table -> key -> type; what is missing, unknown or of another type raises
+    one ValueError that names all of it."""
+    found = tomllib.loads(source)
+    problems = []
+    for table, keys in (required or {}).items():
+        own = found.get(table)
+        if not isinstance(own, dict):
+            problems.append(f"no table {table}")
+            continue
+        problems += [f"{table}.{k} is missing" for k in keys if k not in own]
+        problems += [f"{table}.{k} is unknown" for k in own if k not in keys]
+        problems += [f"{table}.{k} is no {keys[k].__name__}" for k in keys if k in own and (not isinstance(own[k], keys[k]) or isinstance(own[k], bool) and keys[k] is not bool)]
+    if problems:
+        raise ValueError("; ".join(problems))
+    return found
 
 
 def replayed_as_of(newest: DataFrame) -> str:

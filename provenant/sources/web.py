@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provenant.functions import udfs
 from provenant.functions import expressions as E
@@ -60,6 +61,12 @@ def agreed_records(records: DataFrame) -> DataFrame:
     )
 
 
+def dns_coverage(agreed: DataFrame) -> DataFrame:
+    """name, records, agreed -> name, status, note: resolvers that differ are an error of coverage, though the union of what they say
+    is kept; no record at all is done too."""
+    return agreed.select("name", F.when(F.col("agreed"), "done").otherwise("error").alias("status"), F.when(~F.col("agreed"), "resolvers differ").otherwise("").alias("note"))
+
+
 _FILINGS = "hits struct<hits: array<struct<_id: string, _source: struct<ciks: array<string>, form: string, file_date: string, display_names: array<string>>>>>"
 
 
@@ -105,6 +112,48 @@ def robots_mode(status: Column) -> Column:
     return F.when(status.between(200, 299), "rules").when(status.between(400, 499), "allow").otherwise("deny")
 
 
+def robots_allows(body: str, path: str, agent: str) -> bool:
+    """Whether a robots file lets an agent fetch a path: of the groups that name the agent (else of those for all) the longest rule
+    that fits decides, an allowing one among equals; * stands for anything, $ for the end. Without a rule that fits it may."""
+    groups: dict[str, list[tuple[bool, str]]] = {}
+    names: list[str] = []
+    open_ = False
+    for line in body.lstrip("\ufeff").splitlines():
+        field, sign, value = line.split("#")[0].partition(":")
+        field, value = field.strip().lower(), value.strip()
+        if not sign:
+            continue
+        if field == "user-agent":
+            names = [*names, value.lower()] if open_ else [value.lower()]
+            open_ = True
+            groups.setdefault(value.lower(), [])
+        elif field in ("allow", "disallow"):
+            open_ = False
+            for name in names:
+                if value:
+                    groups[name].append((field == "allow", value))
+        else:
+            open_ = open_ and field not in ("crawl-delay",)
+    rules = groups.get(agent.lower(), groups.get("*", []))
+
+    def fits(rule: str) -> bool:
+        end = rule.endswith("$")
+        pattern = ".*".join(map(re.escape, (rule[:-1] if end else rule).split("*")))
+        return bool(re.match(pattern + ("$" if end else ""), path))
+
+    best = max(((len(rule), allowed) for allowed, rule in rules if fits(rule)), default=(0, True))
+    return best[1]
+
+
+def robots_decision(requests: DataFrame, files: DataFrame, agent: str) -> DataFrame:
+    """Requests (origin, path) -> allowed, by the robots file of their origin (status, body): see robots_mode; no answer denies."""
+    rows = requests.join(files.select("origin", "status", "body"), "origin", "left")
+    by_rules = udfs.mapped(lambda body, path: robots_allows(body, path, agent), T.BooleanType())
+    mode = robots_mode(F.coalesce("status", F.lit(0)))
+    allowed = F.when(mode == "rules", by_rules(F.coalesce("body", F.lit("")), F.coalesce("path", F.lit("/")))).otherwise(mode == "allow")
+    return rows.withColumn("allowed", allowed).drop("status", "body")
+
+
 def bot_wall(status: Column, headers: Column, body: Column) -> Column:
     """A refusal that asks for a human."""
     marks = F.lower(F.concat_ws(" ", headers, body)).rlike(r"captcha|cf-ray|challenge|are you a human|access denied|bot detection")
