@@ -32,14 +32,16 @@ BITRATES = {
     (False, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+#: Layer II's bits of allocation as (subbands, bits), by the standard's tables a to d and that of lower rates.
+ALLOCATION = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "low": ((4, 4), (7, 3), (19, 2))}
 
 
-def crc16(data: bytes, value: int = 0xFFFF) -> int:
-    """The format's checksum: polynomial 0x8005, most significant bit first."""
-    for byte in data:
-        value ^= byte << 8
-        for _ in range(8):
-            value = (value << 1 ^ 0x8005 if value & 0x8000 else value << 1) & 0xFFFF
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The format's checksum of the first bits (or all) of data: polynomial 0x8005, most significant bit first."""
+    value = 0xFFFF
+    for i in range(8 * len(data) if bits is None else bits):
+        out = value >> 15 ^ data[i >> 3] >> 7 - (i & 7) & 1
+        value = (value << 1 ^ 0x8005 if out else value << 1) & 0xFFFF
     return value
 
 
@@ -54,6 +56,8 @@ class Header:
     size: int
     samples: int
     side: int
+    #: Subbands from here on have one allocation for both channels (joint stereo).
+    bound: int = 32
 
     @property
     def kind(self) -> tuple[int, int, int]:
@@ -75,7 +79,38 @@ def header_of(word: bytes) -> Header | None:
     size = (12000 * kbits // rate + padding) * 4 if layer == 1 else samples // 8 * kbits * 1000 // rate + padding
     mono = word[3] >> 6 == 3
     side = (17 if mono else 32) if first else (9 if mono else 17)
-    return Header(version, layer, not word[1] & 1, kbits, rate, mono, size, samples, side if layer == 3 else 0)
+    bound = 4 * ((word[3] >> 4 & 3) + 1) if word[3] >> 6 == 1 else 32
+    return Header(version, layer, not word[1] & 1, kbits, rate, mono, size, samples, side if layer == 3 else 0, bound)
+
+
+def covered_bits(head: Header, body: bytes) -> int | None:
+    """How many bits of what follows a frame's checksum it covers, besides half of the header: Layer III's side information,
+    the other layers' bit allocation, and in Layer II the scale factors' selection where bits are allocated. None if body ends before."""
+    if head.layer == 3:
+        return 8 * head.side if len(body) >= head.side else None
+    channels = 1 if head.mono else 2
+    if head.layer == 1:
+        bits = 4 * 32 if head.mono else 4 * (2 * min(head.bound, 32) + 32 - min(head.bound, 32))
+        return bits if 8 * len(body) >= bits else None
+    each = head.kbits // channels
+    if head.version != 3:
+        kind = "low"
+    elif each < 56:
+        kind = "d" if head.rate == 32000 else "c"
+    else:
+        kind = "a" if head.rate == 48000 or each <= 80 else "b"
+    at, chosen, subband = 0, 0, 0
+    whole, end = int.from_bytes(body[:64], "big"), 8 * len(body[:64])  # the longest allocation takes less
+    for many, width in ALLOCATION[kind]:
+        for _ in range(many):
+            shared = subband >= head.bound
+            for _ in range(1 if shared else channels):
+                at += width
+                if at > end:
+                    return None
+                chosen += (whole >> end - at & (1 << width) - 1 != 0) * (channels if shared else 1)
+            subband += 1
+    return at + 2 * chosen if at + 2 * chosen <= 8 * len(body) else None
 
 
 @dataclass
@@ -141,17 +176,43 @@ def encode(payload: bytes, title: str = "text") -> bytes:
     return b"ID3\x03\0\0" + _syncsafe(len(tag)) + tag + first + audio
 
 
+def _number(data: bytes, bits: int) -> int:
+    """A big-endian number of which each byte has so many bits."""
+    value = 0
+    for byte in data:
+        value = value << bits | byte & (1 << bits) - 1
+    return value
+
+
+#: How text is encoded, by the first byte of a text frame.
+_ENCODINGS = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}
+
+
 def _tag(data: bytes) -> tuple[dict, int]:
-    """Frames of a leading ID3v2 tag, and where it ends; 0 without one."""
+    """Text frames of a leading ID3v2 tag (versions 2 to 4), and where it ends; 0 without one."""
     if data[:3] != b"ID3" or len(data) < 10 or any(b & 0x80 for b in data[6:10]):
         return {}, 0
-    size = data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]
-    found, at, end = {}, 10, min(len(data), 10 + size)
-    while at + 10 <= end and data[at : at + 4].strip(b"\0"):
-        length = struct.unpack(">I", data[at + 4 : at + 8])[0]
-        found[data[at : at + 4].decode("latin-1")] = data[at + 11 : min(end, at + 10 + length)].decode("latin-1")
-        at += 10 + length
-    return found, end + 10 * bool(data[5] & 0x10)
+    version, flags = data[3], data[5]
+    end = 10 + _number(data[6:10], 7)
+    body = data[10 : min(len(data), end)]
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\0", b"\xff")  # unsynchronised as a whole
+    at = 0
+    if flags & 0x40 and version > 2:  # an extended header; its size counts itself from version 4 on
+        at = _number(body[:4], 7) if version == 4 else 4 + _number(body[:4], 8)
+    name, head = (3, 6) if version == 2 else (4, 10)
+    found = {}
+    while at + head <= len(body) and body[at : at + name].strip(b"\0"):
+        length = _number(body[at + name : at + (6 if version == 2 else 8)], 7 if version == 4 else 8)
+        content = body[at + head : at + head + length]
+        if version == 4 and body[at + 9] & 1:
+            content = content[4:]  # a data length stands before
+        if version == 4 and body[at + 9] & 2:
+            content = content.replace(b"\xff\0", b"\xff")
+        if body[at : at + 1] == b"T" and content:
+            found[body[at : at + name].decode("latin-1")] = content[1:].decode(_ENCODINGS.get(content[0], "latin-1"), "replace").rstrip("\0")
+        at += head + length
+    return found, end + 10 * bool(flags & 0x10 and version == 4)
 
 
 def _table(frame: bytes, head: Header) -> dict:
@@ -165,7 +226,7 @@ def _table(frame: bytes, head: Header) -> dict:
                 found[name] = list(frame[at : at + width]) if name == "toc" else struct.unpack(">I", frame[at : at + 4])[0]
                 at += width
         return found
-    if frame[36:40] == b"VBRI" and len(frame) >= 58:
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
         size, frames, entries, scale, width, stride = struct.unpack(">IIHHHH", frame[46:62])
         rows = [frame[62 + i * width : 62 + (i + 1) * width] for i in range(entries)]
         return {"kind": "VBRI", "bytes": size, "frames": frames, "stride": stride, "toc": [scale * int.from_bytes(x, "big") for x in rows if len(x) == width]}
@@ -179,7 +240,7 @@ def decode(data: bytes) -> Stream:
     end = len(data)
     tag = end - 128 if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" else -1  # an ID3v1 tag, unless in a whole frame
     heads: dict[bytes, Header | None] = {}
-    sums: dict[bytes, int] = {}
+    sums: dict[tuple[bytes, int | None], int] = {}
     parts, synced, first = [], True, True
 
     def at_header(i: int) -> Header | None:
@@ -219,12 +280,13 @@ def decode(data: bytes) -> Stream:
                 at = after
                 continue
         body = 4 + 2 * head.protected + head.side
-        if head.layer == 3 and head.protected:
-            covered = frame[2:4] + frame[6:body]
-            if covered not in sums:
-                sums[covered] = crc16(covered)
+        if head.protected:
+            bits = covered_bits(head, frame[6:])
+            covered = frame[2:4] + frame[6 : 6 + -(-(bits or 0) // 8)]
+            if (covered, bits) not in sums:
+                sums[covered, bits] = crc16(covered, 16 + (bits or 0))
             out.checked += 1
-            out.failed += sums[covered] != frame[4] << 8 | frame[5]
+            out.failed += bits is None or sums[covered, bits] != frame[4] << 8 | frame[5]
         if head.version == 3 and head.layer == 3 and head.mono:
             side = int.from_bytes(frame[body - _SIDE : body], "big")
             count = ((side >> 106 & 0xFFF) + (side >> 47 & 0xFFF)) // 8

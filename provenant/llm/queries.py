@@ -13,31 +13,38 @@ from provenant.llm.common import table, written
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by its host's template."""
     return html_template.extract(table(spark, sf_dir, "pages"))
 
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page: the rules', else the path tree's."""
     return url_tree.judge_urls(table(spark, sf_dir, "pages"))
 
 
 def op3_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpeg.features(mpeg.stored(table(spark, sf_dir, "documents"))).drop("seek_offsets")
+    """Every text as an MPEG audio stream, and what the stored bytes read back to, with the offset of each frame."""
+    return mpeg.features(mpeg.stored(table(spark, sf_dir, "documents")))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of each category for every text, and whether it is rejected."""
     judged = toxicity.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return judged.drop("text").withColumnRenamed("tox_rejected", "rejected")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token of every text in one piece of one sequence."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every text."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages read back to."""
     found = warc.read(written(warc.archives(table(spark, sf_dir, "pages")), "warc"), with_payload=False)
     return found.where("kind = 'record'").select(
         F.expr(warc.page_of("record_id")).alias("page_id"),
@@ -61,10 +68,12 @@ FROM p LEFT JOIN t ON payload_digest = digest AND payload_bytes >= 1000
 
 
 def op8_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every text by the network trained on those that are not held out."""
     return gru_lm.score(table(spark, sf_dir, "documents"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every text."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -101,6 +110,7 @@ FROM e
 """
 
 def op10_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited one, and what their difference tells."""
     return iblt.compare(table(spark, sf_dir, "documents")).drop("added", "removed")
 
 

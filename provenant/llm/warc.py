@@ -1,7 +1,8 @@
 """WARC archives: a writer that keeps each payload once, and a salvage reader.
 
 The reader checks every gzip member and record (compression, version line, length, block digest). After a failed check
-it searches for the next member or version line that passes, goes on there, and logs the bytes between as a gap.
+it searches for the next member or version line that passes, goes on there, and logs the bytes between as a gap. In a member
+that is cut or damaged, what could be unpacked before is searched in the same way.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,6 +33,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MAGIC = b"\x1f\x8b\x08"
 _CHUNK = 1 << 14
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+#: A record's headers end within so many bytes; longer ones are taken for damage.
+_HEADERS = 1 << 20
 
 
 def _digest(data: bytes) -> str:
@@ -60,7 +64,7 @@ def _record(data: bytes, at: int) -> tuple[dict, int] | None:
     """The record at a place of plain bytes, and where it ends; None if a check fails."""
     if not _VERSION.match(data, at):
         return None
-    body = data.find(b"\r\n\r\n", at) + 4
+    body = data.find(b"\r\n\r\n", at, at + _HEADERS) + 4
     if body < 4:
         return None
     pairs = (line.partition(b":") for line in data[at:body].split(b"\r\n")[1:] if b":" in line)
@@ -74,56 +78,89 @@ def _record(data: bytes, at: int) -> tuple[dict, int] | None:
     return {"heads": heads, "block": block}, body + int(length) + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The gzip member at a place, and where it ends; None if it is cut, damaged or none."""
-    unpacker, parts, i = zlib.decompressobj(31), [], at
+def _member(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """What the gzip member at a place unpacks to, and where it ends; None if it is cut or damaged, or no member at all."""
+    unpacker, parts, i, step = zlib.decompressobj(31), [], at, 256  # most false members fail in their first bytes
     try:
         while not unpacker.eof and i < len(data):
-            parts.append(unpacker.decompress(data[i : i + _CHUNK]))
-            i = min(len(data), i + _CHUNK)
+            parts.append(unpacker.decompress(data[i : i + step]))
+            i, step = min(len(data), i + step), min(2 * step, _CHUNK)
     except zlib.error:
-        return None
-    return (b"".join(parts), i - len(unpacker.unused_data)) if unpacker.eof else None
-
-
-def _at(data: bytes, at: int) -> tuple[list[dict], int] | None:
-    """The records of the member, or the plain record, at a place, and where they end; None if any check fails."""
-    if data.startswith(_MAGIC, at):
-        member = _member(data, at)
-        if not member:
-            return None
-        plain, end = member
-        records, i = [], 0
-        while i < len(plain):
-            found = _record(plain, i)
-            if not found:
-                return None
-            records.append(found[0])
-            i = found[1]
-        return records, end
-    found = _record(data, at)
-    return ([found[0]], found[1]) if found else None
-
-
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None]]:
-    """(start, end, record) of all records that pass, and (start, end, None) of the gaps, in the order of the bytes."""
+        return b"".join(parts), None
+    return b"".join(parts), i - len(unpacker.unused_data) if unpacker.eof else None
+
+
+def _inside(plain: bytes) -> Iterator[tuple[int, int, dict | None]]:
+    """(start, end, record) of the records of plain bytes that pass, and (start, end, None) of the gaps between them."""
     at, gap = 0, -1
-    while at < len(data):
-        found = _at(data, at)
+    while at < len(plain):
+        found = _record(plain, at)
         if found:
             if gap >= 0:
                 yield gap, at, None
                 gap = -1
-            for one in found[0]:
-                yield at, found[1], one
+            yield at, found[1], found[0]
             at = found[1]
             continue
         gap = at if gap < 0 else gap
-        member = data.find(_MAGIC, at + 1)
-        version = _VERSION.search(data, at + 1)
-        at = min(x for x in (member if member >= 0 else len(data), version.start() if version else len(data)))
+        following = _VERSION.search(plain, at + 1)
+        at = following.start() if following else len(plain)
+    if gap >= 0:
+        yield gap, len(plain), None
+
+
+@dataclass(frozen=True)
+class Found:
+    """A record, or a gap (without one), at bytes start to end of an archive; inner: its place in what the member there unpacks to,
+    if that has other records or is damaged."""
+
+    start: int
+    end: int
+    record: dict | None
+    inner: tuple[int, int] | None = None
+
+
+def salvage(data: bytes) -> Iterator[Found]:
+    """All records that pass and the gaps, in the order of the bytes. A damaged member's bytes are a gap as a whole; the records
+    unpacked before the damage come before it."""
+    at, gap, members, versions = 0, -1, -2, -2  # the next places of either kind, from where they were searched last
+    kept: list[Found] = []  # of the damaged member that the gap begins with, or later ones
+    while at < len(data):
+        own: list[Found] = []
+        end = None
+        if data.startswith(_MAGIC, at):
+            plain, end = _member(data, at)
+            parts = list(_inside(plain))
+            whole = end is not None and len(parts) == 1 and parts[0][2] is not None
+            if end is not None and any(one for _, _, one in parts):
+                own = [Found(at, end, one, None if whole else (a, b)) for a, b, one in parts]
+            else:
+                end = None
+                kept += [Found(at, at, one, (a, b)) for a, b, one in parts if one]
+        else:
+            found = _record(data, at)
+            if found:
+                end = found[1]
+                own = [Found(at, end, found[0])]
+        if end is not None:
+            if gap >= 0:
+                yield from (replace(x, end=at) for x in kept)
+                yield Found(gap, at, None)
+                gap, kept = -1, []
+            yield from own
+            at = end
+            continue
+        gap = at if gap < 0 else gap
+        if members <= at:
+            place = data.find(_MAGIC, at + 1)
+            members = place if place >= 0 else len(data)
+        if versions <= at:
+            place = _VERSION.search(data, at + 1)
+            versions = place.start() if place else len(data)
+        at = min(members, versions)
     if gap >= 0:
-        yield gap, len(data), None
+        yield from (replace(x, end=len(data)) for x in kept)
+        yield Found(gap, len(data), None)
 
 
 def archives(pages: DataFrame, least: int = LEAST, size: int = ARCHIVE, level: int = LEVEL) -> DataFrame:
@@ -164,16 +201,17 @@ def archives(pages: DataFrame, least: int = LEAST, size: int = ARCHIVE, level: i
 
 
 def read(found: DataFrame, with_payload: bool = True) -> DataFrame:
-    """archive, content -> a row per record or gap: archive, start, end (bytes), kind ('record' or 'gap'), record_type,
-    record_id, target_uri, refers_to, payload_bytes, payload_sha1 and, if asked for, payload.
+    """archive, content -> a row per record or gap: archive, start, end (bytes), inner_start, inner_end (see Found), kind ('record'
+    or 'gap'), record_type, record_id, target_uri, refers_to, payload_bytes, payload_sha1 and, if asked for, payload.
 
     Any binary column will do, so spark.read.format("binaryFile") reads archives of other writers. Size and digest are those
     of the bytes read; a revisit, which has none, tells those of its headers. Null or empty content gives no rows.
     """
 
-    def row(archive: str, start: int, end: int, one: dict | None) -> tuple:
+    def row(archive: str, found: Found) -> tuple:
+        place, one = (archive, found.start, found.end, *(found.inner or (None, None))), found.record
         if one is None:
-            return (archive, start, end, "gap", *[None] * 7)
+            return (*place, "gap", *[None] * 7)
         heads, block = one["heads"], one["block"]
         http = block.startswith(b"HTTP/")
         top, _, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
@@ -183,20 +221,20 @@ def read(found: DataFrame, with_payload: bool = True) -> DataFrame:
             size = int(length[1]) if length else None
             said = heads.get("warc-payload-digest", "")
             digest = base64.b32decode(said[5:]).hex() if re.fullmatch(r"sha1:[A-Z2-7]{32}", said) else None
-        return archive, start, end, "record", heads.get("warc-type"), heads.get("warc-record-id"), heads.get("warc-target-uri"), heads.get("warc-refers-to"), size, digest, payload if with_payload else None
+        return *place, "record", heads.get("warc-type"), heads.get("warc-record-id"), heads.get("warc-target-uri"), heads.get("warc-refers-to"), size, digest, payload if with_payload else None
 
-    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string(), pa.binary()]
-    names = ["archive", "start", "end", "kind", "record_type", "record_id", "target_uri", "refers_to", "payload_bytes", "payload_sha1", "payload"]
+    kinds = [pa.string(), *[pa.int64()] * 4, *[pa.string()] * 5, pa.int64(), pa.string(), pa.binary()]
+    names = ["archive", "start", "end", "inner_start", "inner_end", "kind", "record_type", "record_id", "target_uri", "refers_to", "payload_bytes", "payload_sha1", "payload"]
     keep = len(names) if with_payload else len(names) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = [row(archive.as_py(), *x) for x in salvage(content.as_py() or b"")]
+                rows = [row(archive.as_py(), x) for x in salvage(content.as_py() or b"")]
                 columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns[:keep], names[:keep])
 
-    schema = "archive string, start long, end long, kind string, record_type string, record_id string, target_uri string, refers_to string, payload_bytes long, payload_sha1 string"
+    schema = "archive string, start long, end long, inner_start long, inner_end long, kind string, record_type string, record_id string, target_uri string, refers_to string, payload_bytes long, payload_sha1 string"
     return found.select("archive", "content").mapInArrow(run, schema + ", payload binary" * with_payload)
 
 
