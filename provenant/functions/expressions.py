@@ -249,10 +249,17 @@ def is_tracker(name: Column) -> Column:
     return F.lower(name).rlike(r"(^|\.)(analytics|pixel|track(er|ing)?|ads?|beacon|metrics|stats|tagmanager|doubleclick)\.")
 
 
-def route(url: Column, page_host: Column) -> Column:
-    """What a request of a page is: its own site, a tracker, data, or another site."""
+def route(url: Column, page_host: Column, kind: Column | None = None, method: Column | None = None, main_frame: Column | None = None) -> Column:
+    """What a request of a page is: refused (it would send something, or leave the site with the whole page), inline data, media that
+    a capture does without, a tracker, its own site, or another site. kind: the resource's type; unknown arguments don't refuse."""
     own = registrable(host(url)) == registrable(page_host)
-    return F.when(url.startswith("data:"), "inline").when(host(url) == "", "none").when(is_tracker(host(url)), "tracker").when(own, "own").otherwise("other")
+    sends = ~F.coalesce(F.upper(method), F.lit("GET")).isin("GET", "HEAD") if method is not None else F.lit(False)
+    leaves = F.coalesce(main_frame, F.lit(False)) & ~F.coalesce(own, F.lit(False)) if main_frame is not None else F.lit(False)
+    heavy = F.coalesce(kind.isin("media", "websocket", "eventsource"), F.lit(False)) if kind is not None else F.lit(False)
+    return (
+        F.when(url.startswith("data:"), "inline").when(host(url) == "", "none").when(sends | leaves, "refused").when(heavy, "media").when(is_tracker(host(url)), "tracker")
+        .when(own, "own").otherwise("other")
+    )
 
 
 def canonical_json(parsed: Column) -> Column:

@@ -144,6 +144,44 @@ def relations(docs: DataFrame, domains: DataFrame) -> DataFrame:
     return docs.join(best, "doc_id", "left").withColumn("relation", F.coalesce("relation", F.lit("other")))
 
 
+def known_relations(docs: DataFrame, domains: DataFrame, boards: DataFrame, filers: DataFrame) -> DataFrame:
+    """Docs (doc_id, vendor_id, host, url, cik) with relation, the first of: a domain of the vendor's own, a job board's page under its
+    name (boards: vendor_id, domain, slug), a filing of its id (filers: vendor_id, cik), then supplier and affiliate domains, else other."""
+    placed = relations(docs, domains).withColumnRenamed("relation", "by_domain")
+    slug = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)", 1))
+    on_board = docs.select("doc_id", "vendor_id", slug.alias("slug"), F.explode(E.suffixes(F.col("host"))).alias("domain")).join(boards, ["vendor_id", "domain", "slug"]).select("doc_id", F.lit(True).alias("on_board")).distinct()
+    filed = docs.join(filers.distinct(), ["vendor_id", "cik"], "left_semi").select("doc_id", F.lit(True).alias("filed")).distinct()
+    rows = placed.join(on_board, "doc_id", "left").join(filed, "doc_id", "left")
+    own = (F.col("by_domain") == "own") | F.coalesce("on_board", F.lit(False)) | F.coalesce("filed", F.lit(False))
+    return rows.withColumn("relation", F.when(own, "own").otherwise(F.col("by_domain"))).drop("by_domain", "on_board", "filed")
+
+
+def guarded_hits(text: Column, term: str, context: str, reach: int = 60) -> Column:
+    """How often a term that is a word of everyday life counts: only with a word of its context before or after it within so many
+    characters of the sentence."""
+    near = rf"[^.!?\n]{{0,{reach}}}"
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_-])(?:(?<=(?:{context})[^.!?\n]{{0,{reach}}}){term}|{term}(?={near}(?:{context})))(?![\p{{L}}\p{{N}}_-])"), F.lit(0))
+    return F.size(found)
+
+
+def subjects(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """doc_id, vendor_id -> named, corroborated: whether a document is of its vendor.
+
+    names: vendor_id, name, kind (name, legal, product, person, collision). Collisions are taken out of the text first. A vendor is
+    corroborated by its legal name, by two of its names, or by one beside a link (docs.linked). Names meet documents by vendor.
+    """
+    quoted = F.regexp_replace("name", r"([^\p{L}\p{N}\s])", r"\\\\$1")
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_-])"), F.regexp_replace(quoted, r"\s+", r"[\\s-]+"), F.lit(r"(?![\p{L}\p{N}_-])"))
+    listed = names.withColumn("pattern", pattern).groupBy("vendor_id").agg(F.array_sort(F.collect_set(F.struct("kind", "pattern"))).alias("listed"))
+    rows = docs.select("doc_id", "vendor_id", "text", "linked").join(listed, "vendor_id", "left")
+    clean = F.aggregate(F.filter("listed", lambda n: n["kind"] == "collision"), F.coalesce("text", F.lit("")), lambda t, n: F.regexp_replace(t, n["pattern"], F.lit(" ")))
+    rows = rows.withColumn("clean", F.coalesce(clean, "text", F.lit("")))
+    met = F.filter(F.filter("listed", lambda n: n["kind"] != "collision"), lambda n: F.regexp_like(F.col("clean"), n["pattern"]))
+    rows = rows.withColumn("met", F.coalesce(met, F.array().cast("array<struct<kind: string, pattern: string>>")))
+    sure = F.exists("met", lambda n: n["kind"] == "legal") | (F.size("met") >= 2) | (F.size("met") >= 1) & F.coalesce("linked", F.lit(False))
+    return rows.select("doc_id", "vendor_id", (F.size("met") > 0).alias("named"), sure.alias("corroborated"))
+
+
 def corroborated(docs: DataFrame, name: str, aliases: Sequence[str], collisions: Sequence[str] = ()) -> DataFrame:
     """Whether a text speaks of a party: its name occurs apart from collisions, and so does another of its names."""
     spec = name, tuple(aliases), tuple(collisions)

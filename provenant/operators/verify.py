@@ -96,3 +96,25 @@ def fuzzy_recall(excerpts: DataFrame, docs: DataFrame, least: float = 90.0) -> D
 
     exact = rows.where("exact").select("item_id", F.lit("exact").alias("how"), F.lit(100.0).alias("score"))  # only misses reach Python
     return exact.union(rows.where("NOT exact").select("item_id", "excerpt", "text").mapInArrow(run, "item_id long, how string, score double"))
+
+
+def gates(checked: DataFrame, subjects: DataFrame, sent: DataFrame) -> DataFrame:
+    """What verify found, with the gates that need other tables: V6, a claim on another party (subjects: doc_id, vendor_id, corroborated)
+    and V7, a claim on a passage that was not sent (sent: claim_id). Both block. Documents without a subject row are of no known party."""
+    known = subjects.groupBy("doc_id").agg(F.bool_or("corroborated").alias("ours"))
+    was = sent.select("claim_id").distinct().withColumn("was_sent", F.lit(True))
+    rows = checked.join(known, "doc_id", "left").join(was, "claim_id", "left")
+    more = F.array_compact(F.array(F.when(~F.coalesce("ours", F.lit(False)), "V6"), F.when(F.col("was_sent").isNull(), "V7")))
+    return rows.withColumn("failures", F.concat("failures", more)).withColumn("ok", F.col("ok") & (F.size(more) == 0)).drop("ours", "was_sent")
+
+
+def absorbed(proposals: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """id, method, review, rule_labels, llm_labels, differing: items with the labels of the best proposal that they absorb kept beside
+    their own, and proposals that no item absorbs, which wait for a review. Rows have id, doc_id, start, end, labels (map)."""
+    best = spans.best_overlap(spans.overlaps(proposals, items))
+    told = best.join(proposals.select(F.col("id").alias("left_id"), F.col("labels").alias("llm_labels")), "left_id")
+    taken = told.groupBy("right_id").agg(F.max_by("llm_labels", F.struct("shared", -F.col("left_id"))).alias("llm_labels"))
+    none = F.create_map().cast("map<string,string>")
+    own = items.join(taken, F.col("id") == F.col("right_id"), "left").select("id", F.lit("rules").alias("method"), F.lit("accepted").alias("review"), F.col("labels").alias("rule_labels"), F.coalesce("llm_labels", none).alias("llm_labels"))
+    loose = proposals.join(best.select(F.col("left_id").alias("id")), "id", "left_anti").select("id", F.lit("llm").alias("method"), F.lit("pending").alias("review"), none.alias("rule_labels"), F.col("labels").alias("llm_labels"))
+    return own.union(loose).withColumn("differing", E.disagreements(F.col("rule_labels"), F.col("llm_labels"), keys))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provenant.operators import claims, grading
+from provenant.functions import expressions as E
+from provenant.operators import claims, grading, tagging, verify
 from provenant.plans import evidence
 from provenant.plans.tables import ITEMS, PROFILES, derived, items, query, read
 
@@ -137,3 +138,78 @@ _REVIEWS = "SELECT o_orderkey - o_orderkey % 4 AS item_key, CASE o_orderkey % 4
 def rescored_items(spark, sf_dir):
     reviews = derived(spark, sf_dir, _REVIEWS)
     return claims.rescored(items(spark, sf_dir), reviews, [grading.graded]).select("item_key", "review", "citable", "strength")
+
+
+_HOSTED = "SELECT page_id AS doc_id, page_id % 5 AS vendor_id, url, page_id % 17 AS cik FROM pages"
+
+
+@query(r"""
+WITH p AS (SELECT page_id AS doc_id, page_id % 5 AS vendor_id, page_id % 17 AS cik, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, lower(regexp_extract(url, '^[a-z]+://[^/?#]*/([^/?#]+)', 1)) AS slug FROM pages)
+SELECT doc_id, CASE WHEN vendor_id = 0 AND ends_with(host, '.example.com') THEN 'own' WHEN vendor_id = 1 AND ends_with(host, '.example.org') AND slug = 'en' THEN 'own' WHEN vendor_id = 2 AND cik = 3 THEN 'own'
+  WHEN vendor_id = 0 AND ends_with(host, '.example.net') THEN 'platform_supplier' WHEN vendor_id = 3 AND ends_with(host, '.example.org') THEN 'affiliate_inferred' ELSE 'other' END AS relation FROM p
+""")
+def known_relations(spark, sf_dir):
+    docs = derived(spark, sf_dir, _HOSTED).withColumn("host", E.host(F.col("url")))
+    domains = spark.createDataFrame([(0, "example.com", "own"), (0, "example.net", "platform_supplier"), (3, "example.org", "affiliate_inferred")], "vendor_id long, domain string, relation string")
+    boards = spark.createDataFrame([(1, "example.org", "en")], "vendor_id long, domain string, slug string")
+    return tagging.known_relations(docs, domains, boards, spark.createDataFrame([(2, 3)], "vendor_id long, cik long")).select("doc_id", "relation")
+
+
+_SPOKEN = """
+SELECT c_custkey AS doc_id, c_custkey % 4 AS vendor_id, c_custkey % 5 = 0 AS linked, CASE c_custkey % 6 WHEN 0 THEN 'Acme Harbour is a town. Nothing else.' WHEN 1 THEN 'We met ACME today' WHEN 2 THEN 'Acme (US) Holdings, Inc. filed' WHEN 3 THEN 'Acme sells Beacon-One' WHEN 4 THEN 'Acmes and acme-like things' END AS text,
+  'The agent of c' || c_custkey || CASE c_custkey % 3 WHEN 0 THEN ' uses a language model.' WHEN 1 THEN ' sells houses. A model of a house' ELSE ', an estate agent. The language model and its agent' END AS talk FROM customer
+"""
+
+
+@query(f"""
+SELECT doc_id, vendor_id, vendor_id = 1 AND doc_id % 6 IN (1, 2, 3) AS named, vendor_id = 1 AND (doc_id % 6 IN (2, 3) OR doc_id % 6 = 1 AND linked) AS corroborated FROM ({_SPOKEN}) s
+""")
+def document_subjects(spark, sf_dir):
+    names = spark.createDataFrame([(1, "Acme", "name"), (1, "Acme (US) Holdings", "legal"), (1, "Beacon One", "product"), (1, "Acme Harbour", "collision"), (2, "Zeta", "name")], "vendor_id long, name string, kind string")
+    return tagging.subjects(derived(spark, sf_dir, _SPOKEN), names)
+
+
+@query(f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 1 END AS hits FROM ({_SPOKEN}) s")
+def guarded_terms(spark, sf_dir):
+    return derived(spark, sf_dir, _SPOKEN).select("doc_id", tagging.guarded_hits(F.col("talk"), "agent", "language model").alias("hits"))
+
+
+_CLAIMED = "SELECT o_orderkey AS claim_id, o_custkey % 500 AS doc_id, o_orderkey % 4 = 0 AS long FROM orders"
+
+
+@query(f"""
+WITH c AS ({_CLAIMED}), s AS (SELECT c_custkey % 500 AS doc_id, bool_or(c_custkey % 7 = 0) AS ours FROM customer GROUP BY 1)
+SELECT claim_id, concat_ws(',', CASE WHEN long THEN 'V3' END, CASE WHEN NOT coalesce(ours, false) THEN 'V6' END, CASE WHEN claim_id % 3 = 0 THEN 'V7' END) AS failures, NOT long AND coalesce(ours, false) AND claim_id % 3 > 0 AS ok FROM c LEFT JOIN s ON c.doc_id = s.doc_id
+""")
+def claim_gates(spark, sf_dir):
+    checked = derived(spark, sf_dir, _CLAIMED).select("claim_id", "doc_id", F.when(F.col("long"), F.array(F.lit("V3"))).otherwise(F.array().cast("array<string>")).alias("failures"), (~F.col("long")).alias("ok"))
+    subjects = read(spark, sf_dir, "customer").select((F.col("c_custkey") % 500).alias("doc_id"), F.lit(1).alias("vendor_id"), (F.col("c_custkey") % 7 == 0).alias("corroborated"))
+    found = verify.gates(checked, subjects, checked.where("claim_id % 3 > 0"))
+    return found.select("claim_id", F.array_join("failures", ",").alias("failures"), "ok")
+
+
+_LOOSE = "SELECT o_orderkey AS id, o_orderkey % 300 AS doc_id, (o_orderkey * 41 + o_custkey * 13) % 9000 AS start, (o_orderkey * 41 + o_custkey * 13) % 9000 + 25 + o_custkey % 60 AS end_at, CAST(o_orderkey % 4 AS VARCHAR(9)) AS sp FROM orders"
+_TAGGED = "SELECT c_custkey + 10000000 AS id, c_custkey % 300 AS doc_id, (c_custkey * 59) % 9000 AS start, (c_custkey * 59) % 9000 + 30 + c_custkey % 300 AS end_at, CAST(c_custkey % 4 AS VARCHAR(9)) AS sp FROM customer"
+
+
+@query(f"""
+WITH p AS ({_LOOSE}), i AS ({_TAGGED}), j AS (SELECT p.id AS pid, i.id AS iid, p.sp AS psp, least(p.end_at, i.end_at) - greatest(p.start, i.start) AS shared FROM p JOIN i ON p.doc_id = i.doc_id AND p.start < i.end_at AND i.start < p.end_at),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY shared DESC, iid) AS n FROM j) WHERE n = 1), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY shared DESC, pid) AS m FROM b) WHERE m = 1)
+SELECT i.id, 'rules' AS method, coalesce(psp, '') AS said, CASE WHEN psp <> sp THEN 'sp' ELSE '' END AS differing FROM i LEFT JOIN t ON i.id = iid UNION ALL SELECT id, 'llm', sp, '' FROM p WHERE id NOT IN (SELECT pid FROM b)
+""")
+def absorbed_claims(spark, sf_dir):
+    labelled = lambda sql: derived(spark, sf_dir, sql).withColumnRenamed("end_at", "end").withColumn("labels", F.create_map(F.lit("sp"), "sp"))
+    found = verify.absorbed(labelled(_LOOSE), labelled(_TAGGED), ["sp", "rl"])
+    return found.select("id", "method", F.coalesce(F.try_element_at("llm_labels", F.lit("sp")), F.lit("")).alias("said"), F.array_join("differing", ",").alias("differing"))
+
+
+@query(r"""
+WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages)
+SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'inline' WHEN page_id % 7 = 0 OR (page_id % 5 = 0 AND NOT ends_with(host, 'example.com')) THEN 'refused' WHEN page_id % 3 = 0 THEN 'media' WHEN page_id % 13 = 0 THEN 'tracker' WHEN ends_with(host, 'example.com') THEN 'own' ELSE 'other' END AS route FROM h
+""")
+def capture_routes(spark, sf_dir):
+    i = F.col("page_id")
+    same = F.lower("url").rlike(r"^[a-z]+://[^/?#]*example\.com([/?#:]|$)")
+    url = F.when(i % 11 == 0, "data:text/plain,x").when((i % 13 == 0) & (i % 5 > 0), "https://pixel.example.com/t").when((i % 13 == 0) & same, "https://ads.example.com/t").when(i % 13 == 0, "https://ads.other.net/t").otherwise(F.col("url"))
+    routed = E.route(url, F.lit("www.example.com"), F.when(i % 3 == 0, "media").otherwise("script"), F.when(i % 7 == 0, "post").otherwise("get"), i % 5 == 0)
+    return read(spark, sf_dir, "pages").select("page_id", routed.alias("route"))
