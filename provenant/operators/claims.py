@@ -248,3 +248,41 @@ def rescored(items: DataFrame, reviews: DataFrame, stages: Sequence) -> DataFram
     for stage in stages:
         rows = stage(rows)
     return rows
+
+
+def profiled(profiles: DataFrame, fields: Mapping[str, Sequence[str]], rubric: Mapping[str, Sequence[tuple[int, str, str]]], defaults: Mapping[str, tuple[int, int | None]], customers: Sequence[str], records: Sequence[str]) -> DataFrame:
+    """Profiles with the levels o, d, p, r, v that their texts have, d3p, score and tier.
+
+    fields: factor -> columns; rubric: factor -> (level, name, pattern), for o, d, p and r; defaults: factor -> (without an anchor, of an
+    empty field). The anchor named D3-P is level 3 and privileged. r is 4 with customer data for 10,000 customers or more, 3 with
+    privileged access or such data for fewer, 2 with confidential data, or what its own anchors say if that is more.
+    """
+    found = {f: anchor([F.col(c) for c in fields[f]], rubric[f], *defaults[f]) for f in "odpr"}
+    whole = F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in fields["v"]])
+    rows = profiles.withColumns({f"at_{f}": a for f, a in found.items()} | {"v": volume(whole, customers, records, r"(?i)entire (?:customer )?base", r"(?i)not applicable|no customer data")})
+    rows = rows.withColumn("served", F.coalesce(volume_level(whole, customers, (1, 10_000, 100_000, 1_000_000))["level"], F.lit(0)))
+    d, privileged = F.col("at_d.level"), F.col("at_d.anchor") == "D3-P"
+    by_data = F.when((d >= 3) & ~privileged & (F.col("served") >= 2), 4).when(privileged | (d >= 3), 3).when(d == 2, 2).otherwise(0)
+    rows = rows.withColumns({"o": F.col("at_o.level"), "d": d, "p": F.col("at_p.level"), "r": F.greatest(by_data, F.col("at_r.level")), "d3p": privileged})
+    return scoring.criticality(rows).drop("at_o", "at_d", "at_p", "at_r", "served")
+
+
+def tag_passages(passages: DataFrame, lexicon: Mapping[str, Sequence[str]], suppress: Sequence[str] = ()) -> DataFrame:
+    """The best item of each passage: passages (passage_id, passage, relation, job, product, commentary, service, named) cut into
+    segments, those with a term tagged, and the one that is no trap and strongest kept, with its place in the passage.
+
+    A passage without a segment that has a term gives none.
+    """
+    from provenant.functions import text as kernels
+    from provenant.functions import udfs
+    from provenant.operators import tagging
+
+    own = ("relation", "job", "product", "commentary", "service", "named", "sr", "rc")
+    parts = udfs.spans(passages, lambda t: [(a, b, t[a:b]) for a, b in kernels.segments(t)], "start int, end int, segment string", ["start", "end", "segment"], key="passage_id", body="passage", carry=own)
+    rows = tagging.tagged(tagging.cues(parts, lexicon, suppress, body="segment")).where("cue_term")
+    codes = F.array_compact(F.array(F.when(F.col("cue_deployed"), "G4"), F.when(F.col("cue_data_use"), "G3"), F.when(F.col("cue_generic"), "M1"), F.when(F.col("cue_planned"), "M2")))
+    rows = rows.withColumn("codes", codes).withColumns({"method": F.lit("rules"), "review": F.lit("accepted"), "n_providers": F.lit(0)})
+    rows = rows.withColumn("sp", grading.specificity(F.col("named"), F.col("temporal")))
+    rows = rows.withColumn("rl", grading.relevance(F.col("service"), F.col("product")))
+    rows = rows.withColumns({"strength_rank": grading.position(grading.strength(), grading.STRENGTHS), "trap": F.col("ai_type") == "not_ai", "n_codes": F.size(F.filter("codes", lambda c: c.startswith("G")))})
+    return tagging.best_candidate(rows).withColumn("strength", grading.strength())

@@ -213,3 +213,33 @@ def capture_routes(spark, sf_dir):
     url = F.when(i % 11 == 0, "data:text/plain,x").when((i % 13 == 0) & (i % 5 > 0), "https://pixel.example.com/t").when((i % 13 == 0) & same, "https://ads.example.com/t").when(i % 13 == 0, "https://ads.other.net/t").otherwise(F.col("url"))
     routed = E.route(url, F.lit("www.example.com"), F.when(i % 3 == 0, "media").otherwise("script"), F.when(i % 7 == 0, "post").otherwise("get"), i % 5 == 0)
     return read(spark, sf_dir, "pages").select("page_id", routed.alias("route"))
+
+
+_TEXTS = "SELECT c_custkey AS vendor_id, CASE c_custkey % 4 WHEN 0 THEN 'Core ledger' WHEN 1 THEN 'Support desk' WHEN 2 THEN 'Something' ELSE '' END AS service, CASE c_custkey % 3 WHEN 0 THEN 'Holds account data' WHEN 1 THEN 'Privileged production access' ELSE 'Confidential plans' END AS data_accessed, 'Serves ' || (c_custkey * 113) || ' customers' AS data_volume, CASE WHEN c_custkey % 5 = 0 THEN 'No process stops' ELSE 'Payments stop without it' END AS process FROM customer"
+_FIELDS = {"o": ["service"], "d": ["data_accessed"], "p": ["process"], "r": ["service"], "v": ["data_volume"]}
+_RUBRIC = {"o": [(4, "O4", "(?i)core"), (1, "O1", "(?i)support")], "d": [(4, "D4", "(?i)account data"), (3, "D3-P", "(?i)privileged"), (2, "D2", "(?i)confidential")], "p": [(3, "P3", "(?i)payments stop")], "r": [(1, "R1", "(?i)support")]}
+_DEFAULTS = {"o": (2, 0), "d": (2, None), "p": (0, None), "r": (0, None)}
+
+
+@query(f"""
+WITH p AS (SELECT vendor_id, CASE vendor_id % 4 WHEN 0 THEN 4 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS o, CASE vendor_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 2 END AS d, CASE WHEN vendor_id % 5 = 0 THEN 0 ELSE 3 END AS p, vendor_id % 3 = 1 AS d3p, vendor_id * 113 AS served FROM ({_TEXTS}) t),
+l AS (SELECT *, (served >= 1)::INT + (served >= 10000)::INT + (served >= 100000)::INT + (served >= 1000000)::INT AS v, greatest(CASE WHEN d3p THEN 3 WHEN d >= 3 THEN CASE WHEN served >= 10000 THEN 4 ELSE 3 END ELSE 2 END, CASE WHEN vendor_id % 4 = 1 THEN 1 ELSE 0 END) AS r FROM p)
+SELECT vendor_id, o, d, p, r, v, 7 * o + 6 * d + 5 * p + 4 * r + 3 * v AS score, ['Low', 'Medium', 'High', 'Critical'][1 + {evidence._BASE_TIER}] AS tier FROM l
+""")
+def criticality_of_texts(spark, sf_dir):
+    found = claims.profiled(derived(spark, sf_dir, _TEXTS), _FIELDS, _RUBRIC, _DEFAULTS, ("customers",), ("records",))
+    return found.select("vendor_id", "o", "d", "p", "r", "v", "score", "tier")
+
+
+_PASSAGES = """
+SELECT c_custkey AS passage_id, 'Our desk is open. We use a chatbot in production ' || c_custkey || CASE c_custkey % 3 WHEN 0 THEN '. We plan to use machine learning.' WHEN 1 THEN ', with customer data. Call us.' ELSE ' and more. A language model is next generation.' END AS passage,
+  'own' AS relation, c_custkey % 10 = 9 AS job, true AS product, false AS commentary, c_custkey % 2 = 0 AS service, true AS named, 'A' AS sr, 3 AS rc FROM customer WHERE c_custkey % 7 > 0
+"""
+
+
+@query(f"""
+SELECT passage_id, 18 AS start, CASE WHEN job THEN 'corporate_internal' ELSE 'service_feature' END AS locus, 'in_production' AS temporal, CASE WHEN job THEN 3 WHEN service THEN 1 ELSE 2 END AS u FROM ({_PASSAGES}) p
+""")
+def tagged_passages(spark, sf_dir):
+    rows = derived(spark, sf_dir, _PASSAGES)
+    return claims.tag_passages(rows, tagging.LEXICON).select("passage_id", "start", "locus", "temporal", "u")

@@ -170,3 +170,46 @@ def streamed_upserts(spark, sf_dir):
         rows.where(F.col("seq") % 2 == part).write.mode("append").parquet(f"{path}/in")
         logs.upsert_latest(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/out", ["key"], ["seq"], f"{path}/check").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{path}/out/v=1").select("key", "seq", "value")
+
+
+@query("SELECT doc_id, sha256(text) AS text_sha, length(text) AS n_chars, true AS intact FROM documents")
+def stored_texts(spark, sf_dir):
+    """Texts stored in two parts, the second with some that are there already, and read again by their hash."""
+    path, docs = _folder(spark), read(spark, sf_dir, "documents")
+    wanted = tables.store(docs.where("doc_id % 2 = 0"), path).union(tables.store(docs.where("doc_id % 3 = 0"), path).where("doc_id % 2 = 1")).union(tables.store(docs.where("doc_id % 6 IN (1, 5)"), path))
+    return tables.stored(spark, path, wanted).select("doc_id", "text_sha", F.length("text").alias("n_chars"), "intact")
+
+
+@query("""
+WITH j AS (SELECT o_custkey % 30 AS vendor_id, o_orderkey AS k, CASE (o_custkey % 30) % 4 WHEN 0 THEN 'workday' WHEN 1 THEN 'oracle_orc' WHEN 2 THEN 'workable' END AS platform, o_orderpriority AS title, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderdate AS DATE) END AS posted FROM orders)
+SELECT vendor_id, platform, 'j' || k AS job_id FROM j WHERE platform IS NOT NULL AND (regexp_matches(lower(title), 'urgent|high') OR k % 50 = 0) AND (posted IS NULL OR posted >= DATE '1998-06-30') AND (k % 3 = 0 OR k % 50 = 0)
+""")
+def job_details(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 30).alias("vendor_id"), F.concat(F.lit("j"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderkey") % 5 > 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("Posted today").alias("day"), F.col("o_orderkey").alias("k"))
+    platform = F.element_at(F.array(*map(F.lit, ("workday", "oracle_orc", "workable", "other"))), (F.col("vendor_id") % 4 + 1).cast("int"))
+    every = lambda **names: F.collect_list(F.struct(*[F.col(c).alias(n) for n, c in names.items()]))
+    grouped = orders.groupBy("vendor_id").agg(
+        F.to_json(F.struct(every(title="title", externalPath="id", postedOn="day").alias("jobPostings"))).alias("workday"),
+        F.to_json(F.struct(F.array(F.struct(every(Id="id", Title="title", PostedDate="day").alias("requisitionList"))).alias("items"))).alias("oracle_orc"),
+        F.to_json(F.struct(every(title="title", shortcode="id", published_on="day").alias("jobs"))).alias("workable"),
+    ).withColumn("platform", platform)
+    body = F.when(F.col("platform") == "workday", F.col("workday")).when(F.col("platform") == "oracle_orc", F.col("oracle_orc")).otherwise(F.col("workable"))
+    jobs = web.job_lists(grouped.select("vendor_id", "platform", body.alias("body")))
+    details = orders.select("vendor_id", F.col("id").alias("job_id"), F.when(F.col("k") % 3 == 0, "with Machine Learning").otherwise("without").alias("body"))
+    seeds = orders.where("k % 50 = 0").select("vendor_id", F.col("id").alias("job_id"))
+    return web.detailed(jobs, details, "urgent|high", "machine learning", F.lit("2000-06-30").cast("date"), seeds).select("vendor_id", "platform", "job_id")
+
+
+@query("""
+SELECT c_custkey AS capture_id, CASE c_custkey % 4 WHEN 0 THEN 'html' WHEN 1 THEN 'json' WHEN 2 THEN 'text' ELSE 'pdf' END AS kind, CASE c_custkey % 4 WHEN 0 THEN c_name ELSE '' END AS title,
+  CASE c_custkey % 4 WHEN 0 THEN 'Body of ' || c_custkey WHEN 1 THEN '{"a":' || c_custkey || ',"b":"x"}' WHEN 2 THEN 'plain ' || c_custkey ELSE '' END AS text,
+  CASE WHEN c_custkey % 8 = 0 THEN '2024-03-0' || (1 + c_custkey % 9) WHEN c_custkey % 3 = 0 THEN '2021-05-04' ELSE '' END AS published, CASE WHEN c_custkey % 8 = 0 THEN 'meta' WHEN c_custkey % 3 = 0 THEN 'last-modified' ELSE '' END AS basis FROM customer
+""")
+def extracted_documents(spark, sf_dir):
+    k = F.col("c_custkey")
+    dated = F.when(k % 8 == 0, F.concat(F.lit('<meta name="date" content="2024-03-0'), 1 + k % 9, F.lit('">'))).otherwise("")
+    page = F.concat(F.lit("<html><head><title>"), "c_name", F.lit("</title>"), dated, F.lit("</head><body><nav>Menu</nav><p>Body  of "), k, F.lit("</p></body></html>"))
+    body = F.when(k % 4 == 0, page).when(k % 4 == 1, F.concat(F.lit('{ "b": "x",\n "a": '), k, F.lit("}"))).when(k % 4 == 2, F.concat(F.lit("plain "), k)).otherwise("%PDF-1.4 ...")
+    kind = F.when(k % 4 == 1, "application/json").when(k % 4 == 0, "text/html; charset=utf-8")
+    captures = read(spark, sf_dir, "customer").select(k.alias("capture_id"), kind.alias("content_type"), F.lit("http://h/p").alias("url"), body.alias("body"), F.when(k % 3 == 0, "Tue, 04 May 2021 10:00:00 GMT").alias("last_modified"))
+    return web.documents(captures)

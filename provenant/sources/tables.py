@@ -6,9 +6,11 @@ import tomllib
 from collections.abc import Mapping, Sequence
 from difflib import SequenceMatcher
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provenant.functions import expressions as E
 from provenant.functions import text
 from provenant.operators import runs
 
@@ -24,8 +26,10 @@ SCHEMAS = {
 
 
 def jsonl(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """A run's file, typed; lines that are no JSON of that kind fail the read."""
-    return spark.read.schema(SCHEMAS[kind]).option("mode", "FAILFAST").json(path)
+    """A run's file, typed; lines that are no JSON of that kind fail the read. An empty string means unknown, so it is null; 0 is a
+    value."""
+    rows = spark.read.schema(SCHEMAS[kind]).option("mode", "FAILFAST").json(path)
+    return rows.select(*[E.known(F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in rows.schema])
 
 
 def profile_issues(rows: DataFrame, key: str, wanted: Sequence[str], categories: Sequence[str] = ()) -> DataFrame:
@@ -143,6 +147,26 @@ def replayed(requests: DataFrame, captures: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", outcome)
 
 
+def store(texts: DataFrame, path: str) -> DataFrame:
+    """doc_id, text -> doc_id, text_sha: each text kept once under the hash of its bytes, in folders by the hash's first digit; what
+    a folder has already is not written again. A null text is the empty one."""
+    rows = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_sha", F.sha2("text", 256))
+    fresh = rows.select("text_sha", "text").dropDuplicates(["text_sha"])
+    try:
+        fresh = fresh.join(texts.sparkSession.read.parquet(path).select("text_sha"), "text_sha", "left_anti")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+    fresh.withColumn("shard", F.substring("text_sha", 1, 1)).write.mode("append").partitionBy("shard").parquet(path)
+    return rows.select("doc_id", "text_sha")
+
+
+def stored(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """wanted (text_sha and more) with the stored text, null if there is none, and whether it still has its hash."""
+    held = spark.read.parquet(path).select("text_sha", "text")
+    return wanted.join(held, "text_sha", "left").withColumn("intact", F.coalesce(F.sha2("text", 256) == F.col("text_sha"), F.lit(False)))
+
+
 def unvisited_seeds(seeds: DataFrame, captures: DataFrame) -> DataFrame:
     """Seeds that nobody captured by hand."""
     manual = captures.where("manual").select("vendor_id", F.col("url_final").alias("url"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provenant.functions import udfs
+from provenant.functions import html, udfs
 from provenant.functions import expressions as E
 
 
@@ -91,6 +91,54 @@ def postings(jobs: DataFrame, titles: str, terms: str, as_of: Column, months: in
     return jobs.where((F.lower("title").rlike(titles) | F.lower("body").rlike(terms)) & recent)
 
 
+_WORKDAY = "jobPostings array<struct<title: string, externalPath: string, postedOn: string>>"
+_ORACLE = "items array<struct<requisitionList: array<struct<Id: string, Title: string, PostedDate: string>>>>"
+_WORKABLE = "jobs array<struct<title: string, shortcode: string, published_on: string>>"
+
+
+def job_lists(bodies: DataFrame) -> DataFrame:
+    """vendor_id, platform (workday, oracle_orc, workable), body -> vendor_id, platform, job_id, title, posted (null: not told as a
+    date). Other platforms and bodies that are none of theirs give no rows."""
+    kinds = {
+        "workday": (F.from_json("body", _WORKDAY)["jobPostings"], "externalPath", "title", "postedOn"),
+        "oracle_orc": (F.flatten(F.from_json("body", _ORACLE)["items"]["requisitionList"]), "Id", "Title", "PostedDate"),
+        "workable": (F.from_json("body", _WORKABLE)["jobs"], "shortcode", "title", "published_on"),
+    }
+    jobs = F.array().cast("array<struct<job_id: string, title: string, posted: date>>")
+    for name, (found, key, title, day) in kinds.items():
+        one = F.transform(found, (lambda k, t, d: lambda j: F.struct(j[k].alias("job_id"), j[t].alias("title"), E.iso_date(j[d]).alias("posted")))(key, title, day))
+        jobs = F.when(F.col("platform") == name, one).otherwise(jobs)
+    return bodies.select("vendor_id", "platform", F.explode(jobs).alias("j")).select("vendor_id", "platform", "j.*").where("job_id IS NOT NULL")
+
+
+def detailed(jobs: DataFrame, details: DataFrame, titles: str, terms: str, as_of: Column, seeds: DataFrame) -> DataFrame:
+    """Jobs (vendor_id, job_id, title, posted) that pass the title gate or are seeds, with their detail's body, that have a term (seeds
+    needn't) and are not too old (seeds as well)."""
+    seeded = seeds.select("vendor_id", "job_id").distinct().withColumn("seeded", F.lit(True))
+    gated = jobs.join(seeded, ["vendor_id", "job_id"], "left").withColumn("seeded", F.coalesce("seeded", F.lit(False))).where(F.col("seeded") | F.lower("title").rlike(titles))
+    rows = gated.join(details.select("vendor_id", "job_id", "body"), ["vendor_id", "job_id"])
+    recent = F.col("posted").isNull() | (F.col("posted") >= E.months_before(as_of, 24))
+    return rows.where(recent & (F.col("seeded") | F.lower("body").rlike(terms)))
+
+
+def documents(captures: DataFrame) -> DataFrame:
+    """capture_id, content_type, url, body, last_modified -> capture_id, kind, title, text, published, basis: each capture read by its
+    kind. PDFs have no text here; JSON is its canonical text if it is an object, else as it is; null bodies are empty."""
+    body = F.coalesce("body", F.lit(""))
+    kind = E.document_kind(F.col("content_type"), F.col("url"), body)
+    header = F.regexp_extract(F.coalesce("last_modified", F.lit("")), r"(\d{1,2} [A-Z][a-z]{2} \d{4})", 1)
+    modified = F.date_format(F.try_to_date(E.known(header), "d MMM yyyy"), "yyyy-MM-dd")
+    told = udfs.mapped(lambda b: list(html.published(b)), T.ArrayType(T.StringType()))(body)
+    parsed = F.to_json(F.try_parse_json(body))
+    rows = captures.select("capture_id", kind.alias("kind"), body.alias("body"), parsed.alias("parsed"), told.alias("told"), modified.alias("modified"))
+    text = F.when(F.col("kind") == "html", udfs.main_text(F.col("body"))).when(F.col("kind") == "json", F.coalesce("parsed", "body")).when(F.col("kind") == "pdf", F.lit("")).otherwise(F.col("body"))
+    by_page = (F.col("kind") == "html") & (F.col("told")[0] != "")
+    return rows.select(
+        "capture_id", "kind", F.when(F.col("kind") == "html", udfs.title(F.col("body"))).otherwise("").alias("title"), text.alias("text"),
+        F.when(by_page, F.col("told")[0]).otherwise(F.coalesce("modified", F.lit(""))).alias("published"), F.when(by_page, F.col("told")[1]).when(F.col("modified").isNotNull(), "last-modified").otherwise("").alias("basis"),
+    )
+
+
 _POSTS = "array<struct<id: bigint, date: string, link: string, title: struct<rendered: string>, content: struct<rendered: string>>>"
 
 
