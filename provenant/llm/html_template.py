@@ -60,7 +60,7 @@ _ENDS_P = {
 _NOT_MAIN = {"head", "nav", "aside", "footer", "form", "menu", "dialog", "button", "select", "header", "fieldset", "datalist"}
 _TEXT_ONLY = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "li", "dt", "dd", "td", "th", "address", "figcaption", "caption", "legend", "summary"}
 #: What the operator leaves out, as whole words of class, id or role, and the standard's landmark roles.
-_OTHER = {"menu", "nav", "header", "footer", "sidebar", "notice", "ad", "ads", "advert", "form", "comment", "comments"}
+_OTHER = {"menu", "nav", "header", "footer", "sidebar", "notice", "cookie", "ad", "ads", "advert", "promo", "sponsored", "form", "comment", "comments"}
 _ROLES = {"navigation", "banner", "complementary", "contentinfo", "search"}
 _HEADING = re.compile(r"h[1-6]$")
 #: Names of the content itself, whatever other names stand beside them, and words that speak of a neighbour.
