@@ -25,8 +25,8 @@ LENGTH = 2048
 #: Piece lengths are planned in this many tokens.
 UNIT = 8
 END_ID = 1
-#: Slices in which the pieces of one length are ranked.
-SLICES = 1024
+#: Pieces of a slice in which the pieces of one length are ranked; a length has as many slices as its pieces need.
+SLICE = 2_000
 #: The linear program ends when its value is this near to a proven lower bound.
 GAP = 2e-4
 
@@ -156,22 +156,20 @@ def _runs(plan: list[tuple[int, np.ndarray]], capacity: int) -> dict[int, np.nda
     return {size: np.array(rows, np.int64) for size, rows in runs.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, unit: int = UNIT, end_id: int = END_ID, slices: int = SLICES, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, unit: int = UNIT, end_id: int = END_ID, per_slice: int = SLICE, with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids): one row per piece of docs.
 
     A null or empty text is the end id alone; repeated rows and null doc_ids are packed like others; an empty table gives
     no rows; other columns are not read. The order of ranks is by doc_id, start and checksum: reruns agree.
     """
-    rows = checkpoint(
-        pieces(docs, tokenizer, length, end_id, with_ids)
-        .withColumn("units", F.ceil(F.col("length") / unit).cast("int"))
-        .withColumn("slice", F.pmod(F.xxhash64("doc_id", "start"), F.lit(slices)).cast("int"))
-    )
-    counts = rows.groupBy("units", "slice").agg(F.count(F.lit(1)).alias("in_slice"))
+    rows = checkpoint(pieces(docs, tokenizer, length, end_id, with_ids).withColumn("units", F.ceil(F.col("length") / unit).cast("int")))
     capacity = length // unit
     demand = np.zeros(capacity + 1, np.int64)
-    for row in counts.groupBy("units").agg(F.sum("in_slice").alias("n")).collect():  # at most `capacity` rows
+    for row in rows.groupBy("units").agg(F.count(F.lit(1)).alias("n")).collect():  # at most `capacity` rows
         demand[row["units"]] = row["n"]
+    slices = F.element_at(F.array(*[F.lit(int(max(1, -(-n // per_slice)))) for n in demand]), F.col("units") + 1)
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), slices).cast("long"))
+    counts = rows.groupBy("units", "slice").agg(F.count(F.lit(1)).alias("in_slice"))
     runs = _runs(cutting_stock(demand, capacity), capacity)
 
     before = Window.partitionBy("units").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
