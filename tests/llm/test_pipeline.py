@@ -93,6 +93,21 @@ def test_run_is_the_stages_in_order(spark, sf_dir, kept):
     assert sorted(map(str, found.select(names).collect())) == sorted(map(str, kept[3].select(names).collect()))
 
 
+def test_stages_take_odd_rows_and_names(spark, sf_dir):
+    rows = [(1, None, None, "x", 1), (2, "", "a", "y", 2), (3, "word " * 20_000, "a", None, 3), (4, "one two three", "b", "z", 4), (4, "one two three", "b", "z", 4), (None, "no id", None, "w", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tox_rejected string, `a.b` long")
+    docs = docs.selectExpr("*", "'k' AS row", "'k' AS taken", "'k' AS whole", "'k' AS `ids`", "'k' AS fp", "7 AS n_chars")
+    left = corpus_pipeline.drop_toxic(spark, docs, sf_dir)
+    assert left.columns == docs.columns and {x for x, in left.select("tox_rejected").collect()} <= {"x", "y", None, "z", "w"} and left.exceptAll(docs).count() == 0
+    unique = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    assert unique.columns == docs.columns and sorted(r["doc_id"] or 0 for r in unique.collect()) == [0, 1, 3, 4]
+    mixed = corpus_pipeline.mix_sources(spark, docs, sf_dir)
+    assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} <= {3, 4, None}
+    assert corpus_pipeline.pack_documents(spark, docs, sf_dir).count() >= len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).collect() == [], name
+
+
 def test_written_tables_can_be_dropped(spark):
     made = written(spark.range(3), "test")
     assert made.count() == 3 and forget_written(spark) > 0

@@ -31,9 +31,12 @@ def test_any_bytes_can_be_read(data):
     stream = mpeg.decode(data)
     assert stream.offsets == sorted(stream.offsets) and all(a < b for a, b in stream.gaps)
     at = 0
-    for start, end, _ in warc.salvage(data):
-        assert start >= at or start == at and end > start
-        at = start
+    for found in warc.salvage(data):
+        assert 0 <= found.start < found.end <= len(data)
+        if found.inner is None:  # whole stretches cover the bytes in order
+            assert found.start == at
+            at = found.end
+    assert at == len(data)
 
 
 @settings(max_examples=40, deadline=None)
@@ -45,7 +48,7 @@ def test_records_beside_the_damage_are_salvaged(which, where, junk):
     own[at : at + len(junk)] = junk
     hurt = bytes(own)
     data = b"".join(hurt if i == which else m for i, m in enumerate(members))
-    found = [one["heads"]["warc-record-id"] for _, _, one in warc.salvage(data) if one]
+    found = [x.record["heads"]["warc-record-id"] for x in warc.salvage(data) if x.record]
     rest = [f"<urn:page:{i}>" for i in range(6) if i != which]
     assert [x for x in found if x in rest] == rest
 
