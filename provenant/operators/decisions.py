@@ -97,6 +97,39 @@ def usage_text(budget: int = 1670) -> Column:
     return E.clip(F.concat_ws(" ", F.concat("verdict", F.lit(":"), F.lit(" AI use is "), "likelihood", F.lit(" ("), F.lower("confidence"), F.lit(" confidence), from "), signals, F.lit(".")), gaps), budget)
 
 
+def criticality_text(budget: int = 1050) -> Column:
+    """A cell's text from tier, score and the levels o, d, p, r, v; the shorter form without levels if the longer does not fit."""
+    head = F.concat("tier", F.lit(" criticality ("), F.col("score").cast("string"), F.lit(" of 100)"))
+    levels = F.concat_ws(", ", *[F.concat(F.lit(f"{name} "), F.col(c).cast("string")) for name, c in (("operations", "o"), ("data", "d"), ("process", "p"), ("regulation", "r"), ("volume", "v"))])
+    return E.first_fit(F.array(F.concat(head, F.lit(": "), levels, F.lit(".")), F.concat(head, F.lit("."))), budget)
+
+
+def depth_text(plan: DataFrame, budget: int = 1050) -> DataFrame:
+    """vendor_id -> depth: the families to search with their caps, those that are optional and those that do not apply."""
+    capped = F.concat("family", F.lit(" "), F.col("cap").cast("string"))
+    listed = lambda chosen, shown: F.array_join(F.array_sort(F.collect_list(F.when(chosen, shown))), ", ")
+    rows = plan.groupBy("vendor_id").agg(
+        listed(F.col("mandatory") & F.col("cap").isNotNull(), capped).alias("must"), listed(~F.col("mandatory") & F.col("cap").isNotNull(), capped).alias("may"), listed(F.col("not_applicable"), F.col("family")).alias("no")
+    )
+    part = lambda c, label: F.when(F.col(c) != "", F.concat(F.lit(label), F.col(c), F.lit(".")))
+    return rows.select("vendor_id", E.clip(F.concat_ws(" ", part("must", "Search "), part("may", "Optional: "), part("no", "Not applicable: ")), budget).alias("depth"))
+
+
+def risk_text(budget: int = 1390) -> Column:
+    """A cell's text from risk_class, arp, before_cap, ceiling and flips (what would raise the class)."""
+    head = F.concat("risk_class", F.lit(" risk, "), F.col("arp").cast("string"), F.lit(" points"))
+    held = F.when(F.col("risk_class") != F.col("before_cap"), F.concat(F.lit(" (held from "), "before_cap", F.lit(")"))).otherwise("")
+    raises = F.when(F.col("flips") == "", "Nothing found would raise it.").otherwise(F.concat(F.lit("Raised by: "), F.regexp_replace("flips", ",", ", "), F.lit(".")))
+    return E.clip(F.concat(head, held, F.lit("; at most "), "ceiling", F.lit(". "), raises), budget)
+
+
+def action_text(budget: int = 1480) -> Column:
+    """A cell's text from playbook, deadline_days and gaps (array); no deadline if there is none."""
+    due = F.when(F.col("deadline_days").isNotNull(), F.concat(F.lit(" within "), F.col("deadline_days").cast("string"), F.lit(" business days"))).otherwise("")
+    asks = F.when(F.size("gaps") > 0, F.concat(F.lit(" Ask about "), E.serial_list(F.col("gaps")), F.lit("."))).otherwise("")
+    return E.clip(F.concat(F.lit("Follow the "), "playbook", F.lit(" playbook"), due, F.lit("."), asks), budget)
+
+
 def edited(cells: DataFrame, edits: DataFrame) -> DataFrame:
     """Cells (vendor_id, column, value) with the last edit of each, if any."""
     last = runs.latest(edits, ["vendor_id", "column"], ["seq"]).select("vendor_id", "column", F.col("value").alias("edit"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenant.functions import expressions as E
-from provenant.operators import decisions, grading, runs, spans, tagging, verdict
+from provenant.operators import decisions, grading, runs, scoring, spans, tagging, verdict
 from provenant.plans import evidence
 from provenant.plans.tables import ORACLES, COVERAGE, ITEMS, PROFILES, derived, items, query, read
 
@@ -187,3 +187,40 @@ def fitted_parts(spark, sf_dir):
     by_rank = rows.withColumn("parts", F.array_sort("parts"))
     placed = F.transform("parts", lambda x, i: F.struct(x["rank"].alias("rank"), F.struct(x["place"]["at"].alias("at"), i.alias("turn")).alias("place"), x["body"].alias("body")))
     return by_rank.select("k", decisions.fitted(placed, 40).alias("fit"))
+
+
+@query(f"""
+WITH p AS (SELECT *, 7 * o + 6 * d + 5 * p + 4 * r + 3 * v AS score FROM ({PROFILES}) x), t AS (SELECT *, ['Low', 'Medium', 'High', 'Critical'][1 + {evidence._BASE_TIER}] AS tier FROM p),
+w AS (SELECT vendor_id, tier || ' criticality (' || score || ' of 100)' AS head, ': operations ' || o || ', data ' || d || ', process ' || p || ', regulation ' || r || ', volume ' || v || '.' AS rest FROM t)
+SELECT vendor_id, CASE WHEN length(head || rest) <= 98 THEN head || rest ELSE head || '.' END AS criticality FROM w
+""")
+def criticality_cells(spark, sf_dir):
+    return scoring.criticality(derived(spark, sf_dir, PROFILES)).select("vendor_id", decisions.criticality_text(98).alias("criticality"))
+
+
+@query(f"""
+WITH j AS ({ORACLES['depth_plan']}), a AS (SELECT vendor_id, coalesce(string_agg(family || ' ' || cap, ', ' ORDER BY family || ' ' || cap) FILTER (WHERE mandatory AND cap IS NOT NULL), '') AS must,
+  coalesce(string_agg(family || ' ' || cap, ', ' ORDER BY family || ' ' || cap) FILTER (WHERE NOT mandatory AND cap IS NOT NULL), '') AS may, coalesce(string_agg(family, ', ' ORDER BY family) FILTER (WHERE not_applicable), '') AS no FROM j GROUP BY 1)
+SELECT vendor_id, concat_ws(' ', CASE WHEN must <> '' THEN 'Search ' || must || '.' END, CASE WHEN may <> '' THEN 'Optional: ' || may || '.' END, CASE WHEN no <> '' THEN 'Not applicable: ' || no || '.' END) AS depth FROM a
+""")
+def depth_cells(spark, sf_dir):
+    return decisions.depth_text(scoring.depth_plan(scoring.criticality(derived(spark, sf_dir, PROFILES))))
+
+
+@query(f"""
+WITH r AS ({ORACLES['risk_steps']}) SELECT vendor_id, risk_class || ' risk, ' || arp || ' points' || CASE WHEN risk_class <> before_cap THEN ' (held from ' || before_cap || ')' ELSE '' END || '; at most ' || ceiling || '. ' ||
+  CASE WHEN flips = '' THEN 'Nothing found would raise it.' ELSE 'Raised by: ' || replace(flips, ',', ', ') || '.' END AS risk FROM r
+""")
+def risk_cells(spark, sf_dir):
+    return scoring.risk(evidence._risk_rows(spark, sf_dir)).select("vendor_id", decisions.risk_text().alias("risk"))
+
+
+@query(f"""
+WITH a AS ({ORACLES['action_plans']}) SELECT vendor_id, 'Follow the ' || playbook || ' playbook' || CASE WHEN deadline_days IS NOT NULL THEN ' within ' || deadline_days || ' business days' ELSE '' END || '.' ||
+  CASE vendor_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' Ask about GOV.' WHEN 2 THEN ' Ask about GOV and INC.' ELSE ' Ask about GOV, INC, and SUB.' END AS action FROM a
+""")
+def action_cells(spark, sf_dir):
+    rows = scoring.criticality(evidence._risk_rows(spark, sf_dir))
+    plans = scoring.actions(scoring.risk(rows).join(rows.select("vendor_id", "tier", "verdict"), "vendor_id"))
+    gaps = F.slice(F.array(F.lit("GOV"), F.lit("INC"), F.lit("SUB")), F.lit(1), (F.col("vendor_id") % 4).cast("int"))
+    return plans.withColumn("gaps", gaps).select("vendor_id", decisions.action_text().alias("action"))
