@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,8 +14,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SEED = "mix"
-#: Leading hex digits of the random key that range-partition a source: 16**3 slices of each.
-DIGITS = 3
+#: Rows of a slice: as many leading hex digits of the random key cut a source as its rows need.
+SLICE = 2_000
 
 
 def _source_key(name: str = "source") -> Column:
@@ -60,8 +61,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(text_of()).alias("text_hash"),
         F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("mix_key"),
-    ).withColumn("slice", F.substring("mix_key", 1, DIGITS))
+    )
     rows = checkpoint(rows)
+    digits = max(1, math.ceil(math.log(max(1, rows.count() / SLICE), 16)))
+    rows = rows.withColumn("slice", F.substring("mix_key", 1, digits))
     slices = rows.groupBy("source_key", "slice").agg(F.sum("size").alias("in_slice"))
     sizes = slices.groupBy("source_key").agg(F.sum("in_slice").alias("source_size"))
     before = Window.partitionBy("source_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
