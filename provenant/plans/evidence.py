@@ -545,7 +545,15 @@ def sentence_context(spark, sf_dir):
     return spans.in_context(spans.sentences(read(spark, sf_dir, "documents"))).select("doc_id", "ordinal", "start", "end", F.length("before").alias("before"), F.length("after").alias("after"))
 
 
-@query()
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '</?[a-zA-Z][^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
+
+
+@query(r"""
+WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '\s+', ' ', 'g') AS body, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages),
+b AS (SELECT page_id, """ + _PLAIN.format(x="regexp_replace(body, '</?(p|h1|br)>', chr(10), 'g')") + r""" AS body, """ + _PLAIN.format(x="title") + r""" AS title FROM a),
+c AS (SELECT page_id, title, array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, trim(regexp_replace(title, '\s+', ' ', 'g')) AS title, CAST(length(text) AS INT) AS n_chars FROM c
+""")
 def html_main_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", udfs.title(F.col("html")).alias("title"), F.length(udfs.main_text(F.col("html"))).alias("n_chars"))
 
