@@ -14,12 +14,34 @@ from provenant.llm.common import table, written
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, by its host's template."""
-    return html_template.extract(table(spark, sf_dir, "pages"))
+    return html_template.extract(table(spark, sf_dir, "pages")).drop("content")
+
+
+#: Not the method: the pages of these tables have one article, whose text patterns can take out. What the templates find must be that.
+OP1_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '\s+', ' ', 'g') AS body FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?(p|h1|ul|li|div|section)( [^>]*)?>', chr(10), 'g'), '<br>', ' ', 'g') AS body FROM a),
+c AS (SELECT page_id, url, regexp_replace(body, '</?[a-zA-Z][^>]*>', '', 'g') AS body FROM b),
+d AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS body FROM c),
+e AS (SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM d)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM e
+"""
 
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the url of every page: the rules', else the path tree's."""
-    return url_tree.judge_urls(table(spark, sf_dir, "pages"))
+    return url_tree.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: The rules in SQL. In these tables every url that a rule's neighbours could condemn has a rule itself, so the tree allows the others.
+OP2_SQL = """
+WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+c AS (SELECT *, '.' || host AS below FROM b),
+d AS (SELECT page_id, host, path, CASE WHEN ends_with(below, '.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8' WHEN ends_with(below, '.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+  WHEN ends_with(below, '.com') AND starts_with(path, '/en/') THEN 'com/en/' WHEN ends_with(below, '.net') AND starts_with(path, '/de/') THEN 'net/de/' WHEN ends_with(below, '.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM c)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/de/8', 'com/en/', 'org/es/') THEN 'block' ELSE 'allow' END AS verdict FROM d
+"""
 
 
 def op3_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,4 +148,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_iblt": op10_iblt,
 }
-ORACLES: dict[str, str] = {"op7_warc": OP7_SQL, "op9_mixing": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_html": OP1_SQL, "op2_urls": OP2_SQL, "op7_warc": OP7_SQL, "op9_mixing": OP9_SQL}
