@@ -133,6 +133,11 @@ def blocks_for(difference: Column) -> Column:
     return F.ceil(F.greatest(differ, F.abs(surplus)) * 1.25 / LOAD).cast("long")
 
 
+def _by_row(df: DataFrame) -> DataFrame:
+    """df dealt out by row, in as many parts as the session's shuffles have: few bytes, but much to compute, so they are not merged."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row")
+
+
 def _sketched(items: DataFrame, level: int) -> DataFrame:
     """row, pair, block, digest, side -> row, pair, block, items, difference: the cells of each block, in which the two versions'
     digests are added up with opposite signs."""
@@ -166,7 +171,8 @@ def larger(items: DataFrame) -> Iterator[tuple[int, DataFrame]]:
     level = 1
     while True:
         state = peel(F.col("difference"), level)
-        blocks = _sketched(_dealt(items, level).repartition("row"), level) if level > 1 else _sketched(_dealt(items, level), level)
+        dealt = _dealt(items, level)
+        blocks = _sketched(_by_row(dealt) if level > 1 else dealt, level)
         told = blocks.select("row", "pair", "block", "items", _emptied(state).alias("found"), F.greatest(blocks_for(F.col("difference")), F.lit(2).cast("long")).alias("many"))
         failed = F.collect_list(F.when(F.col("found").isNull(), F.struct("block", "many", "items")))
         told = told.groupBy("row", "pair").agg(F.coalesce(F.sum(F.size("found")), F.lit(0)).alias("n"), F.flatten(F.collect_list("found")).alias("found"), failed.alias("failed"))
@@ -278,7 +284,7 @@ def compare(docs: DataFrame, levels: dict[int, int] | None = None) -> DataFrame:
         for pair, name in enumerate(("edited", "next"))
         for x, side in ((F.col("members"), 1), (F.col(f"{name}_members"), -1))
     ]
-    todo = both.select("row", "members", "edited_members", "next_members").join(failed, "row").select("row", F.explode(F.concat(*sides)).alias("i"))
+    todo = _by_row(both.select("row", "members", "edited_members", "next_members")).join(_by_row(failed), "row").select("row", F.explode(F.concat(*sides)).alias("i"))
     items = todo.select("row", "i.pair", F.lit(0).cast("long").alias("block"), "i.many", "i.digest", "i.side")
     settled = [first.where("found IS NOT NULL").select("row", "pair", F.size("found").cast("long").alias("n"), _sided("found"))]
     for level, told in larger(items):
