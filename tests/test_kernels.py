@@ -85,6 +85,29 @@ def test_ratios():
     assert text.partial_ratio("needle", "hay needle hay")[0] == 100 and text.token_set_ratio("", "a") == 0
 
 
+def test_partial_ratio_against_every_stretch():
+    rng = random.Random(3)
+    for size, most in ((1, 3), (12, 120), (40, 200), (64, 150), (65, 150), (130, 300)):
+        for _ in range(25):
+            body = "".join(rng.choice("abcde é") for _ in range(most))
+            at = rng.randrange(most - size + 1)
+            needle = "".join(c if rng.random() < 0.8 else rng.choice("abcdeЖ") for c in body[at : at + size])
+            want = max((text.indel_ratio(needle, body[s : s + size]), -s) for s in range(most - size + 1))
+            assert text.partial_ratio(needle, body) == text.partial_ratio(body, needle) == (want[0], -want[1])
+
+
+def test_partial_ratio_with_longer_runs_elsewhere():
+    """The longest runs that the text shares with the excerpt are not where it is most alike."""
+    body = "our hartled machine was here, his hartled machine works. " + "x" * 40 + " the hartled machine works " + "y" * 40
+    assert text.partial_ratio("the hЖrtled machine works", body.replace("machine", "engine", 1)) == (96.0, body.replace("machine", "engine", 1).index("the hartled"))
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 5))) for _ in range(3000)]
+    for i in range(0, 2000, 20):
+        cut = " ".join(words[i : i + 8])
+        found = text.partial_ratio(cut[:5] + "Ж" + cut[6:], " ".join(words))
+        assert found[0] >= 100.0 * (len(cut) - 1) / len(cut) - 1e-9
+
+
 def test_redaction_round_trip():
     body = "Dr. Jane Doe (jane@x.org, +1 555 123 4567) met Dr. Jane Doe; mail jane@x.org"
     hidden, marks = text.redact(body)
