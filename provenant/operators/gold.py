@@ -22,6 +22,30 @@ def problems(rows: DataFrame, expects: Sequence[str]) -> DataFrame:
     return rows.withColumn("problems", odd).where(F.size("problems") > 0)
 
 
+def _places(rows: DataFrame) -> DataFrame:
+    """Rows (vendor_id, url and more) once for their page (basis 'url') and once for the name their address asks for ('dns domain'), as `at`."""
+    page, name = E.match_key(E.archived(F.col("url"))), E.dns_name(F.col("url"))
+    places = F.array(F.struct(F.lit("url").alias("basis"), page.alias("at")), F.struct(F.lit("dns domain").alias("basis"), F.nullif(name, F.lit("")).alias("at")))
+    return rows.select("*", F.inline(places)).drop("url").where("at IS NOT NULL")
+
+
+def _placed(gold: DataFrame, known: DataFrame) -> DataFrame:
+    """Findings with the columns of the place (vendor_id, basis, at and more, each once) that they are looked up at: their page if it is
+    known, else, for DNS findings, the name asked for; nulls if neither is. Places are met, not what lies there, so no pairs are made."""
+    own = gold.withColumns({"page": E.match_key(E.archived(F.col("url"))), "name": F.when(F.col("family") == "DNS", E.dns_name(F.col("url")))}).drop("url", "family")
+    for basis, key in (("url", "page"), ("dns domain", "name")):
+        there = known.where(F.col("basis") == basis).select("vendor_id", F.col("at").alias(key), F.struct(*[c for c in known.columns if c != "vendor_id"]).alias(f"by_{key}"))
+        own = own.join(there, ["vendor_id", key], "left")
+    return own.withColumn("met", F.coalesce("by_page", "by_name")).select(*[c for c in gold.columns if c not in ("url", "family")], "met.*")
+
+
+def captured(gold: DataFrame, captures: DataFrame) -> DataFrame:
+    """finding_id -> n_captures, basis ('url', 'dns domain' or null). gold: finding_id, vendor_id, family, url; captures: vendor_id, capture_id, url."""
+    known = _places(captures.select("vendor_id", "url", "capture_id")).groupBy("vendor_id", "basis", "at").agg(F.count_distinct("capture_id").alias("n_captures"))
+    found = _placed(gold.select("finding_id", "vendor_id", "family", "url"), known)
+    return found.select("finding_id", F.coalesce("n_captures", F.lit(0)).alias("n_captures"), "basis")
+
+
 def _met(gold: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """finding_id -> rows of `other` (vendor_id, url, family, key): of the same page, else, for DNS findings, of the same name asked for."""
     own = gold.select("finding_id", "vendor_id", "family", E.match_key(E.archived(F.col("url"))).alias("page"), E.dns_name(F.col("url")).alias("name"))
@@ -32,12 +56,6 @@ def _met(gold: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return by_page.union(by_name).distinct()
 
 
-def captured(gold: DataFrame, captures: DataFrame) -> DataFrame:
-    """finding_id -> n_captures, basis ('url', 'dns domain' or null). gold: finding_id, vendor_id, family, url; captures: vendor_id, capture_id, url."""
-    found = _met(gold, captures, "capture_id").groupBy("finding_id").agg(F.count(F.lit(1)).alias("n_captures"), F.min("basis").alias("basis"))
-    return gold.select("finding_id").join(found, "finding_id", "left").select("finding_id", F.coalesce("n_captures", F.lit(0)).alias("n_captures"), "basis")
-
-
 def answered(gold: DataFrame, items: DataFrame, like: float = LIKE) -> DataFrame:
     """finding_id -> item_key, overlap, basis of the item that answers it best; null without any item at its page.
 

@@ -25,6 +25,42 @@ def test_answers_by_likeness(spark):
     assert found[4]["overlap"] == pytest.approx(best[0]) and found[4]["item_key"] == -best[1]
 
 
+def most_rows(df):
+    """The rows of a query, and the most rows that any operator of its plan made."""
+    rows, most, todo = df.collect(), 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        made = node.metrics().get("numOutputRows")
+        most = max(most, made.get().value() if made.isDefined() else 0)
+    return rows, most
+
+
+FINDING = "finding_id long, vendor_id long, family string, url string, expect string, excerpt string"
+
+
+def test_captures_make_no_pairs(spark):
+    """Half the findings at one page, half at one name asked for, as many captures; no operator makes more rows than a few times these."""
+    n, asked = F.col("id") % 2 == 0, F.concat(F.lit("https://d/q?name=H.org&x="), "id")
+    place = F.when(n, "https://h.org/p").otherwise(asked)
+    findings = spark.range(2000).select(F.col("id").alias("finding_id"), F.lit(1).alias("vendor_id"), F.when(n, "PRD").otherwise("DNS").alias("family"), place.alias("url"))
+    found, most = most_rows(gold.captured(findings, spark.range(10_000, 12_000).select(F.lit(1).alias("vendor_id"), F.col("id").alias("capture_id"), place.alias("url"))))
+    assert {(r["finding_id"] % 2, r["n_captures"], r["basis"]) for r in found} == {(0, 1000, "url"), (1, 1000, "dns domain")} and len(found) == 2000
+    assert most <= 20_000
+
+
+def test_captures_of_odd_rows(spark):
+    rows = [(1, 1, "DNS", "https://d/q?name=a.org", "x", "x"), (2, 1, "DNS", "https://D/q?name=b.org", "x", "x"), (3, 1, "PRD", "https://e/q?name=a.org", "x", "x"), (4, 1, "DNS", None, "x", "x"), (5, None, "DNS", "https://d/q?name=a.org", "x", "x"), (6, 2, None, "https://d/q?name=a.org", "x", "x"), (7, 1, "DNS", "https://no.name/", "x", "x")]
+    captures = [(1, 10, "https://d/q?name=a.org"), (1, 10, "https://d/q?name=a.org#again"), (1, 11, "https://e/?name=A.org."), (1, 12, "https://e/?name=b.org"), (1, 13, None), (1, 14, "https://other/"), (None, 15, "https://d/q?name=a.org")]
+    found = gold.captured(spark.createDataFrame(rows, FINDING), spark.createDataFrame(captures, "vendor_id long, capture_id long, url string"))
+    assert {r["finding_id"]: (r["n_captures"], r["basis"]) for r in found.collect()} == {1: (1, "url"), 2: (1, "dns domain"), 3: (0, None), 4: (0, None), 5: (0, None), 6: (0, None), 7: (0, None)}
+
+
 def test_streamed_folds_by_key(spark):
     rng = random.Random(1)
     rows = [(rng.choice([None, 1, 2, 3]), rng.randrange(1000), i) for i in range(500)]
