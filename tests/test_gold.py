@@ -2,12 +2,14 @@
 
 import random
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from provenant.functions import text
 from provenant.operators import folds, gold, origins, spans
+from provenant.plans import registry
 from provenant.streaming import logs
 
 ITEM = "item_key long, vendor_id long, url string, family string, excerpt string, ai_type string, method string, review string, u int, sr string, sp int, rl int, rc int, locus string, codes array<string>"
@@ -101,6 +103,21 @@ def test_answers_against_every_pair(spark):
     assert {r[0]: tuple(r)[1:] for r in found} == want and len(found) == 400 and sum(v[0] is not None for v in want.values()) > 80
 
 
+def crowded(spark, path):
+    """Orders whose findings and items share one vendor and number of a page, and DuckDB over them."""
+    rows = spark.range(3000).select((F.col("id") * 70).alias("o_orderkey"), (F.col("id") % 25 * 40).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), F.expr("timestamp '1997-01-01' + make_interval(0, 0, 0, int(id % 900))").alias("o_orderdate"))
+    rows.write.parquet(f"{path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{path}/orders.parquet/*.parquet')")
+    return con
+
+
+def test_strengths_of_a_crowded_page(spark, tmp_path):
+    want = crowded(spark, tmp_path).execute(registry.ORACLES["gold_strengths"]).fetchall()
+    found, most = most_rows(registry.QUERIES["gold_strengths"](spark, str(tmp_path)))
+    assert sorted(map(tuple, found)) == sorted(want) and len(want) == 1500 and most <= 20_000
+
+
 def test_streamed_folds_by_key(spark):
     rng = random.Random(1)
     rows = [(rng.choice([None, 1, 2, 3]), rng.randrange(1000), i) for i in range(500)]
