@@ -118,6 +118,12 @@ def test_strengths_of_a_crowded_page(spark, tmp_path):
     assert sorted(map(tuple, found)) == sorted(want) and len(want) == 1500 and most <= 20_000
 
 
+def test_report_of_a_crowded_page(spark, tmp_path):
+    want = crowded(spark, tmp_path).execute(registry.ORACLES["gold_report"]).fetchall()
+    found, most = most_rows(registry.QUERIES["gold_report"](spark, str(tmp_path)))
+    assert sorted(map(tuple, found)) == sorted(want) and len(want) == 10 and most <= 20_000
+
+
 def test_streamed_folds_by_key(spark):
     rng = random.Random(1)
     rows = [(rng.choice([None, 1, 2, 3]), rng.randrange(1000), i) for i in range(500)]
