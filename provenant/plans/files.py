@@ -131,8 +131,13 @@ def _streamed(spark, df: DataFrame, path: str) -> DataFrame:
 
 
 def _table(spark, stream: DataFrame, path: str, mode: str) -> DataFrame:
+    """What a stream gave: rows that are only appended go to files by executors, the whole aggregate of a complete mode to memory."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-check").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").start(f"{path}-rows").awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{path}-rows")
     name = f"stream_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{path}-check").trigger(availableNow=True).start().awaitTermination()
+    writer.format("memory").queryName(name).start().awaitTermination()
     return spark.table(name)
 
 

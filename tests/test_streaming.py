@@ -1,3 +1,6 @@
+import pytest
+
+from provenant.plans import registry
 from provenant.streaming import logs
 
 
@@ -34,3 +37,13 @@ def test_idle_steps(spark, tmp_path):
     found = {(r["key"], r["step"]): (r["idle"], r["stopped"]) for r in run(logs.idle_steps(stream, 3), tmp_path, "idle").collect()}
     assert [found[2, i] for i in range(4)] == [(1, False), (2, False), (3, False), (4, True)]
     assert found[1, 3] == (3, False) and found[1, 4] == (4, True) and found[1, 5] == (0, True)
+
+
+@pytest.mark.parametrize("name, table", [("streamed_idle_steps", "orders"), ("streamed_firsts", "events")])
+def test_appended_rows_are_in_files(spark, sf_dir, tmp_path, name, table):
+    """The driver holds no row of a stream that only appends; an empty table gives none."""
+    found = registry.QUERIES[name](spark, sf_dir)
+    assert found.inputFiles() and found.count()
+    spark.read.parquet(f"{sf_dir}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+    empty = registry.QUERIES[name](spark, str(tmp_path))
+    assert empty.columns == found.columns and empty.count() == 0
