@@ -43,8 +43,10 @@ PART = 32
 #: Replicas whose weights one task adds up.
 FAN = 32
 RATE = 0.08
-#: Most sequences that are scored side by side, and tokens that a task holds for that, or to count them.
+#: Most sequences that are scored side by side, and tokens that a task holds for that.
 SLOTS, HELD_TOKENS = 512, 4_000_000
+#: Words whose sums a task holds to count them, and words that it hands over at once.
+HELD_COUNTS, GIVEN = 1 << 20, 1 << 16
 #: Bytes of text that are split into words at once.
 PIECE = 1 << 23
 FOLD, HELD_OUT = 7, 2
@@ -79,26 +81,43 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(there), whose[there.to_numpy(zero_copy_only=False)]
 
 
+def added(tallies: Iterator[tuple[pa.Array, np.ndarray]]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(distinct words, their counts) of pieces, added up by word. Once the words not yet added are as many as the sums, they are
+    added, so that memory follows the distinct words, not the tokens; sums of too many words are given out on the way."""
+    held: list[tuple[pa.Array, np.ndarray]] = []
+    summed = size = 0
+
+    def one() -> tuple[pa.Array, np.ndarray]:
+        met = pa.concat_arrays([words for words, _ in held]).dictionary_encode()
+        sums = np.bincount(met.indices.to_numpy(), np.concatenate([c for _, c in held]), len(met.dictionary))
+        return met.dictionary, sums.astype(np.int64)
+
+    for tally in tallies:
+        held.append(tally)
+        size += len(tally[0])
+        if size >= max(HELD_COUNTS // 4, 2 * summed):
+            held = [one()]
+            summed = size = len(held[0][0])
+        if size >= HELD_COUNTS:
+            yield one()
+            held, summed, size = [], 0, 0
+    if held:
+        yield one()
+
+
 def counts(texts: DataFrame) -> DataFrame:
     """Column text -> word (binary), c: how often each token occurs; the end token once a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, ends = [], 0, 0
-
-        def handed() -> pa.RecordBatch:
-            found = pc.value_counts(pa.concat_arrays(held))
-            names = pa.concat_arrays([found.field("values").cast(pa.binary()), pa.array([END], pa.binary())])
-            return pa.RecordBatch.from_arrays([names, pa.concat_arrays([found.field("counts"), pa.array([ends], pa.int64())])], ["word", "c"])
-
-        for batch in pieces(batches):
-            words, _ = split(batch.column(0))
-            held.append(words)
-            size, ends = size + len(words), ends + batch.num_rows
-            if size >= HELD_TOKENS:
-                yield handed()
-                held, size, ends = [], 0, 0
-        if held:
-            yield handed()
+        def tallies() -> Iterator[tuple[pa.Array, np.ndarray]]:
+            for batch in pieces(batches):
+                found = pc.value_counts(split(batch.column(0))[0])
+                yield found.field("values").cast(pa.binary()), found.field("counts").to_numpy()
+                yield pa.array([END], pa.binary()), np.array([batch.num_rows])
+
+        for words, c in added(tallies()):
+            yield from small([pa.RecordBatch.from_arrays([words, pa.array(c)], ["word", "c"])], GIVEN)
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 

@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tokenizers
 import xxhash
@@ -685,6 +686,31 @@ def test_gru_counts_and_gain(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_gru_counting_holds_distinct_words_only(monkeypatch):
+    monkeypatch.setattr(gru_lm, "HELD_COUNTS", 4000)
+    base, held, most = pa.total_allocated_bytes(), [], 0
+
+    def tallies(pieces):
+        nonlocal most
+        for low in pieces:
+            most = max(most, pa.total_allocated_bytes() - base)
+            words = pa.array([f"word{low + i}".encode() for i in range(500)], pa.binary())
+            held.append(words.nbytes)
+            yield words, np.arange(1, 501)
+
+    [(words, c)] = gru_lm.added(tallies([0] * 200))
+    assert most < sum(held) / 8 and dict(zip(words.to_pylist(), c.tolist(), strict=True)) == {f"word{i}".encode(): 200 * (i + 1) for i in range(500)}
+    parts = list(gru_lm.added(tallies(range(0, 20_000, 250))))
+    want = Counter()
+    for low in range(0, 20_000, 250):
+        want.update({f"word{low + i}".encode(): i + 1 for i in range(500)})
+    found = Counter()
+    for words, c in parts:
+        assert len(set(words.to_pylist())) == len(words) < 5000
+        found.update(dict(zip(words.to_pylist(), c.tolist(), strict=True)))
+    assert len(parts) > 3 and found == want
+
+
 def test_gru_trains_on_every_token(spark):
     sizes = (0, 5, 31, 32, 700, 1500, 5000)
     rows = spark.createDataFrame([(i, " ".join(f"w{k % 37}" for k in range(n)), i == 1) for i, n in enumerate(sizes)], "doc_id long, text string, held_out boolean")
