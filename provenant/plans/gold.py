@@ -69,7 +69,7 @@ UNION ALL SELECT 'strength', unnest(['judged', 'agreeing', 'traps']), unnest([co
 """)
 def gold_report(spark, sf_dir):
     rows, own = _gold(spark, sf_dir), _placed(spark, sf_dir)
-    answers = gold.answered(rows, own)
+    answers = gold.answered(rows, own, carry=["expect"])
     return gold.report(rows, gold.captured(rows, own.withColumnRenamed("item_key", "capture_id")), answers, gold.strength_agreement(rows, answers, _EXPECTED))
 
 

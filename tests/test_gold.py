@@ -124,6 +124,35 @@ def test_report_of_a_crowded_page(spark, tmp_path):
     assert sorted(map(tuple, found)) == sorted(want) and len(want) == 10 and most <= 20_000
 
 
+def dealt_rows(spark, name, path):
+    """The rows that a query's exchanges deal out when no table is small enough to be sent whole."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = registry.QUERIES[name](spark, str(path))
+        df.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    dealt, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif kind == "ShuffleExchangeExec":
+            dealt += node.metrics().apply("shuffleRecordsWritten").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return dealt
+
+
+def test_report_deals_findings_once_a_section(spark, tmp_path):
+    """1,500 findings for each of three sections, 3,000 captures that are told apart, and what few are asked."""
+    crowded(spark, tmp_path)
+    assert dealt_rows(spark, "gold_report", tmp_path) < 4 * 1500 + 3000
+
+
 def test_streamed_folds_by_key(spark):
     rng = random.Random(1)
     rows = [(rng.choice([None, 1, 2, 3]), rng.randrange(1000), i) for i in range(500)]
