@@ -59,7 +59,7 @@ _AGREED = _ANSWERED + """, agreed AS (SELECT finding_id, CASE WHEN trap THEN 'tr
 @query(_AGREED + "SELECT finding_id, label, agree FROM agreed")
 def gold_strengths(spark, sf_dir):
     rows = _gold(spark, sf_dir)
-    return gold.strength_agreement(rows, gold.answered(rows, _placed(spark, sf_dir)), _EXPECTED)
+    return gold.strength_agreement(rows, gold.answered(rows, _placed(spark, sf_dir), carry=["expect"]), _EXPECTED)
 
 
 @query(_AGREED + """, c AS (SELECT g.finding_id, count(m.item_key) AS n FROM gold g LEFT JOIN met m ON g.finding_id = m.finding_id GROUP BY 1)

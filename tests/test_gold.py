@@ -147,6 +147,12 @@ def dealt_rows(spark, name, path):
     return dealt
 
 
+def test_strengths_deal_findings_once(spark, tmp_path):
+    """1,500 findings that ask alike, and what few they ask."""
+    crowded(spark, tmp_path)
+    assert dealt_rows(spark, "gold_strengths", tmp_path) < 1.5 * 1500
+
+
 def test_report_deals_findings_once_a_section(spark, tmp_path):
     """1,500 findings for each of three sections, 3,000 captures that are told apart, and what few are asked."""
     crowded(spark, tmp_path)
